@@ -1,12 +1,14 @@
 """Chunks of documents: overlapping byte windows and budgeted packs of segments.
 
-Both are narrow: a document's chunk positions are computed inside its row and the
-chunks are cut while the row is exploded, so nothing is shuffled and the memory a
-task needs is bounded by one document and its chunks.
+Both are narrow: a document's chunks are found and cut inside its row and then
+exploded, so nothing is shuffled and the memory a task needs is bounded by one
+document and its chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from sheaf.options import require_non_negative
 
 # A segment: a tag up to its ">" (and one line feed after it), else a line.
 _SEGMENT = r"<[^>]*+>\n?|[^\n]*+\n|[^\n]++"
+# Some segments at a time, for folds.
+_SEGMENT_BLOCK = rf"(?:{_SEGMENT}){{1,256}}+"
 
 
 def _window_starts(length: Column, size: int, overlap: int) -> Column:
@@ -68,6 +72,15 @@ def _running_totals(values: Column, first: Column) -> Column:
     return F.concat(F.flatten(parts), F.array(F.element_at(heads, -1)))
 
 
+def _with_bytes(content: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(content)`` with the bytes fetched from the row once.
+
+    Inside a lambda a BINARY column is copied out of the row at every element; as a
+    lambda variable it is the same array each time.
+    """
+    return F.element_at(F.transform(F.array(content), use), 1)
+
+
 def chunk_bytes(
     df: DataFrame,
     size: int = DEFAULT_CHUNK_SIZE,
@@ -88,56 +101,66 @@ def chunk_bytes(
     docs = df.where(F.octet_length(content) > 0)
     if gate is not None:
         docs = docs.where(F.col(gate) > F.lit(size))
-    body, length = F.col(content), F.col("_length")
-    windows = (
-        docs.select(key, content, text.byte_length(body).alias("_length"))
-        .withColumn("_starts", _window_starts(length, size, overlap))
-        .withColumn(
-            "_gaps",
-            F.transform(
-                F.slice("_starts", 1, F.size("_starts") - 1),
-                lambda s, i: text.newline_count(
-                    text.byte_slice(body, s, F.get(F.col("_starts"), i + 1) - s)
-                ),
+    length = F.col("_length")
+
+    def gaps(body: Column) -> Column:
+        """Line feeds between each window's start and the next one's."""
+        return F.transform(
+            F.slice("_starts", 1, F.size("_starts") - 1),
+            lambda s, i: text.newline_count(
+                text.byte_slice(body, s, F.get(F.col("_starts"), i + 1) - s)
             ),
         )
+
+    def window(body: Column, at: Column) -> Column:
+        rest = length - at["start"]
+        width = F.when(at["start"] == F.col("_last"), rest).otherwise(
+            F.least(F.lit(size).cast("bigint"), rest)
+        )
+        return F.struct(
+            at["start"].alias("start"),
+            at["line"].alias("line"),
+            text.byte_slice(body, at["start"], width).alias("raw"),
+        )
+
+    lines = _running_totals(F.col("_gaps"), F.lit(1).cast("bigint"))
+    positions = F.arrays_zip(F.col("_starts").alias("start"), lines.alias("line"))
+    cut = (
+        docs.select(key, content, text.byte_length(F.col(content)).alias("_length"))
+        .withColumn("_starts", _window_starts(length, size, overlap))
+        .withColumn("_last", F.element_at("_starts", -1))
+        .withColumn("_gaps", _with_bytes(F.col(content), gaps))
         .select(
             key,
-            content,
-            "_length",
-            F.element_at("_starts", -1).alias("_last"),
             F.posexplode_outer(
-                F.arrays_zip(
-                    F.col("_starts").alias("start"),
-                    _running_totals(F.col("_gaps"), F.lit(1).cast("bigint")).alias("line"),
+                _with_bytes(
+                    F.col(content), lambda body: F.transform(positions, lambda at: window(body, at))
                 )
             ).alias("chunk_idx", "_window"),
         )
     )
-    start, rest = F.col("_window.start"), F.col("_length") - F.col("_window.start")
-    raw = text.byte_slice(
-        body,
-        start,
-        F.when(start == F.col("_last"), rest).otherwise(F.least(F.lit(size).cast("bigint"), rest)),
-    )
-    cut = windows.select(
-        key, "chunk_idx", start.alias("start"), F.col("_window.line").alias("start_line"), raw.alias("_raw")
-    )
-    raw = F.col("_raw")
+    raw, line = F.col("_window.raw"), F.col("_window.line")
+    but_last = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
     return cut.select(
         key,
         "chunk_idx",
-        "start",
+        F.col("_window.start").alias("start"),
         F.concat(text.trim_spaces(raw), F.lit(b"\n")).alias("content"),
-        "start_line",
-        (F.col("start_line") + text.newline_count(F.substring(raw, F.lit(1), F.octet_length(raw) - 1))).alias("end_line"),
+        line.alias("start_line"),
+        (line + text.newline_count(but_last)).alias("end_line"),
         text.token_count(text.as_text(raw)).alias("token_count"),
     )
 
 
-def _segments(content: Column) -> Column:
-    """A document's segments as one character per byte; together they are the document."""
-    return F.regexp_extract_all(text.as_bytes_text(content), F.lit(_SEGMENT), F.lit(0))
+def _segments(reading: Column) -> Column:
+    """The segments of a text, line feeds included; together they are the text."""
+    return F.regexp_extract_all(reading, F.lit(_SEGMENT), F.lit(0))
+
+
+def _segment_blocks(reading: Column, measure: Callable[[Column], Column]) -> Column:
+    """Measures of a text's segments, as an array of arrays."""
+    blocks = F.regexp_extract_all(reading, F.lit(_SEGMENT_BLOCK), F.lit(0))
+    return F.transform(blocks, lambda block: F.transform(_segments(block), measure))
 
 
 def split_segments(df: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
@@ -146,7 +169,8 @@ def split_segments(df: DataFrame, content: str = "content", key: str = "path") -
     Where the rest of the document starts with ``<`` and a ``>`` follows, the segment
     ends there; otherwise it ends at the line feed.
     """
-    cut = df.select(key, F.posexplode(_segments(F.col(content))).alias("segment_idx", "_segment"))
+    segments = _segments(text.as_bytes_text(F.col(content)))
+    cut = df.select(key, F.posexplode(segments).alias("segment_idx", "_segment"))
     segment = F.col("_segment")
     return cut.select(
         key,
@@ -170,73 +194,110 @@ def pack_segments(
     segment; 0 switches a budget off.
     """
     require_non_negative(size=size, max_tokens=max_tokens)
-    big = lambda value: F.lit(value).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def measure(segment: Column) -> Column:
+        return F.struct(
+            F.octet_length(segment).cast("bigint").alias("size"),
+            # A line feed can only close a segment, or stand inside a tag.
+            text.newline_count(segment).alias("newlines"),
+            text.token_count(segment).alias("tokens"),
+        )
+
+    def measure_bytes(segment: Column) -> Column:
+        return measure(text.from_bytes_text(segment).cast("string"))
 
-    def measure(segment: Column, i: Column) -> Column:
+    # The cut only looks at ASCII, so it is the same in both readings; the second
+    # one is for bytes that are not UTF-8.
+    as_text = text.as_text(F.col(content))
+    blocks = F.when(F.is_valid_utf8(as_text), _segment_blocks(as_text, measure)).otherwise(
+        _segment_blocks(text.as_bytes_text(F.col(content)), measure_bytes)
+    )
+
+    def chunk(start: Column, line: Column, totals: Column) -> Column:
         return F.struct(
-            i.alias("i"),
-            F.length(segment).cast("bigint").alias("size"),
-            text.token_count(text.as_text(text.from_bytes_text(segment))).alias("tokens"),
+            start.alias("start"),
+            line.alias("line"),
+            *[totals[name].alias(name) for name in ("size", "newlines", "tokens")],
         )
 
-    def add(acc: Column, seg: Column) -> Column:
+    def add(acc: Column, segment: Column) -> Column:
+        now = acc["now"]
         full = F.lit(False)
         if size > 0:
-            full = full | (acc["size"] >= big(size))
+            full = full | (now["size"] >= F.lit(size))
         if max_tokens > 0:
-            full = full | (acc["tokens"] + seg["tokens"] > big(max_tokens))
-        opens = (F.size(acc["firsts"]) == 0) | full
-        # Only chunk starts are collected, so the array grows once per chunk.
-        return F.struct(
-            F.when(opens, F.concat(acc["firsts"], F.array(seg["i"]))).otherwise(acc["firsts"]).alias("firsts"),
-            (F.when(opens, big(0)).otherwise(acc["size"]) + seg["size"]).alias("size"),
-            (F.when(opens, big(0)).otherwise(acc["tokens"]) + seg["tokens"]).alias("tokens"),
+            full = full | (now["tokens"] + segment["tokens"] > F.lit(max_tokens))
+        closes = (now["size"] > 0) & full
+        grown = F.struct(
+            now["start"].alias("start"),
+            now["line"].alias("line"),
+            *[(now[n] + segment[n]).alias(n) for n in ("size", "newlines", "tokens")],
+        )
+        opened = chunk(now["start"] + now["size"], now["line"] + now["newlines"], segment)
+        done = F.concat(acc["done"], F.array(now))
+        return F.when(closes, F.struct(done.alias("done"), opened.alias("now"))).otherwise(
+            F.struct(acc["done"].alias("done"), grown.alias("now"))
         )
 
-    empty = F.struct(
-        F.array().cast("array<int>").alias("firsts"), big(0).alias("size"), big(0).alias("tokens")
-    )
-
-    def chunk(first: Column, j: Column) -> Column:
-        count = F.coalesce(F.get(F.col("_firsts"), j + 1), F.size("_measures")) - first
-        measures = F.slice("_measures", first + 1, count)
-        content = F.array_join(F.slice("_segments", first + 1, count), "")
-        return F.struct(
-            text.from_bytes_text(content).alias("content"),
-            F.aggregate(measures, big(0), lambda a, m: a + m["size"]).alias("size"),
-            text.newline_count(content).alias("newlines"),
-            F.aggregate(measures, big(0), lambda a, m: a + m["tokens"]).alias("tokens"),
+    def add_block(acc: Column, block: Column) -> Column:
+        # A fold copies its state at every step. Blocks keep the array of finished
+        # chunks out of the state that is carried from segment to segment.
+        fresh = F.struct(none.alias("done"), acc["now"].alias("now"))
+        return F.aggregate(
+            block,
+            fresh,
+            add,
+            lambda r: F.struct(F.concat(acc["done"], r["done"]).alias("done"), r["now"].alias("now")),
         )
 
+    fields = "start bigint, line bigint, size bigint, newlines bigint, tokens bigint"
+    none = F.array().cast(f"array<struct<{fields}>>")
+    start = F.struct(
+        none.alias("done"),
+        F.struct(
+            zero.alias("start"),
+            one.alias("line"),
+            *[zero.alias(name) for name in ("size", "newlines", "tokens")],
+        ).alias("now"),
+    )
     packed = (
         df.where(F.octet_length(content) > 0)
-        .select(key, _segments(F.col(content)).alias("_segments"))
-        .withColumn("_measures", F.transform("_segments", measure))
-        .withColumn("_firsts", F.aggregate("_measures", empty, add)["firsts"])
-        .select(key, F.transform("_firsts", chunk).alias("_chunks"))
+        .select(
+            key,
+            content,
+            F.aggregate(
+                blocks,
+                start,
+                add_block,
+                lambda acc: F.concat(acc["done"], F.array(acc["now"])),
+            ).alias("_chunks"),
+        )
         .select(
             key,
             F.posexplode_outer(
-                F.arrays_zip(
-                    F.col("_chunks").alias("c"),
-                    _running_totals(F.col("_chunks.size"), big(0)).alias("start"),
-                    _running_totals(F.col("_chunks.newlines"), big(1)).alias("line"),
+                _with_bytes(
+                    F.col(content),
+                    lambda body: F.transform(
+                        "_chunks",
+                        lambda c: F.struct(
+                            c.alias("at"), text.byte_slice(body, c["start"], c["size"]).alias("raw")
+                        ),
+                    ),
                 )
             ).alias("chunk_idx", "_chunk"),
         )
-        # The totals run one past the last chunk.
-        .where(F.col("_chunk.c").isNotNull())
     )
-    c, line = F.col("_chunk.c"), F.col("_chunk.line")
-    ends_line = F.right(text.as_text(c["content"]), F.lit(1)) == F.lit("\n")
+    raw, at = F.col("_chunk.raw"), F.col("_chunk.at")
+    ends_line = F.substring(raw, F.octet_length(raw), F.lit(1)) == F.lit(b"\n")
     return packed.select(
         key,
         "chunk_idx",
-        F.col("_chunk.start").alias("start"),
-        c["content"].alias("content"),
-        line.alias("start_line"),
-        (line + c["newlines"] - F.when(ends_line, 1).otherwise(0)).alias("end_line"),
-        c["tokens"].alias("token_count"),
+        at["start"].alias("start"),
+        raw.alias("content"),
+        at["line"].alias("start_line"),
+        (at["line"] + at["newlines"] - F.when(ends_line, 1).otherwise(0)).alias("end_line"),
+        at["tokens"].alias("token_count"),
     )
 
 
