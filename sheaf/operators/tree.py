@@ -20,7 +20,7 @@ def dir_tree(df: DataFrame, root: str = ".", path: str = "path") -> DataFrame:
     nodes = (
         df.where(F.col(path) != "")
         .select(path, F.explode(F.sequence(F.lit(1), depth)).alias("_n"))
-        .select(F.substring_index(F.col(path), "/", F.col("_n")).alias("_node"))
+        .select(F.call_function("substring_index", F.col(path), F.lit("/"), F.col("_n")).alias("_node"))
         .distinct()
     )
     lines = nodes.select(
