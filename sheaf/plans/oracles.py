@@ -169,7 +169,7 @@ steps AS (
                THEN concat(l.indent, {_trim("substr(l.line, instr(l.line, '*/') + 2)")})
                ELSE l.line END AS a
         FROM steps s JOIN lines l ON l.doc_id = s.doc_id AND l.i = s.i + 1)))),
-kept AS (
+printed AS (
   SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before
   FROM steps WHERE kind IN ('blank', 'code')),
 stripped AS (
@@ -179,7 +179,7 @@ stripped AS (
       rtrim(concat(CASE WHEN arg_min(kind, i) = 'blank' THEN chr(10) ELSE '' END,
                    string_agg(CASE WHEN kind = 'blank' THEN '' ELSE text END, chr(10) ORDER BY i)),
             chr(10)) AS content
-    FROM kept WHERE NOT (kind = 'blank' AND before IS NOT DISTINCT FROM 'blank')
+    FROM printed WHERE NOT (kind = 'blank' AND before IS NOT DISTINCT FROM 'blank')
     GROUP BY doc_id) k USING (doc_id))"""
 
 
