@@ -29,17 +29,12 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.constants import (
-    LONG_LINE_BYTES,
-    SPACE_BYTES_WIDE,
-    SPACE_CLASS,
-    SPACE_CLASS_IN_LINE,
-)
+from sheaf.functions.constants import LONG_LINE_BYTES, SPACE_BYTES_WIDE
 from sheaf.functions.text import as_bytes_text, as_text, from_bytes_text, has_line_of
 
 
 class _Reading(NamedTuple):
-    """Regex atoms for one reading of the bytes; each matches one character or more."""
+    """Regex atoms for one reading of the bytes, for patterns under (?U)."""
 
     space: str
     space_in_line: str
@@ -47,7 +42,9 @@ class _Reading(NamedTuple):
     """A run of characters that are neither white space nor a slash."""
 
 
-_UTF8 = _Reading(f"[{SPACE_CLASS}]", f"[{SPACE_CLASS_IN_LINE}]", f"[^{SPACE_CLASS}/]++")
+# (?U) makes \s the Unicode white space; a predicate is several times faster here than
+# the same set spelt out as a class.
+_UTF8 = _Reading(r"\s", r"[\s&&[^\n]]", r"[^\s/]++")
 _BYTES = _Reading(
     rf"(?:[\t-\r ]|{SPACE_BYTES_WIDE})",
     rf"(?:[\t\x{{0B}}-\r ]|{SPACE_BYTES_WIDE})",
@@ -67,7 +64,7 @@ def _stripped(text: Column, reading: _Reading) -> Column:
     # step trims it or drops it. The space keeps a "/" in front out of the mark. An
     # unclosed block takes the rest of the text.
     block = (
-        r"/\*[^\n]*+"
+        r"(?U)/\*[^\n]*+"
         rf"(?:(\n{blank})(?=\n)|\n(?![^\n]*?\*/)[^\n]*+)*+"
         rf"\n([ \t]*+)[^\n]*?\*/{blank}([^\n]*?)(?=\n|\z|/\*)"
         r"|/\*[\s\S]*+"
@@ -76,12 +73,12 @@ def _stripped(text: Column, reading: _Reading) -> Column:
 
     # Lines that are only a comment go; other lines are cut and trimmed.
     before = rf"((?:{word}|{space_in_line}++(?!//)|/(?!/))*+)"
-    text = F.regexp_replace(text, rf"(?md)^{blank}//[^\n]*+(?:\n|\z)", "")
-    text = F.regexp_replace(text, rf"(?md)^([ \t]*+){blank}{before}{blank}//[^\n]*+", "$1$2")
+    text = F.regexp_replace(text, rf"(?mdU)^{blank}//[^\n]*+(?:\n|\z)", "")
+    text = F.regexp_replace(text, rf"(?mdU)^([ \t]*+){blank}{before}{blank}//[^\n]*+", "$1$2")
 
     # Runs of white-space lines, the leading run, the trailing run.
-    text = F.regexp_replace(text, rf"(?:\A|\n)(?:{blank}\n)++", "\n\n")
-    return F.regexp_replace(text, rf"(?:\A|\n){space}*+\z", "")
+    text = F.regexp_replace(text, rf"(?U)(?:\A|\n)(?:{blank}\n)++", "\n\n")
+    return F.regexp_replace(text, rf"(?U)(?:\A|\n){space}*+\z", "")
 
 
 def strip_comments(content: Column) -> Column:

@@ -117,16 +117,11 @@ TREE_ROOT_LINE = "."
 TREE_INDENT = "  "
 TREE_BRANCH = "├── "
 
-# Unicode white space, as the inside of a regex character class,
-# and the same set without the line feed.
+# Unicode white space, as the inside of a regex character class.
 SPACE_CLASS = (
     r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-SPACE_CLASS_IN_LINE = (
-    r"\t\x{0B}-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
 
 # The multi-byte members of that set as UTF-8 byte sequences, for
 # text that is read one byte per character.

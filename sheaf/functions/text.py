@@ -17,10 +17,10 @@ from sheaf.functions.constants import (
     BINARY_SHARE,
     NON_PRINTABLE_CLASS,
     SPACE_BYTES_WIDE,
-    SPACE_CLASS,
 )
 
-TOKEN_PATTERN = f"[^{SPACE_CLASS}]+"
+# Under (?U) \S is everything but Unicode white space.
+_TOKEN = r"(?U)\S+"
 
 _ASCII_SPACES = "\t\n\x0b\x0c\r "
 _WIDE_AT_EDGE = rf"\A(?:{SPACE_BYTES_WIDE})|(?:{SPACE_BYTES_WIDE})\z"
@@ -51,7 +51,7 @@ def byte_slice(content: Column, start: Column, length: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space."""
-    return F.regexp_count(text, F.lit(TOKEN_PATTERN)).cast("bigint")
+    return F.regexp_count(text, F.lit(_TOKEN)).cast("bigint")
 
 
 def newline_count(content: Column) -> Column:

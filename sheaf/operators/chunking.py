@@ -45,7 +45,8 @@ def _window_starts(length: Column, size: int, overlap: int) -> Column:
     else:
         last = F.greatest(zero, length - F.lit(overlap + 1))
         starts = F.concat(F.sequence(zero, last, one), F.array(last + one))
-    return F.when(length <= F.lit(size), single).otherwise(starts)
+    none = F.array().cast("array<bigint>")
+    return F.when(length > F.lit(size), starts).when(length > zero, single).otherwise(none)
 
 
 def _running_totals(values: Column, first: Column) -> Column:
@@ -98,15 +99,15 @@ def chunk_bytes(
     """
     require_non_negative(size=size, overlap=overlap)
     size = size or DEFAULT_CHUNK_SIZE
-    docs = df.where(F.octet_length(content) > 0)
-    if gate is not None:
-        docs = docs.where(F.col(gate) > F.lit(size))
+    # No filter on the content: it would be pushed below whatever computes the content
+    # and compute it twice. Empty documents have no windows.
+    docs = df if gate is None else df.where(F.col(gate) > F.lit(size))
     length = F.col("_length")
 
     def gaps(body: Column) -> Column:
         """Line feeds between each window's start and the next one's."""
         return F.transform(
-            F.slice("_starts", 1, F.size("_starts") - 1),
+            F.slice("_starts", 1, F.greatest(F.lit(0), F.size("_starts") - 1)),
             lambda s, i: text.newline_count(
                 text.byte_slice(body, s, F.get(F.col("_starts"), i + 1) - s)
             ),
@@ -128,7 +129,7 @@ def chunk_bytes(
     cut = (
         docs.select(key, content, text.byte_length(F.col(content)).alias("_length"))
         .withColumn("_starts", _window_starts(length, size, overlap))
-        .withColumn("_last", F.element_at("_starts", -1))
+        .withColumn("_last", F.try_element_at("_starts", F.lit(-1)))
         .withColumn("_gaps", _with_bytes(F.col(content), gaps))
         .select(
             key,
@@ -138,6 +139,7 @@ def chunk_bytes(
                 )
             ).alias("chunk_idx", "_window"),
         )
+        .where(F.col("_window.raw").isNotNull())
     )
     raw, line = F.col("_window.raw"), F.col("_window.line")
     but_last = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
@@ -262,15 +264,16 @@ def pack_segments(
         ).alias("now"),
     )
     packed = (
-        df.where(F.octet_length(content) > 0)
-        .select(
+        df.select(
             key,
             content,
             F.aggregate(
                 blocks,
                 start,
                 add_block,
-                lambda acc: F.concat(acc["done"], F.array(acc["now"])),
+                lambda acc: F.when(
+                    acc["now"]["size"] > 0, F.concat(acc["done"], F.array(acc["now"]))
+                ).otherwise(none),
             ).alias("_chunks"),
         )
         .select(
@@ -287,6 +290,7 @@ def pack_segments(
                 )
             ).alias("chunk_idx", "_chunk"),
         )
+        .where(F.col("_chunk.raw").isNotNull())
     )
     raw, at = F.col("_chunk.raw"), F.col("_chunk.at")
     ends_line = F.substring(raw, F.octet_length(raw), F.lit(1)) == F.lit(b"\n")

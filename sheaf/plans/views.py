@@ -22,22 +22,32 @@ def _pick(number: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, path, size, content: documents as source files in several directories."""
+def _path() -> Column:
     doc = F.col("doc_id")
     directory = _pick(doc % 5, "src/", "node_modules/pkg/", "src/node_modules/", "", "vendor/")
     suffix = _pick(doc % 6, ".go", ".py", ".MD", ".tar.js", "", ".xyz")
+    return F.concat(directory, "lang", F.lit("_"), doc.cast("string"), suffix)
+
+
+def _commented() -> Column:
+    text = F.regexp_replace("text", r"\.\n", "\n\n\n")
+    for word, mark in ((" the ", "/*"), (" and ", "*/"), (" of ", " // ")):
+        text = F.replace(text, F.lit(word), F.lit(mark))
+    return text.cast("binary")
+
+
+def _files(documents: DataFrame, content: Column) -> DataFrame:
+    rows = documents.select("doc_id", _path().alias("path"), content.alias("content"))
+    return rows.select("doc_id", "path", byte_length(F.col("content")).alias("size"), "content")
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, path, size, content: documents as source files in several directories."""
+    doc = F.col("doc_id")
     interpreter = F.when(doc % 4 == 0, "python").otherwise("bash")
     shebang = F.concat(F.lit("#!/usr/bin/env "), interpreter, F.lit("\n"), F.col("text"))
-    return (
-        table(spark, folder, "documents")
-        .select(
-            "doc_id",
-            F.concat(directory, "lang", F.lit("_"), doc.cast("string"), suffix).alias("path"),
-            F.when(doc % 6 == 4, shebang).otherwise(F.col("text")).cast("binary").alias("content"),
-        )
-        .select("doc_id", "path", byte_length(F.col("content")).alias("size"), "content")
-    )
+    content = F.when(doc % 6 == 4, shebang).otherwise(F.col("text")).cast("binary")
+    return _files(table(spark, folder, "documents"), content)
 
 
 def binaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,17 +59,12 @@ def binaries(spark: SparkSession, folder: str) -> DataFrame:
 
 def commented(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, content: documents with blank lines and comment marks put in."""
-    text = F.regexp_replace("text", r"\.\n", "\n\n\n")
-    for word, mark in ((" the ", "/*"), (" and ", "*/"), (" of ", " // ")):
-        text = F.regexp_replace(text, word, mark)
-    return table(spark, folder, "documents").select("doc_id", text.cast("binary").alias("content"))
+    return table(spark, folder, "documents").select("doc_id", _commented().alias("content"))
 
 
 def commented_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, path, size, content: the files view with the commented contents."""
-    paths = files(spark, folder).select("doc_id", "path")
-    rows = paths.join(commented(spark, folder), "doc_id")
-    return rows.select("doc_id", "path", byte_length(F.col("content")).alias("size"), "content")
+    """doc_id, path, size, content: the files view's paths with commented contents."""
+    return _files(table(spark, folder, "documents"), _commented())
 
 
 def paths(spark: SparkSession, folder: str) -> DataFrame:
