@@ -147,8 +147,9 @@ def preview(
         before = newline_count(F.substring_index(head, needle, 1))
         current = F.when(head.contains(needle), before).otherwise(0)
         matched = _contains(F.col("line"), query)
+    # The outer form keeps Spark from testing the size of the lines before the split.
     lines = shown.withColumn("_current", current.cast("bigint")).select(
-        key, "_current", F.posexplode("_lines").alias("_pos", "line")
+        key, "_current", F.posexplode_outer("_lines").alias("_pos", "line")
     )
     return lines.where(F.col("_pos") >= F.col("_current") - context).select(
         key,

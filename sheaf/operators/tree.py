@@ -35,7 +35,7 @@ def dir_tree(df: DataFrame, root: str = ".", path: str = "path") -> DataFrame:
             F.element_at("parts", -1),
         ).alias("line"),
     )
-    top = df.sparkSession.range(1).select(
+    top = df.sparkSession.range(0, 1, 1, 1).select(
         F.array().cast("array<string>").alias("parts"),
         F.lit(-1).alias("depth"),
         F.lit(TREE_ROOT_LINE).alias("line"),

@@ -31,18 +31,26 @@ class Bundle:
 
 
 def processed_files(
-    files: DataFrame, selected: DataFrame | None = None, options: BundleOptions = BundleOptions()
+    files: DataFrame,
+    selected: DataFrame | None = None,
+    options: BundleOptions = BundleOptions(),
+    by_path: bool = False,
 ) -> DataFrame:
     """Files that pass the filters and the selection, ready to be written.
 
     Row filters and the selection come first, so content is looked at only for files
     that stay. Binary and empty files stay with empty content and no language.
+
+    ``by_path`` range-partitions the files. Finding the ranges reads the files once
+    more, so it happens before the contents are worked on and not after.
     """
     kept = filter_size(files, options.max_file_size)
     kept = filter_ignored(kept, options.ignore_patterns)
     kept = cap_files(kept, options.max_files)
     if selected is not None:
         kept = select_contents(kept, selected)
+    if by_path:
+        kept = kept.repartitionByRange("path")
     kept = gate_processable(with_language(with_is_binary(kept)))
     if options.strip_comments:
         kept = strip_comments(kept)
@@ -56,7 +64,7 @@ def build_bundle(
 ) -> Bundle:
     """The processed files, and the tree of all files under the tree's own ignore rule."""
     tree = dir_tree(filter_tree_ignored(files.select("path"), options.ignore_patterns), options.root)
-    return Bundle(processed_files(files, selected, options), tree)
+    return Bundle(processed_files(files, selected, options, by_path=True), tree)
 
 
 def bundle_chunks(files: DataFrame, options: BundleOptions = BundleOptions()) -> DataFrame:

@@ -1,9 +1,10 @@
 """Context bundles: selected files and the directory context, as XML, JSON or YAML.
 
 A bundle is a folder with two parts, ``files`` and ``context``. Each is written by
-all tasks at once as part files; files are range-partitioned by path and sorted, so
-reading the parts in name order gives the files in path order. The directory tree is
-written in blocks (see ``render_tree``), since one string would need one task.
+all tasks at once as part files. Files come range-partitioned by path (``build_bundle``
+does it) and are sorted here, so reading the parts in name order gives the files in
+path order. The directory tree is written in blocks (see ``render_tree``), since one
+string would need one task.
 """
 
 from __future__ import annotations
@@ -25,11 +26,7 @@ _NOT_YAML_CODES = [*range(0x7F, 0x85), *range(0x86, 0xA0), 0xFFFE, 0xFFFF]
 
 def _file_rows(files: DataFrame) -> DataFrame:
     content = F.coalesce(F.make_valid_utf8(as_text(F.col("content"))), F.lit(""))
-    return (
-        files.select("path", content.alias("content"))
-        .repartitionByRange("path")
-        .sortWithinPartitions("path")
-    )
+    return files.select("path", content.alias("content")).sortWithinPartitions("path")
 
 
 def _context_rows(tree: DataFrame, cwd: str) -> DataFrame:
