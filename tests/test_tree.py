@@ -1,0 +1,43 @@
+import random
+
+from sheaf.operators.tree import dir_tree, render_tree
+
+
+def paths(spark, rows):
+    return spark.createDataFrame([(r,) for r in rows], "path string")
+
+
+def tree_model(rows):
+    """Nested directories, visited by name."""
+    top = {}
+    for row in rows:
+        node = top
+        for part in row.split("/"):
+            node = node.setdefault(part, {})
+
+    def visit(node, depth):
+        for name in sorted(node, key=str.encode):
+            yield f"{'  ' * depth}├── {name}"
+            yield from visit(node[name], depth + 1)
+
+    return [".", *visit(top, 0)]
+
+
+def test_order_is_by_components(spark):
+    rows = ["a.txt", "a-b", "a/b", "a/c/d", "B", "é/x"]
+    lines = [r.line for r in dir_tree(paths(spark, rows)).collect()]
+    assert lines == tree_model(rows)
+    assert lines[2:6] == ["├── a", "  ├── b", "  ├── c", "    ├── d"]
+
+
+def test_empty_table_has_a_root(spark):
+    assert [r.line for r in dir_tree(paths(spark, [])).collect()] == ["."]
+
+
+def test_blocks_join_to_the_tree(spark):
+    r = random.Random(6)
+    rows = ["/".join(r.choices(["a", "a-b", "a.b", "src", "z", "0"], k=r.randint(1, 5))) for _ in range(900)]
+    blocks = render_tree(dir_tree(paths(spark, rows), root="/work"), 40).orderBy("block").collect()
+    assert "".join(b.tree for b in blocks) == "".join(f"{line}\n" for line in tree_model(rows))
+    assert {b.root for b in blocks} == {"/work"}
+    assert max(b.tree.count("\n") for b in blocks) <= 40
