@@ -19,9 +19,10 @@ FORMATS = ("xml", "json", "yaml")
 
 # Fixed value: characters XML 1.0 cannot hold, not even escaped.
 _NOT_XML = r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
-# Characters a YAML stream may hold only escaped, and JSON leaves bare.
-_NOT_YAML = r"[\x{7F}-\x{84}\x{86}-\x{9F}\x{FFFE}\x{FFFF}]"
-_NOT_YAML_CODES = [*range(0x7F, 0x85), *range(0x86, 0xA0), 0xFFFE, 0xFFFF]
+# Characters JSON leaves bare that YAML wants escaped, since it cannot
+# hold them or reads them as line breaks.
+_NOT_YAML = r"[\x{7F}-\x{9F}\x{2028}\x{2029}\x{FEFF}\x{FFFE}\x{FFFF}]"
+_NOT_YAML_CODES = [*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF]
 
 
 def _file_rows(files: DataFrame) -> DataFrame:

@@ -91,7 +91,9 @@ class TreeReader(DataSourceReader):
                 open_directories += self._directories(directory)
         return shared + [Subtree(d, recursive=True) for d in open_directories]
 
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Subtree | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no partitions
+            return
         rows: list[tuple] = []
         for row in self._walk(partition):
             rows.append(row)
