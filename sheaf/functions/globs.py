@@ -27,35 +27,41 @@ def glob_to_regex(pattern: str, base_name: bool = False) -> str | None:
     leading ``^`` for negation, and may hold ``/``; a backslash quotes the next
     character. With ``base_name`` the subject has no ``/``. A malformed glob
     matches nothing.
+
+    What stands between two stars is taken where it is found first, in an atomic
+    group, so a pattern with many stars does not backtrack.
     """
-    out: list[str] = []
+    pieces: list[str] = [""]  # what stands before, between and after the stars
     i, n = 0, len(pattern)
     while i < n:
         c = pattern[i]
         i += 1
         if c == "*":
-            out.append("[^/]*")
-        elif c == "?":
-            out.append("[^/]")
-        elif c == "\\":
-            if i == n:
-                return None
-            c = pattern[i]
-            i += 1
-            if c == "/" and base_name:
-                return None
-            out.append(quote(c))
-        elif c == "[":
+            pieces.append("")
+            continue
+        if c == "?":
+            pieces[-1] += "[^/]"
+            continue
+        if c == "[":
             parsed = _glob_class(pattern, i)
             if parsed is None:
                 return None
             regex, i = parsed
-            out.append(f"(?!/){regex}" if base_name else regex)
-        elif c == "/" and base_name:
+            pieces[-1] += f"(?!/){regex}" if base_name else regex
+            continue
+        if c == "\\":
+            if i == n:
+                return None
+            c = pattern[i]
+            i += 1
+        if c == "/" and base_name:
             return None
-        else:
-            out.append(quote(c))
-    return "".join(out)
+        pieces[-1] += quote(c)
+    first, *rest = pieces
+    if not rest:
+        return first
+    between = "".join(f"(?>[^/]*?{piece})" for piece in rest[:-1])
+    return f"{first}{between}[^/]*{rest[-1]}"
 
 
 _CLASS = re.compile(

@@ -21,9 +21,8 @@ from sheaf.functions.constants import (
 from sheaf.options import require_non_negative
 
 # A segment: a tag up to its ">" (and one line feed after it), else a line.
-_SEGMENT = r"<[^>]*+>\n?|[^\n]*+\n|[^\n]++"
-# Some segments at a time, for folds.
-_SEGMENT_BLOCK = rf"(?:{_SEGMENT}){{1,256}}+"
+_LINE = r"[^\n]*+\n|[^\n]++"
+_SEGMENT = rf"<[^>]*+>\n?|{_LINE}"
 
 
 def _window_starts(length: Column, size: int, overlap: int) -> Column:
@@ -154,15 +153,32 @@ def chunk_bytes(
     )
 
 
-def _segments(reading: Column) -> Column:
-    """The segments of a text, line feeds included; together they are the text."""
-    return F.regexp_extract_all(reading, F.lit(_SEGMENT), F.lit(0))
+def _cut(reading: Column, at_a_time: int = 1) -> Column:
+    """A text cut into segments, line feeds included, or into runs of segments.
 
+    Looking for the ">" of a tag that has none reads the rest of the text, and every
+    line may start with such a tag. So the text is first parted at the end of the line
+    of its last ">"; behind it only lines are left.
+    """
+
+    def pieces(text: Column, piece: str) -> Column:
+        some = piece if at_a_time == 1 else f"(?:{piece}){{1,{at_a_time}}}+"
+        return F.regexp_extract_all(text, F.lit(some), F.lit(0))
+
+    behind = F.regexp_replace(F.substring_index(reading, ">", -1), r"\A[^\n]*+\n?", "")
+    lines = F.when(reading.contains(">"), behind).otherwise(reading)
+    tags = F.left(reading, F.length(reading) - F.length(lines))
+    return F.concat(pieces(tags, _SEGMENT), pieces(lines, _LINE))
 
-def _segment_blocks(reading: Column, measure: Callable[[Column], Column]) -> Column:
-    """Measures of a text's segments, as an array of arrays."""
-    blocks = F.regexp_extract_all(reading, F.lit(_SEGMENT_BLOCK), F.lit(0))
-    return F.transform(blocks, lambda block: F.transform(_segments(block), measure))
+
+def _measured_blocks(reading: Column, measure: Callable[[Column], Column]) -> Column:
+    """Measures of a text's segments, as an array of arrays, some hundred in each."""
+    return F.transform(
+        _cut(reading, 256),
+        lambda block: F.transform(
+            F.regexp_extract_all(block, F.lit(_SEGMENT), F.lit(0)), measure
+        ),
+    )
 
 
 def split_segments(df: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
@@ -171,8 +187,9 @@ def split_segments(df: DataFrame, content: str = "content", key: str = "path") -
     Where the rest of the document starts with ``<`` and a ``>`` follows, the segment
     ends there; otherwise it ends at the line feed.
     """
-    segments = _segments(text.as_bytes_text(F.col(content)))
-    cut = df.select(key, F.posexplode(segments).alias("segment_idx", "_segment"))
+    reading = df.select(key, text.as_bytes_text(F.col(content)).alias("_reading"))
+    segments = F.posexplode(_cut(F.col("_reading")))
+    cut = reading.select(key, segments.alias("segment_idx", "_segment"))
     segment = F.col("_segment")
     return cut.select(
         key,
@@ -212,8 +229,8 @@ def pack_segments(
     # The cut only looks at ASCII, so it is the same in both readings; the second
     # one is for bytes that are not UTF-8.
     as_text = text.as_text(F.col(content))
-    blocks = F.when(F.is_valid_utf8(as_text), _segment_blocks(as_text, measure)).otherwise(
-        _segment_blocks(text.as_bytes_text(F.col(content)), measure_bytes)
+    blocks = F.when(F.is_valid_utf8(as_text), _measured_blocks(as_text, measure)).otherwise(
+        _measured_blocks(text.as_bytes_text(F.col(content)), measure_bytes)
     )
 
     def chunk(start: Column, line: Column, totals: Column) -> Column:

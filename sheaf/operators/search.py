@@ -26,12 +26,24 @@ def search_path(df: DataFrame, query: str, path: str = "path") -> DataFrame:
     return df if query == "" else df.where(_contains(F.col(path), query))
 
 
-def _fuzzy_columns(path: Column, query: str) -> dict[str, Column]:
-    letters = r"(?is)" + ".*?".join(quote(c) for c in query)
-    return {
-        "span": F.length(F.regexp_extract(path, letters, 0)).cast("bigint"),
-        "start": (F.regexp_instr(path, F.lit(letters)) - 1).cast("bigint"),
-    }
+def _fuzzy_span(path: Column, query: str) -> Column:
+    """The leftmost text that holds the query's letters in order; '' if there is none.
+
+    From the first letter's first place on, each letter is taken where it comes
+    first. Nothing else needs to be tried, so the pattern never backtracks.
+    """
+    letters = [quote(c) for c in query]
+    ordered = letters[0] + "".join(f"[^{c}]*+{c}" for c in letters[1:])
+    return F.regexp_extract(path, rf"(?iu)\A[^{letters[0]}]*+({ordered})", 1)
+
+
+def _with_rank_columns(hits: DataFrame, path: str) -> DataFrame:
+    return hits.withColumns(
+        {
+            "span": F.length("_found").cast("bigint"),
+            "start": (F.instr(F.col(path), F.col("_found")) - 1).cast("bigint"),
+        }
+    ).drop("_found")
 
 
 def _fuzzy_order(path: str) -> list[Column]:
@@ -43,12 +55,13 @@ def search_fuzzy(df: DataFrame, query: str, k: int, path: str = "path") -> DataF
 
     Best first: shortest leftmost span, earliest start, shortest path, path. Adds
     ``span`` and ``start``. The order and limit become one top-k per task, so only
-    k rows per task travel.
+    k rows per task travel. An empty query keeps every file.
     """
     if query == "":
         return df.withColumns({"span": F.lit(0).cast("bigint"), "start": F.lit(0).cast("bigint")})
-    found = df.withColumns(_fuzzy_columns(F.col(path), query)).where(F.col("span") > 0)
-    return found.orderBy(*_fuzzy_order(path)).limit(k)
+    found = _fuzzy_span(F.col(path), query)
+    hits = df.where(found != "").withColumn("_found", found)
+    return _with_rank_columns(hits, path).orderBy(*_fuzzy_order(path)).limit(k)
 
 
 def search_fuzzy_many(df: DataFrame, queries: Sequence[str], k: int, path: str = "path") -> DataFrame:
@@ -59,22 +72,14 @@ def search_fuzzy_many(df: DataFrame, queries: Sequence[str], k: int, path: str =
     row_number() <= k is applied per task before the shuffle, and for a large k
     per salted part of the query first.
     """
-    hits = df.select(
-        path,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(q).alias("query"),
-                        *[c.alias(name) for name, c in _fuzzy_columns(F.col(path), q).items()],
-                    )
-                    for q in dict.fromkeys(queries)
-                    if q != ""
-                ]
-            )
-        ).alias("_hit"),
-    ).select(path, "_hit.*")
-    hits = hits.where(F.col("span") > 0)
+    found = [
+        F.struct(F.lit(q).alias("query"), _fuzzy_span(F.col(path), q).alias("found"))
+        for q in dict.fromkeys(queries)
+        if q != ""
+    ]
+    hits = df.select(path, F.explode(F.array(*found)).alias("_hit"))
+    hits = hits.select(path, "_hit.query", F.col("_hit.found").alias("_found"))
+    hits = _with_rank_columns(hits.where(F.col("_found") != ""), path)
     order = _fuzzy_order(path)
     if k > _PUSHED_TOP_K:
         salt = F.pmod(F.xxhash64(path), F.lit(1024))

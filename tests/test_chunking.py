@@ -128,3 +128,11 @@ def test_one_large_document(spark):
 )
 def test_overlap_tail(spark, content, overlap, expected):
     assert bytes(overlap_tail(table(spark, {"a": content}), overlap).first().overlap_tail) == expected
+
+
+@pytest.mark.parametrize("line", [b"<no end\n", b"<b>x</b> <\n", b"<p>\n"])
+def test_segments_of_a_large_document_without_closing_marks(spark, line):
+    data = b"<a>\n" + line * 300_000
+    frame = table(spark, {"a": data})
+    assert split_segments(frame).count() == len(models.segments(data[:4] + line * 30)) // 30 * 300_000 + 1
+    assert pack_segments(frame).selectExpr("sum(octet_length(content)) AS n").first().n == len(data)

@@ -126,3 +126,10 @@ def test_size_filter_and_cap(spark):
         filter_size(frame, -1)
     with pytest.raises(ValueError):
         cap_files(frame, -1)
+
+
+def test_many_stars_do_not_backtrack(spark):
+    pattern = "*a" * 30 + "*b"
+    files = ["a" * 250, "a" * 250 + "b", "x/" + "a" * 250]
+    assert kept(spark, files, filter_ignored, [pattern]) == {files[0], files[2]}
+    assert kept(spark, files, filter_tree_ignored, [pattern]) == {files[0], files[2]}

@@ -26,14 +26,21 @@ def fuzzy_model(rows, query, k):
     return [h[3] for h in sorted(hits)[:k]]
 
 
-@pytest.mark.parametrize("query", ["mg", "a.b", "+(", "zzz", "AB", "\\", "é"])
+@pytest.mark.parametrize("query", ["mg", "a.b", "+(", "zzz", "AB", "\\", "é", "^a", "]["])
 def test_fuzzy(spark, query):
     r = random.Random(3)
-    rows = sorted({"".join(r.choices("amgb./+(\\éA", k=r.randint(1, 9))) for _ in range(300)})
+    rows = sorted({"".join(r.choices("amgb./+(\\éA^[]", k=r.randint(1, 9))) for _ in range(300)})
     got = [x.path for x in search.search_fuzzy(paths(spark, *rows), query, 10).collect()]
     assert got == fuzzy_model(rows, query, 10)
 
 
+def test_fuzzy_does_not_backtrack(spark):
+    rows = ["a" * 3000, "a" * 3000 + "b"]
+    got = [x.path for x in search.search_fuzzy(paths(spark, *rows), "a" * 30 + "B", 10).collect()]
+    assert got == rows[1:]
+    assert [x.path for x in search.search_fuzzy(paths(spark, "Élan", "x"), "éN", 5).collect()] == ["Élan"]
+
+
 @pytest.mark.parametrize("k", [3, 1200])
 def test_fuzzy_many(spark, k):
     r = random.Random(4)
