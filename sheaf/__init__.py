@@ -1,0 +1,78 @@
+"""Corpus preparation on Spark: scan, filter, enrich, chunk, search, select, bundle."""
+
+from sheaf.operators.chunking import chunk_bytes, overlap_tail, pack_segments, split_segments
+from sheaf.operators.enrich import (
+    strip_comments,
+    with_language,
+    with_line_count,
+    with_token_count,
+)
+from sheaf.operators.filters import (
+    cap_files,
+    filter_ignored,
+    filter_size,
+    filter_tree_ignored,
+    gate_processable,
+    with_is_binary,
+)
+from sheaf.operators.search import (
+    grep_lines,
+    match_stats,
+    preview,
+    search_fuzzy,
+    search_fuzzy_many,
+    search_path,
+)
+from sheaf.operators.selection import apply_ops, select_contents, selection_state
+from sheaf.operators.tree import dir_tree, render_tree
+from sheaf.options import BundleOptions
+from sheaf.plans.bundle import Bundle, build_bundle, bundle_chunks, processed_files
+from sheaf.sinks.bundle import read_bundle, write_bundle, write_json, write_xml, write_yaml
+from sheaf.sources.tree import read_contents, scan_tree
+from sheaf.streaming.scan import scan_stream, write_available
+from sheaf.streaming.selection import read_selection, selection_stream, write_selection
+
+__all__ = [
+    "Bundle",
+    "BundleOptions",
+    "apply_ops",
+    "build_bundle",
+    "bundle_chunks",
+    "cap_files",
+    "chunk_bytes",
+    "dir_tree",
+    "filter_ignored",
+    "filter_size",
+    "filter_tree_ignored",
+    "gate_processable",
+    "grep_lines",
+    "match_stats",
+    "overlap_tail",
+    "pack_segments",
+    "preview",
+    "processed_files",
+    "read_bundle",
+    "read_contents",
+    "read_selection",
+    "render_tree",
+    "scan_stream",
+    "scan_tree",
+    "search_fuzzy",
+    "search_fuzzy_many",
+    "search_path",
+    "select_contents",
+    "selection_state",
+    "selection_stream",
+    "split_segments",
+    "strip_comments",
+    "with_is_binary",
+    "with_language",
+    "with_line_count",
+    "with_token_count",
+    "write_available",
+    "write_bundle",
+    "write_json",
+    "write_selection",
+    "write_xml",
+    "write_yaml",
+]

@@ -46,7 +46,7 @@ def tokens_by_file(spark: SparkSession, folder: str) -> DataFrame:
 def tree_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as text files, one directory per language, scanned again."""
     root = new_folder(spark, "tree")
-    views.table(spark, folder, "documents").select("lang", "text").write.partitionBy("lang").text(root)
+    views.texts(spark, folder, "documents").select("lang", "text").write.partitionBy("lang").text(root)
     # Spark's own bookkeeping files are there too, since hidden files are listed.
     found = scan_tree(spark, root, ["*/.*.crc", ".*.crc", "_SUCCESS"])
     read = enrich.with_token_count(enrich.with_line_count(read_contents(found, root)))
@@ -112,17 +112,17 @@ def comment_stripping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = enrich.with_token_count(views.table(spark, folder, "documents"), "text")
+    rows = enrich.with_token_count(views.texts(spark, folder, "documents"), "text")
     return rows.select("doc_id", "token_count")
 
 
 def conversation_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = enrich.with_token_count(views.table(spark, folder, "conversations"), "text")
+    rows = enrich.with_token_count(views.texts(spark, folder, "conversations"), "text")
     return rows.select("conv_id", "turn", "token_count")
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = enrich.with_line_count(views.table(spark, folder, "documents"), "text")
+    rows = enrich.with_line_count(views.texts(spark, folder, "documents"), "text")
     return rows.select("doc_id", "line_count")
 
 
@@ -139,19 +139,19 @@ def _chunk_rows(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def overlapping_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.table(spark, folder, "documents").select(
+    rows = views.texts(spark, folder, "documents").select(
         "doc_id", F.col("text").cast("binary").alias("content")
     )
     return _chunk_rows(chunking.chunk_bytes(rows, CHUNK, OVERLAP, "doc_id", gate=None), "doc_id")
 
 
 def markup_segments(spark: SparkSession, folder: str) -> DataFrame:
-    pages = views.table(spark, folder, "pages")
+    pages = views.texts(spark, folder, "pages")
     return chunking.split_segments(pages, content="html", key="page_id")
 
 
 def budget_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pages = views.table(spark, folder, "pages").withColumn("html", F.col("html").cast("binary"))
+    pages = views.texts(spark, folder, "pages").withColumn("html", F.col("html").cast("binary"))
     return _chunk_rows(chunking.pack_segments(pages, CHUNK, TOKENS, "page_id", "html"), "page_id")
 
 
@@ -161,7 +161,7 @@ def budget_packing_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def overlap_tail(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.table(spark, folder, "documents").select(
+    rows = views.texts(spark, folder, "documents").select(
         "doc_id", F.col("text").cast("binary").alias("content")
     )
     tails = chunking.overlap_tail(rows, CHUNK)
@@ -184,7 +184,7 @@ def fuzzy_search_many(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
+    return views.texts(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
 
 
 def line_search(spark: SparkSession, folder: str) -> DataFrame:

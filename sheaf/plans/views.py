@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are worked on, dealt out to all cores."""
+    return read_table(spark, f"{folder}/{name}.parquet", spread=True)
+
+
 def _pick(number: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
 
@@ -30,8 +35,8 @@ def _path() -> Column:
 
 
 def _commented() -> Column:
-    text = F.regexp_replace("text", r"\.\n", "\n\n\n")
-    for word, mark in ((" the ", "/*"), (" and ", "*/"), (" of ", " // ")):
+    text = F.col("text")
+    for word, mark in ((".\n", "\n\n\n"), (" the ", "/*"), (" and ", "*/"), (" of ", " // ")):
         text = F.replace(text, F.lit(word), F.lit(mark))
     return text.cast("binary")
 
@@ -47,24 +52,24 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     interpreter = F.when(doc % 4 == 0, "python").otherwise("bash")
     shebang = F.concat(F.lit("#!/usr/bin/env "), interpreter, F.lit("\n"), F.col("text"))
     content = F.when(doc % 6 == 4, shebang).otherwise(F.col("text")).cast("binary")
-    return _files(table(spark, folder, "documents"), content)
+    return _files(texts(spark, folder, "documents"), content)
 
 
 def binaries(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, content: documents, some of them full of control characters."""
     garbled = F.regexp_replace("text", "[aeiou ]", "\x01")
     content = F.when(F.col("doc_id") % 7 == 0, garbled).otherwise(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", content.cast("binary").alias("content"))
+    return texts(spark, folder, "documents").select("doc_id", content.cast("binary").alias("content"))
 
 
 def commented(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, content: documents with blank lines and comment marks put in."""
-    return table(spark, folder, "documents").select("doc_id", _commented().alias("content"))
+    return texts(spark, folder, "documents").select("doc_id", _commented().alias("content"))
 
 
 def commented_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, path, size, content: the files view's paths with commented contents."""
-    return _files(table(spark, folder, "documents"), _commented())
+    return _files(texts(spark, folder, "documents"), _commented())
 
 
 def paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,8 @@ def build_session(master: str | None = None, app_name: str = "sheaf", **conf: st
 
     On a cluster leave ``master`` out and size ``spark.sql.shuffle.partitions``
     for about 128 MB of shuffled data per partition; AQE merges what is too small.
+    Files may hold 4 MiB each, so the parquet reader takes fewer rows at a time than
+    its default 4096: the largest batch of contents is 1 GiB instead of 16.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -24,6 +26,7 @@ def build_session(master: str | None = None, app_name: str = "sheaf", **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.parquet.columnarReaderBatchSize": "256",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         **conf,

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read a parquet table and use all cores for it.
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Read a parquet table.
 
-    A large table already has more splits than there are cores and is left as it is.
-    One with fewer (one small file is one split) is spread first, since the text
-    operators that follow are bound by CPU.
+    ``spread`` is for text work, which is bound by CPU: a table with fewer splits than
+    there are cores (one small file is one split) is then dealt out to all cores. A
+    large table has more splits than that and is left as it is.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df

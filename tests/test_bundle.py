@@ -65,3 +65,20 @@ def test_chunks_of_the_bundle(files):
 def test_negative_options(name):
     with pytest.raises(ValueError):
         BundleOptions(**{name: -1})
+
+
+def test_from_a_tree_to_a_written_bundle(spark, tmp_path):
+    import sheaf
+
+    root = tmp_path / "in"
+    for path, content in FILES.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(content)
+    options = BundleOptions(strip_comments=True, max_file_size=500)
+    listed = sheaf.scan_tree(spark, str(root), options.ignore_patterns, options.max_file_size)
+    files = sheaf.read_contents(listed.where("error is null"), str(root), 2)
+    bundle = build_bundle(files, options=options)
+    sheaf.write_bundle(bundle.files, bundle.tree, f"{tmp_path}/out", "json", cwd=str(root))
+    got = {r.path: r.content for r in sheaf.read_bundle(spark, f"{tmp_path}/out", "json").collect()}
+    assert set(got) == {"src/main.go", "tool", "image.png", "empty.py", "src/node_modules/y.js"}
+    assert got["src/main.go"].encode() == models.strip_comments(GO) and got["image.png"] == ""
