@@ -56,8 +56,11 @@ def _stripped(text: Column, reading: _Reading) -> Column:
     space, space_in_line, word = reading
     blank = f"{space_in_line}*+"
 
+    has_comments = text.contains("//") | text.contains("/*")
+
     # One carriage return before a line end belongs to the line end.
-    text = F.regexp_replace(text, r"\r(?=\n|\z)", "")
+    without = F.regexp_replace(text, r"\r(?=\n|\z)", "")
+    text = plain = F.when(text.contains("\r"), without).otherwise(text)
 
     # A block becomes " //" (the cut of its first line), one white-space line if it
     # holds any, and the rest of its closing line, ended by " //" so that the next
@@ -76,9 +79,17 @@ def _stripped(text: Column, reading: _Reading) -> Column:
     text = F.regexp_replace(text, rf"(?mdU)^{blank}//[^\n]*+(?:\n|\z)", "")
     text = F.regexp_replace(text, rf"(?mdU)^([ \t]*+){blank}{before}{blank}//[^\n]*+", "$1$2")
 
-    # Runs of white-space lines, the leading run, the trailing run.
-    text = F.regexp_replace(text, rf"(?U)(?:\A|\n)(?:{blank}\n)++", "\n\n")
-    return F.regexp_replace(text, rf"(?U)(?:\A|\n){space}*+\z", "")
+    # Most texts that are not code skip the steps above.
+    text = F.when(has_comments, text).otherwise(plain)
+
+    # The leading run of white-space lines; then the runs between lines, which become
+    # one, and in the same pass the trailing one, of which a single line feed is left
+    # to trim. Patterns start with one fixed character or at the start of the text,
+    # which is what the regex engine finds fastest.
+    text = F.regexp_replace(text, rf"(?U)\A(?:{blank}\n)++", "\n\n")
+    text = F.regexp_replace(text, rf"(?U)\n(?:{space}*+\z|(?:{blank}(\n))++)", "\n$1")
+    text = F.rtrim(text, F.lit("\n"))
+    return F.regexp_replace(text, rf"(?U)\A{space}*+\z", "")
 
 
 def strip_comments(content: Column) -> Column:
