@@ -18,11 +18,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,6 +44,11 @@ _LISTED_PER_BATCH = 10_000
 _READ_BYTES_PER_BATCH = 32 * 1024 * 1024
 
 
+def _send_code_along() -> None:
+    """Pickle this package by value, so that executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules["sheaf"])
+
+
 @dataclass
 class Subtree(InputPartition):
     """A directory below the root, with everything under it or its entries only."""
@@ -174,6 +181,7 @@ def scan_tree(
     Ignored directories are not entered and too large files not listed. What cannot
     be read becomes a row with ``error`` and the scan goes on.
     """
+    _send_code_along()
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("tree").option("ignorePatterns", json.dumps(list(patterns)))
     if max_size is not None:
@@ -184,6 +192,7 @@ def scan_tree(
 
 def read_contents(files: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
     """Add ``content`` to listed files; a file that cannot be read gets an ``error``."""
+    _send_code_along()
     spark = files.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([*_ARROW_LISTING, ("content", pa.binary())])

@@ -76,3 +76,23 @@ def test_a_file_that_vanishes_after_listing(spark, root):
     )
     row = read_contents(frame, root, 1).first()
     assert row.content is None and row.error.startswith("read error")
+
+
+def test_executors_need_no_copy_of_the_package(root):
+    """A driver outside the repository scans; the workers cannot import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parent.parent)!r})
+from sheaf import read_contents, scan_tree
+from sheaf.session import build_session
+spark = build_session("local[2]")
+print("rows", read_contents(scan_tree(spark, {root!r}, ["src"]), {root!r}, 2).where("error is null").count())
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=300
+    )
+    assert f"rows {len(FILES) - 1}" in done.stdout, done.stderr[-2000:]
