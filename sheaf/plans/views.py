@@ -18,9 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table whose texts are worked on, dealt out to all cores."""
-    return read_table(spark, f"{folder}/{name}.parquet", spread=True)
+    return read_table(spark, f"{folder}/{name}.parquet", spread_by=_KEYS[name])
 
 
 def _pick(number: Column, *values: str) -> Column:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
     """Read a parquet table.
 
-    ``spread`` is for text work, which is bound by CPU: a table with fewer splits than
-    there are cores (one small file is one split) is then dealt out to all cores. A
-    large table has more splits than that and is left as it is.
+    ``spread_by`` names a key, for text work, which is bound by CPU: a table with fewer
+    splits than there are cores (one small file is one split) is then dealt out to all
+    cores by that key. A large table has more splits than that and is left as it is.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    if spread_by is not None and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_by)
     return df
