@@ -15,7 +15,6 @@ import sys
 import time
 
 HEADLINES = (
-    "context_bundle",
     "comment_stripping",
     "overlapping_chunks",
     "budget_packing_lines",
@@ -31,6 +30,7 @@ HEADLINES = (
     "latest_writes",
     "selection_state",
     "selected_contents",
+    "context_bundle",
 )
 RUNS = 3
 
