@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sheaf.llm.embedding_dedup import op2_embedding_dedup
 from sheaf.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sheaf.llm.language_id import op3_language_id
 from sheaf.llm.line_dedup import OP6_SQL, op6_line_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing,
+        op2_embedding_dedup,
         op3_language_id,
         op4_mixing,
         op5_exact_dedup,
