@@ -7,6 +7,7 @@ from sheaf.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from sheaf.llm.language_id import op3_language_id
 from sheaf.llm.line_dedup import OP6_SQL, op6_line_dedup
 from sheaf.llm.mixing import op4_mixing
+from sheaf.llm.ngram_join import op8_ngram_join
 from sheaf.llm.packing import op1_packing
 from sheaf.llm.url_filter import OP10_SQL, op10_url_filter
 
@@ -19,6 +20,7 @@ QUERIES = {
         op4_mixing,
         op5_exact_dedup,
         op6_line_dedup,
+        op8_ngram_join,
         op10_url_filter,
     )
 }
