@@ -10,6 +10,7 @@ from sheaf.llm.mixing import op4_mixing
 from sheaf.llm.ngram_join import op8_ngram_join
 from sheaf.llm.packing import op1_packing
 from sheaf.llm.toxicity import op9_toxicity
+from sheaf.llm.training_order import op7_training_order
 from sheaf.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
         op4_mixing,
         op5_exact_dedup,
         op6_line_dedup,
+        op7_training_order,
         op8_ngram_join,
         op9_toxicity,
         op10_url_filter,
