@@ -1,0 +1,165 @@
+"""Operators made of DataFrame functions: against their SQL, and on awkward rows."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sheaf.llm import exact_dedup, line_dedup, url_filter
+from sheaf.llm.common import literal_rows
+from sheaf.llm.queries import ORACLES, QUERIES
+from tests.compare import compare, connect
+from tests.llm.cases import documents, odd_documents
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_its_sql(spark, db, name):
+    assert compare(spark, db, FOLDER, QUERIES[name], ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op6_line_dedup", "op10_url_filter"])
+def test_native_plans_run_no_python(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_exact_dedup_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    rows = exact_dedup.dedup(docs).collect()
+    assert len(rows) == docs.count()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.text_sha256, []).append(r)
+    for group in by_text.values():
+        assert sum(r.kept for r in group) == 1
+        assert all(r.group_size == len(group) for r in group)
+        assert all(r.keep_id == max((x.doc_id for x in group if x.doc_id is not None), default=None) for r in group)
+    assert len(by_text[hashlib.sha256(b"").hexdigest()]) == 3
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted({r.text or "" for r in docs.collect()})
+
+
+def test_exact_dedup_of_nothing(spark):
+    docs = documents(spark, [])
+    assert exact_dedup.dedup(docs).count() == 0
+    assert exact_dedup.keep_first(docs).count() == 0
+
+
+def test_index_persists_between_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    first = documents(spark, [(1, "a", "", ""), (2, "b", "", ""), (3, "a", "", "")])
+    second = documents(spark, [(4, "b", "", ""), (5, "c", "", ""), (6, "c", "", "")])
+    exact_dedup.dedup(first, exact_dedup.DigestIndex.open(spark, path, 4)).collect()
+    spark.catalog.clearCache()
+    index = exact_dedup.DigestIndex.open(spark, path, 4)
+    rows = {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in exact_dedup.dedup(second, index).collect()}
+    assert rows == {4: (2, False, 1), 5: (6, False, 2), 6: (6, True, 2)}
+    assert index.rows().count() == 3
+    joined = index.rows().hint("merge").join(index.rows().select("digest"), "digest")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_exact_dedup_with_a_hot_text(spark):
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"),
+    )
+    rows = exact_dedup.dedup(docs)
+    assert rows.where("kept").count() == 4001
+    assert rows.where("group_size = 2000 AND keep_id = 5997").count() == 2000
+
+
+def test_line_dedup_deletes_later_runs(spark):
+    long = " ".join(f"x{i}" for i in range(30))
+    docs = documents(
+        spark,
+        [
+            (1, "a\nb\nc\nd", "", ""),
+            (2, "z\na\nb\nc\nd\ny", "", ""),
+            (3, "a\nb\nq", "", ""),
+            (4, long, "", ""),
+            (5, "p\n" + long + "\nr", "", ""),
+        ],
+    )
+    got = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1] == ("a\nb\nc\nd", 4, 0)
+    assert got[2] == ("z\ny", 6, 4)
+    assert got[3] == ("a\nb\nq", 3, 0)
+    assert got[4] == (long, 1, 0)
+    assert got[5] == ("p\nr", 3, 1)
+
+
+def test_line_dedup_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_deleted"]
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    assert [r.text for r in rows if r.doc_id == 1] == ["one two three four five six"] * 2
+    assert [(r.text, r.n_deleted) for r in rows if r.doc_id == 8] == [("line\nline\nline"[:4], 4)]
+    assert all(r.text == "" and r.n_lines == 1 for r in rows if r.doc_id in (3, 4))
+    assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+
+
+def test_urls_and_nested_rules(spark):
+    urls = [
+        "http://A.Example.NET/en/x?y#z", "https://example.net", "https://example.net/", "x://n.org/fr/a",
+        "no scheme", None, "http://badexample.com/de/", "http://example.com/de/q", "http://sub.example.com/de",
+        "http://user@h:80/p", "http://net/", "a://b://c/d", "http://deep.net/p/q/r",
+    ]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(None, urls[0], 1)], "page_id bigint, url string, key int")
+    rules = literal_rows(
+        spark,
+        [*url_filter.RULES, ("deep.net", "/p/q/", "allow"), ("deep.net", "/p/q/", "block"), (None, "/", "block"), ("deep.net", "/p/", "odd")],
+        "host string,path string,verdict string",
+    )
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got[0] == got[None] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[1] == ("example.net", "", None, "allow")
+    assert got[2] == ("example.net", "/", "net/", "block")
+    assert got[3][2:] == ("org/fr/", "allow")
+    assert got[4] == got[5] == ("", "", None, "allow")
+    assert got[6][2] is None and got[7][2:] == ("example.com/de/", "block") and got[8][2] is None
+    assert got[9][:2] == ("user@h:80", "/p") and got[10][2] == "net/" and got[11][:2] == ("b:", "//c/d")
+    assert got[12][2:] == ("deep.net/p/q/", "block")
+
+
+def test_urls_without_rules_and_without_pages(spark):
+    none = literal_rows(spark, [], "host string,path string,verdict string")
+    pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string")
+    assert [tuple(r) for r in url_filter.filter_urls(pages, none).collect()] == [(1, "a.b", "/c", None, "allow")]
+    rules = literal_rows(spark, url_filter.RULES, "host string,path string,verdict string")
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_many_rules_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    labels = ["a", "b", "c", "com", "net"]
+    host = lambda n: ".".join(rng.choices(labels, k=n))
+    path = lambda: "/" + "/".join(rng.choices("xy", k=rng.randint(0, 3)))
+    rules = sorted({(host(rng.randint(1, 3)), path()) for _ in range(60)})
+    rules = [(h, p, rng.choice(["allow", "block"])) for h, p in rules]
+    pages = [(i, f"http://{host(rng.randint(1, 4))}{path()}") for i in range(3000)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    table = literal_rows(spark, rules, "host string,path string,verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(frame, table).collect()}
+    for i, url in pages:
+        h, _, p = url[7:].partition("/")
+        fits = [
+            (len(rh) + 1 + len(rp), len(rh), v == "block", rh + rp, v)
+            for rh, rp, v in rules
+            if (h == rh or h.endswith("." + rh)) and ("/" + p).startswith(rp)
+        ]
+        want = max(fits)[3:] if fits else (None, "allow")
+        assert got[i] == want, url
