@@ -36,7 +36,7 @@ from sheaf.llm.common import ranked, text_batches, written
 from sheaf.llm.tokens import default_vocabulary, encoded
 
 CAPACITY = 2048
-GROUPS = 1024
+GROUPS = 8192
 SMALL = 8
 """Lengths up to a ``SMALL``-th of the capacity are small."""
 
@@ -90,7 +90,8 @@ def _groups(counts: Mapping[int, int], groups: int) -> list[tuple[int, list[list
         rank, left = 0, counts[length]
         while left:
             if not room:
-                out.append((length, []))
+                if not out or out[-1][0] != length:  # groups of one size are one
+                    out.append((length, []))
                 room = each
             n = min(left, room)
             out[-1][1].append([length, rank, n])
