@@ -94,7 +94,11 @@ def _groups(counts: Mapping[int, int], groups: int) -> list[tuple[int, list[list
                     out.append((length, []))
                 room = each
             n = min(left, room)
-            out[-1][1].append([length, rank, n])
+            runs = out[-1][1]
+            if runs and runs[-1][0] == length:
+                runs[-1][2] += n
+            else:
+                runs.append([length, rank, n])
             rank, left, room = rank + n, left - n, room - n
     return out
 
