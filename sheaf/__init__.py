@@ -13,6 +13,7 @@ from sheaf.operators.filters import (
     filter_size,
     filter_tree_ignored,
     gate_processable,
+    over_size,
     with_is_binary,
 )
 from sheaf.operators.search import (
@@ -26,8 +27,16 @@ from sheaf.operators.search import (
 from sheaf.operators.selection import apply_ops, select_contents, selection_state
 from sheaf.operators.tree import dir_tree, render_tree
 from sheaf.options import BundleOptions
-from sheaf.plans.bundle import Bundle, build_bundle, bundle_chunks, processed_files
-from sheaf.sinks.bundle import read_bundle, write_bundle, write_json, write_xml, write_yaml
+from sheaf.plans.bundle import Bundle, build_bundle, bundle_chunks, bundle_listing, processed_files
+from sheaf.sinks.bundle import (
+    read_bundle,
+    read_context,
+    write_bundle,
+    write_json,
+    write_xml,
+    write_yaml,
+)
+from sheaf.sinks.tree import write_tree
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import read_selection, selection_stream, write_selection
@@ -38,6 +47,7 @@ __all__ = [
     "apply_ops",
     "build_bundle",
     "bundle_chunks",
+    "bundle_listing",
     "cap_files",
     "chunk_bytes",
     "dir_tree",
@@ -47,11 +57,13 @@ __all__ = [
     "gate_processable",
     "grep_lines",
     "match_stats",
+    "over_size",
     "overlap_tail",
     "pack_segments",
     "preview",
     "processed_files",
     "read_bundle",
+    "read_context",
     "read_contents",
     "read_selection",
     "render_tree",
@@ -72,6 +84,7 @@ __all__ = [
     "write_available",
     "write_bundle",
     "write_json",
+    "write_tree",
     "write_selection",
     "write_xml",
     "write_yaml",

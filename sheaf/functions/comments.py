@@ -16,7 +16,7 @@ The rules it reproduces:
   left the line disappears;
 * white-space lines, also inside blocks, become one blank line per run;
 * leading blank lines become two line feeds, trailing ones vanish;
-* a file with a line of 64 KiB or more is left alone.
+* a file with a line of ``max_line_bytes`` or more, if that is given, is left alone.
 
 Every repeated group below is possessive, so the regex engine loops instead of
 recursing and a block of a million lines does not overflow the stack.
@@ -29,7 +29,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.constants import LONG_LINE_BYTES, SPACE_BYTES_WIDE
+from sheaf.functions.constants import SPACE_BYTES_WIDE
 from sheaf.functions.text import as_bytes_text, as_text, from_bytes_text, has_line_of
 
 
@@ -92,14 +92,13 @@ def _stripped(text: Column, reading: _Reading) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{space}*+\z", "")
 
 
-def strip_comments(content: Column) -> Column:
+def strip_comments(content: Column, max_line_bytes: int | None = None) -> Column:
     """``content`` without C-style comments; BINARY in, BINARY out."""
     text = as_text(content)
     as_utf8 = _stripped(text, _UTF8).cast("binary")
     # Bytes that are not UTF-8 must come out as they went in.
     as_bytes = from_bytes_text(_stripped(as_bytes_text(content), _BYTES))
-    return (
-        F.when(has_line_of(content, LONG_LINE_BYTES), content.cast("binary"))
-        .when(F.is_valid_utf8(text), as_utf8)
-        .otherwise(as_bytes)
-    )
+    stripped = F.when(F.is_valid_utf8(text), as_utf8).otherwise(as_bytes)
+    if max_line_bytes is None:
+        return stripped
+    return F.when(has_line_of(content, max_line_bytes), content.cast("binary")).otherwise(stripped)

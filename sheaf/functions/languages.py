@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sheaf.functions.constants import (
     LANGUAGE_BY_EXTENSION,
     LANGUAGE_BY_SHEBANG,
-    LONG_LINE_BYTES,
     UNKNOWN_LANGUAGE,
 )
 from sheaf.functions.text import as_text
@@ -28,11 +27,12 @@ def language_by_extension(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
-def language_by_shebang(content: Column) -> Column:
+def language_by_shebang(content: Column, max_line_bytes: int | None = None) -> Column:
     """Language named in a leading ``#!`` line.
 
     One line can hold several known names (``sh`` is part of many); the longest
-    wins, then the alphabetically first, so the answer does not vary.
+    wins, then the alphabetically first, so the answer does not vary. A line of
+    ``max_line_bytes`` or more, if that is given, is not looked at.
     """
     first_line = F.substring_index(as_text(content), "\n", 1)
     names = sorted(LANGUAGE_BY_SHEBANG, key=lambda name: (-len(name), name))
@@ -40,12 +40,20 @@ def language_by_shebang(content: Column) -> Column:
         *[F.when(first_line.contains(name), F.lit(LANGUAGE_BY_SHEBANG[name])) for name in names]
     )
     is_shebang = F.substring(content, 1, 2) == F.lit(b"#!")
-    return F.when(is_shebang & (F.octet_length(first_line) < LONG_LINE_BYTES), found)
+    if max_line_bytes is not None:
+        is_shebang = is_shebang & (F.octet_length(first_line) < max_line_bytes)
+    return F.when(is_shebang, found)
 
 
-def detect_language(path: Column, content: Column, known: Column | None = None) -> Column:
+def detect_language(
+    path: Column, content: Column, known: Column | None = None, max_line_bytes: int | None = None
+) -> Column:
     """Known language, else by extension, else by shebang, else ``unknown``."""
-    candidates = [language_by_extension(path), language_by_shebang(content), F.lit(UNKNOWN_LANGUAGE)]
+    candidates = [
+        language_by_extension(path),
+        language_by_shebang(content, max_line_bytes),
+        F.lit(UNKNOWN_LANGUAGE),
+    ]
     if known is not None:
         candidates.insert(0, F.nullif(known, F.lit("")))
     return F.coalesce(*candidates)

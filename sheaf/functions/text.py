@@ -40,6 +40,22 @@ def from_bytes_text(text: Column) -> Column:
     return F.encode(text, "ISO-8859-1")
 
 
+def lower_letters(text: Column) -> Column:
+    """Lower case letter by letter.
+
+    ``lower`` looks at the letters around a capital sigma and makes two of a dotted
+    capital I; these two are mapped first, and only in texts that hold one.
+    """
+    special = text.contains("Σ") | text.contains("İ")
+    mapped = F.translate(text, "Σİ", "σi")
+    return F.lower(F.when(special, mapped).otherwise(text))
+
+
+def lower_query(query: str) -> str:
+    """``lower_letters`` of a search text."""
+    return "".join("i" if c == "İ" else c.lower() for c in query)
+
+
 def byte_length(content: Column) -> Column:
     return F.octet_length(content).cast("bigint")
 
@@ -77,9 +93,9 @@ def trim_spaces(content: Column) -> Column:
     return from_bytes_text(text)
 
 
-def is_binary(content: Column) -> Column:
-    """More than the allowed share of the first bytes is not printable."""
-    head = as_bytes_text(F.substring(content, 1, BINARY_SAMPLE_BYTES))
+def is_binary(content: Column, sample_bytes: int = BINARY_SAMPLE_BYTES) -> Column:
+    """More than the allowed share of the first ``sample_bytes`` bytes is not printable."""
+    head = as_bytes_text(F.substring(content, 1, sample_bytes))
     printable = F.regexp_replace(head, f"[{NON_PRINTABLE_CLASS}]+", "")
     dropped = F.length(head) - F.length(printable)
     share = dropped.cast("double") / F.length(head).cast("double")

@@ -94,7 +94,8 @@ def chunk_bytes(
     Only documents whose ``gate`` column exceeds ``size`` are cut (the original
     size, which differs from the content's after comment stripping); without a
     gate a short document gives one chunk. Each chunk is trimmed and ends with one
-    line feed; tokens and lines are counted on the untrimmed bytes.
+    line feed; tokens and lines are counted on the untrimmed bytes. A size of 0 means the
+    default size.
     """
     require_non_negative(size=size, overlap=overlap)
     size = size or DEFAULT_CHUNK_SIZE

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from sheaf.functions import comments, languages, text
 
 
-def with_language(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def with_language(
+    df: DataFrame, path: str = "path", content: str = "content", max_line_bytes: int | None = None
+) -> DataFrame:
     known = F.col("language") if "language" in df.columns else None
-    return df.withColumn("language", languages.detect_language(F.col(path), F.col(content), known))
+    found = languages.detect_language(F.col(path), F.col(content), known, max_line_bytes)
+    return df.withColumn("language", found)
 
 
-def strip_comments(df: DataFrame, content: str = "content") -> DataFrame:
-    return df.withColumn(content, comments.strip_comments(F.col(content)))
+def strip_comments(
+    df: DataFrame, content: str = "content", max_line_bytes: int | None = None
+) -> DataFrame:
+    return df.withColumn(content, comments.strip_comments(F.col(content), max_line_bytes))
 
 
 def with_token_count(df: DataFrame, content: str = "content") -> DataFrame:

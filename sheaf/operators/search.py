@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.constants import PREVIEW_CONTEXT, PREVIEW_LINES
 from sheaf.functions.globs import quote
-from sheaf.functions.text import as_text, line_count, newline_count
+from sheaf.functions.text import as_text, line_count, lower_letters, lower_query, newline_count
 
-# Up to this k Spark cuts row_number() <= k before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_PUSHED_TOP_K = 1000
+# Salts of the rounds that cut a query's paths to k, the last of which sees one part.
+_TOP_K_PARTS = (4096, 64, 1)
 
 
 def _contains(text: Column, query: str) -> Column:
     """Case-insensitive substring test."""
-    return F.lower(text).contains(F.lower(F.lit(query)))
+    return lower_letters(text).contains(lower_query(query))
 
 
 def search_path(df: DataFrame, query: str, path: str = "path") -> DataFrame:
@@ -55,7 +54,7 @@ def search_fuzzy(df: DataFrame, query: str, k: int, path: str = "path") -> DataF
 
     Best first: shortest leftmost span, earliest start, shortest path, path. Adds
     ``span`` and ``start``. The order and limit become one top-k per task, so only
-    k rows per task travel. An empty query keeps every file.
+    k rows per task travel. An empty query keeps every file, whatever k is.
     """
     if query == "":
         return df.withColumns({"span": F.lit(0).cast("bigint"), "start": F.lit(0).cast("bigint")})
@@ -68,25 +67,32 @@ def search_fuzzy_many(df: DataFrame, queries: Sequence[str], k: int, path: str =
     """Top-``k`` paths of each query, with ``rank``, in one pass over the paths.
 
     The queries are part of the expression, each compiled once, so no join is
-    needed. A query that matches a third of all paths does not flood one task:
-    row_number() <= k is applied per task before the shuffle, and for a large k
-    per salted part of the query first.
+    needed, and a path becomes rows only for the queries it matches. A query that
+    matches a third of all paths does not flood one task: its paths are cut to k in
+    rounds of ever fewer parts, so no task holds more than 64 times k of them. Every
+    path matches the empty query; without queries there are no rows.
     """
     found = [
-        F.struct(F.lit(q).alias("query"), _fuzzy_span(F.col(path), q).alias("found"))
+        F.struct(
+            F.lit(q).alias("query"),
+            (_fuzzy_span(F.col(path), q) if q else F.lit("")).alias("found"),
+            F.lit(q == "").alias("every"),
+        )
         for q in dict.fromkeys(queries)
-        if q != ""
     ]
-    hits = df.select(path, F.explode(F.array(*found)).alias("_hit"))
+    kind = "array<struct<query: string, found: string, every: boolean>>"
+    spans = F.array(*found).cast(kind)
+    matched = F.filter(spans, lambda hit: hit["every"] | (hit["found"] != ""))
+    hits = df.select(path, F.explode(matched).alias("_hit"))
     hits = hits.select(path, "_hit.query", F.col("_hit.found").alias("_found"))
-    hits = _with_rank_columns(hits.where(F.col("_found") != ""), path)
-    order = _fuzzy_order(path)
-    if k > _PUSHED_TOP_K:
-        salt = F.pmod(F.xxhash64(path), F.lit(1024))
-        part = Window.partitionBy("query", salt).orderBy(*order)
-        hits = hits.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+    hits = _with_rank_columns(hits, path)
+    hits = hits.withColumn("start", F.greatest("start", F.lit(0)))
+    for parts in _TOP_K_PARTS:
+        # The salts are powers of two, so a part is made of whole parts of the round before.
+        salt = F.pmod(F.xxhash64(path), F.lit(parts))
+        within = Window.partitionBy("query", salt).orderBy(*_fuzzy_order(path))
+        hits = hits.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k)
+    return hits
 
 
 def grep_lines(df: DataFrame, query: str, key: str = "path", content: str = "content") -> DataFrame:
@@ -107,11 +113,11 @@ def match_stats(df: DataFrame, query: str, key: str = "path", content: str = "co
     counting matches counts lines, and nothing is exploded or grouped.
     """
     text = as_text(F.col(content))
-    lowered = F.lower(text)
+    lowered = lower_letters(text)
     if query == "" or "\n" in query:
         matches, first = F.lit(0), F.lit(None)
     else:
-        needle = query.lower()
+        needle = lower_query(query)
         matches = F.regexp_count(lowered, F.lit(quote(needle) + r"[^\n]*+"))
         first = F.when(
             lowered.contains(needle), newline_count(F.substring_index(lowered, needle, 1))
@@ -147,8 +153,8 @@ def preview(
         current = F.lit(0)
         matched = F.lit(False)
     else:
-        head = F.lower(F.array_join("_lines", "\n"))
-        needle = query.lower()
+        head = lower_letters(F.array_join("_lines", "\n"))
+        needle = lower_query(query)
         before = newline_count(F.substring_index(head, needle, 1))
         current = F.when(head.contains(needle), before).otherwise(0)
         matched = _contains(F.col("line"), query)

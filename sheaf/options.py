@@ -13,19 +13,22 @@ from sheaf.functions.constants import (
 )
 
 
-def require_non_negative(**values: int) -> None:
+def require_non_negative(**values: int | None) -> None:
     for name, value in values.items():
-        if value < 0:
+        if value is not None and value < 0:
             raise ValueError(f"{name} must be non-negative")
 
 
 @dataclass(frozen=True)
 class BundleOptions:
     ignore_patterns: tuple[str, ...] = DEFAULT_IGNORE_PATTERNS
-    max_file_size: int = DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = DEFAULT_MAX_FILE_SIZE
+    """None keeps files of any size."""
     max_files: int = 0
     """0 keeps every file."""
     strip_comments: bool = False
+    max_line_bytes: int | None = None
+    """Files with a line of so many bytes are not stripped; None strips every file."""
     chunk_size: int = DEFAULT_CHUNK_SIZE
     chunk_overlap: int = DEFAULT_CHUNK_OVERLAP
     max_tokens: int = DEFAULT_MAX_TOKENS
@@ -35,6 +38,7 @@ class BundleOptions:
         require_non_negative(
             max_file_size=self.max_file_size,
             max_files=self.max_files,
+            max_line_bytes=self.max_line_bytes,
             chunk_size=self.chunk_size,
             chunk_overlap=self.chunk_overlap,
             max_tokens=self.max_tokens,

@@ -20,6 +20,7 @@ from sheaf.operators.filters import (
 from sheaf.operators.selection import select_contents
 from sheaf.operators.tree import dir_tree
 from sheaf.options import BundleOptions
+from sheaf.sources.tree import read_contents
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,30 @@ class Bundle:
     """root, parts, depth, line"""
 
 
+def _chosen(files: DataFrame, selected: DataFrame | None, options: BundleOptions) -> DataFrame:
+    """Files that pass the filters and the selection; contents are not looked at."""
+    kept = filter_size(files, options.max_file_size)
+    kept = filter_ignored(kept, options.ignore_patterns)
+    kept = cap_files(kept, options.max_files)
+    return kept if selected is None else select_contents(kept, selected)
+
+
+def _processed(files: DataFrame, options: BundleOptions) -> DataFrame:
+    """Binary and empty files stay with empty content and no language."""
+    limit = options.max_line_bytes
+    kept = gate_processable(with_language(with_is_binary(files), max_line_bytes=limit))
+    if options.strip_comments:
+        kept = strip_comments(kept, max_line_bytes=limit)
+    return kept.select(
+        "path", "size", "is_binary", "language", F.coalesce("content", F.lit(b"")).alias("content")
+    )
+
+
+def _by_path(files: DataFrame) -> DataFrame:
+    """Range-partitioned by path; the second key lets one path fill several partitions."""
+    return files.repartitionByRange("path", F.xxhash64("path", "size"))
+
+
 def processed_files(
     files: DataFrame,
     selected: DataFrame | None = None,
@@ -39,32 +64,48 @@ def processed_files(
     """Files that pass the filters and the selection, ready to be written.
 
     Row filters and the selection come first, so content is looked at only for files
-    that stay. Binary and empty files stay with empty content and no language.
+    that stay.
 
     ``by_path`` range-partitions the files. Finding the ranges reads the files once
-    more, so it happens before the contents are worked on and not after.
+    more, so it happens before the contents are worked on and not after. Where there is a
+    listing, ``bundle_listing`` does without.
     """
-    kept = filter_size(files, options.max_file_size)
-    kept = filter_ignored(kept, options.ignore_patterns)
-    kept = cap_files(kept, options.max_files)
-    if selected is not None:
-        kept = select_contents(kept, selected)
-    if by_path:
-        kept = kept.repartitionByRange("path")
-    kept = gate_processable(with_language(with_is_binary(kept)))
-    if options.strip_comments:
-        kept = strip_comments(kept)
-    return kept.select(
-        "path", "size", "is_binary", "language", F.coalesce("content", F.lit(b"")).alias("content")
-    )
+    kept = _chosen(files, selected, options)
+    return _processed(_by_path(kept) if by_path else kept, options)
+
+
+def _tree(listing: DataFrame, options: BundleOptions) -> DataFrame:
+    paths = listing.select("path")
+    return dir_tree(filter_tree_ignored(paths, options.ignore_patterns), options.root)
 
 
 def build_bundle(
     files: DataFrame, selected: DataFrame | None = None, options: BundleOptions = BundleOptions()
 ) -> Bundle:
-    """The processed files, and the tree of all files under the tree's own ignore rule."""
-    tree = dir_tree(filter_tree_ignored(files.select("path"), options.ignore_patterns), options.root)
-    return Bundle(processed_files(files, selected, options, by_path=True), tree)
+    """The processed files, and the tree of all files under the tree's own ignore rule.
+
+    For files that already have contents, such as the rows of a table.
+    """
+    return Bundle(processed_files(files, selected, options, by_path=True), _tree(files, options))
+
+
+def bundle_listing(
+    listing: DataFrame,
+    root: str,
+    selected: DataFrame | None = None,
+    options: BundleOptions = BundleOptions(),
+) -> Bundle:
+    """The bundle of a listing: contents are read last, and only those of chosen files.
+
+    Filters, cap, selection and the order work on the listing, some hundred bytes a file,
+    and each file is then read once, in its place. The tree is drawn from the listing as
+    it is, so scan without a size limit and without patterns; the options bring both.
+    Files that cannot be read are in the tree only.
+    """
+    good = listing.where("error IS NULL")
+    ordered = _by_path(_chosen(good, selected, options)).sortWithinPartitions("path")
+    read = read_contents(ordered, root, in_place=True).where("error IS NULL")
+    return Bundle(_processed(read, options), _tree(listing.where("size IS NOT NULL"), options))
 
 
 def bundle_chunks(files: DataFrame, options: BundleOptions = BundleOptions()) -> DataFrame:

@@ -284,7 +284,7 @@ lines AS (
 
 _MATCH = f"contains(lower(line), '{q.LINE_QUERY.lower()}')"
 
-_NODES = f"""{PATHS},
+_TREE = """
 nodes AS (
   SELECT DISTINCT parts[1:n] AS parts
   FROM (SELECT string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS n
@@ -295,15 +295,36 @@ tree AS (
   SELECT '.', array_to_string(parts, '/'), CAST(len(parts) - 1 AS BIGINT),
     concat(repeat('  ', len(parts) - 1), '├── ', parts[len(parts)])
   FROM nodes)"""
+_NODES = f"{PATHS},{_TREE}"
+
+
+def _tree_ignored(patterns: tuple[str, ...]) -> str:
+    """Paths that the tree leaves out, of ``paths``."""
+    return f"""
+patterns(pattern) AS (VALUES {_rows(*[(p,) for p in patterns])}),
+names AS (SELECT path, unnest(string_split(path, '/')) AS name FROM (SELECT DISTINCT path FROM paths)),
+tree_ignored AS (
+  SELECT path FROM names, patterns WHERE contains(pattern, '*') AND name GLOB pattern
+  UNION
+  SELECT path FROM paths, patterns WHERE NOT contains(pattern, '*') AND contains(path, pattern))"""
+
 
 _WRITTEN = _with(FILES) + f"""
-SELECT path, md5(content) AS content_md5 FROM files WHERE size <= {DEFAULT_MAX_FILE_SIZE}"""
+SELECT path, md5(content) AS content_md5 FROM files"""
+
+_CONTEXT = (
+    _with(FILES, "paths AS (SELECT path FROM files)", _TREE)
+    + "SELECT '/work & <tree>' AS cwd, line, count(*) AS n FROM tree GROUP BY line"
+)
 
 _KEPT = f"""
 kept AS (
   SELECT * FROM files
   WHERE size <= {DEFAULT_MAX_FILE_SIZE} AND path NOT IN (SELECT path FROM ignored))"""
 
+_ANY_SIZE = """
+kept AS (SELECT * FROM files WHERE path NOT IN (SELECT path FROM ignored))"""
+
 
 def _is_binary(content: str) -> str:
     head = _pairs(f"left(hex(encode({content})), 1024)")
@@ -335,7 +356,7 @@ FROM documents GROUP BY lang""",
 SELECT doc_id, concat('docs/', source, '.py') AS path,
   CAST(octet_length(encode(text)) AS BIGINT) AS size, {_is_binary("text")} AS is_binary,
   'python' AS language, {_tokens("text")} AS token_count
-FROM documents WHERE octet_length(encode(text)) <= {DEFAULT_MAX_FILE_SIZE}""",
+FROM documents""",
     "binary_flag": _with(BINARIES)
     + f"SELECT doc_id, {_is_binary('content')} AS is_binary FROM binaries",
     "processable_gate": _with(BINARIES)
@@ -411,25 +432,22 @@ SELECT doc_id, path, md5(content) AS content_md5 FROM files
 WHERE doc_id IN (SELECT doc_id FROM selected)""",
     "tree_ignore_filter": _with(
         PATHS,
-        f"patterns(pattern) AS (VALUES {_rows(*[(p,) for p in q.TREE_PATTERNS])})",
-        """
-names AS (SELECT path, unnest(string_split(path, '/')) AS name FROM (SELECT DISTINCT path FROM paths)),
-ignored AS (
-  SELECT path FROM names, patterns WHERE contains(pattern, '*') AND name GLOB pattern
-  UNION
-  SELECT path FROM paths, patterns WHERE NOT contains(pattern, '*') AND contains(path, pattern))""",
+        _tree_ignored(q.TREE_PATTERNS),
     )
-    + "SELECT path FROM paths WHERE path NOT IN (SELECT path FROM ignored)",
+    + "SELECT path FROM paths WHERE path NOT IN (SELECT path FROM tree_ignored)",
     "directory_tree": _with(_NODES) + "SELECT root, path, depth, line FROM tree",
     "rendered_tree": _with(_NODES) + "SELECT line, count(*) AS n FROM tree GROUP BY line",
     "xml_bundle": _WRITTEN,
     "json_bundle": _WRITTEN,
     "yaml_bundle": _WRITTEN,
+    "xml_context": _CONTEXT,
+    "json_context": _CONTEXT,
+    "yaml_context": _CONTEXT,
     "context_bundle": _with(
         COMMENTED_FILES,
         _ignored("files", DEFAULT_IGNORE_PATTERNS),
         SELECTED,
-        f"{_KEPT.strip()[:-1]} AND doc_id IN (SELECT doc_id FROM selected))",
+        f"{_ANY_SIZE.strip()[:-1]} AND doc_id IN (SELECT doc_id FROM selected))",
         _languages("kept"),
         _stripped("kept"),
         recursive=True,
@@ -442,7 +460,7 @@ FROM kept k JOIN languages USING (path) JOIN stripped s USING (doc_id)""",
     "context_bundle_chunks": _with(
         COMMENTED_FILES,
         _ignored("files", DEFAULT_IGNORE_PATTERNS),
-        _KEPT,
+        _ANY_SIZE,
         _stripped("kept"),
         f"""
 long AS (
@@ -453,3 +471,14 @@ long AS (
     )
     + f"SELECT path, {_CHUNK_COLUMNS} FROM chunks",
 }
+ORACLES["listed_bundle"] = f"SELECT path, content_md5 FROM ({ORACLES['context_bundle']})"
+ORACLES["listed_tree"] = (
+    _with(
+        COMMENTED_FILES,
+        "all_paths AS (SELECT path FROM files)",
+        _tree_ignored(DEFAULT_IGNORE_PATTERNS).replace("FROM paths", "FROM all_paths"),
+        "paths AS (SELECT path FROM all_paths WHERE path NOT IN (SELECT path FROM tree_ignored))",
+        _TREE,
+    )
+    + "SELECT 'files' AS cwd, line, count(*) AS n FROM tree GROUP BY line"
+)

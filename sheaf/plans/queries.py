@@ -12,9 +12,10 @@ from sheaf.functions.text import as_text
 from sheaf.operators import chunking, enrich, filters, search, selection, tree
 from sheaf.options import BundleOptions
 from sheaf.plans import views
-from sheaf.plans.bundle import build_bundle, bundle_chunks, processed_files
+from sheaf.plans.bundle import build_bundle, bundle_chunks, bundle_listing, processed_files
 from sheaf.session import new_folder
-from sheaf.sinks.bundle import read_bundle, write_bundle
+from sheaf.sinks.bundle import read_bundle, read_context, write_bundle
+from sheaf.sinks.tree import write_tree
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import read_selection, selection_stream, write_selection
@@ -81,7 +82,7 @@ def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("size"),
         F.col("text").cast("binary").alias("content"),
     )
-    rows = filters.with_is_binary(filters.filter_ignored(filters.filter_size(rows)))
+    rows = filters.with_is_binary(filters.filter_ignored(rows))
     rows = enrich.with_token_count(enrich.strip_comments(enrich.with_language(rows)))
     rows = rows.select("doc_id", "path", "size", "is_binary", "language", "token_count")
     out = new_folder(spark, "incremental")
@@ -244,14 +245,42 @@ def rendered_tree(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bundle(spark: SparkSession, folder: str, format: str) -> DataFrame:
-    """All files written as a bundle and read back."""
-    bundle = build_bundle(views.files(spark, folder), options=BundleOptions(ignore_patterns=()))
+def _written_bundle(spark: SparkSession, folder: str, format: str) -> str:
+    """All files written as a bundle; returns its folder."""
+    options = BundleOptions(ignore_patterns=(), max_file_size=None)
+    bundle = build_bundle(views.files(spark, folder), options=options)
     out = new_folder(spark, format)
-    write_bundle(bundle.files, bundle.tree, out, format)
+    write_bundle(bundle.files, bundle.tree, out, format, cwd="/work & <tree>")
+    return out
+
+
+def _bundle(spark: SparkSession, folder: str, format: str) -> DataFrame:
+    out = _written_bundle(spark, folder, format)
     return read_bundle(spark, out, format).select("path", _md5())
 
 
+def _tree_lines(context: DataFrame) -> DataFrame:
+    lines = context.select("cwd", F.explode(F.split("tree", "\n")).alias("line")).where("line != ''")
+    return lines.groupBy("cwd", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _context(spark: SparkSession, folder: str, format: str) -> DataFrame:
+    """The directory context of a written bundle, read back and counted by line."""
+    return _tree_lines(read_context(spark, _written_bundle(spark, folder, format), format))
+
+
+def xml_context(spark: SparkSession, folder: str) -> DataFrame:
+    return _context(spark, folder, "xml")
+
+
+def json_context(spark: SparkSession, folder: str) -> DataFrame:
+    return _context(spark, folder, "json")
+
+
+def yaml_context(spark: SparkSession, folder: str) -> DataFrame:
+    return _context(spark, folder, "yaml")
+
+
 def xml_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return _bundle(spark, folder, "xml")
 
@@ -274,14 +303,37 @@ def context_bundle(spark: SparkSession, folder: str) -> DataFrame:
     rows = processed_files(
         views.commented_files(spark, folder),
         _selected_paths(spark, folder),
-        BundleOptions(strip_comments=True),
+        BundleOptions(strip_comments=True, max_file_size=None),
     )
     return rows.select("path", "size", "is_binary", "language", _md5())
 
 
+def _listed_bundle(spark: SparkSession, folder: str) -> str:
+    """Documents written as a tree of files, listed, and bundled from the listing."""
+    root, out = new_folder(spark, "files").removeprefix("file:"), new_folder(spark, "listed")
+    write_tree(views.commented_files(spark, folder), root)
+    options = BundleOptions(strip_comments=True, max_file_size=None)
+    chosen = _selected_paths(spark, folder)
+    bundle = bundle_listing(scan_tree(spark, root), root, chosen, options)
+    write_bundle(bundle.files, bundle.tree, out, "json", cwd="files")
+    return out
+
+
+def listed_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole run from a directory tree: the selected files as they were written."""
+    return read_bundle(spark, _listed_bundle(spark, folder), "json").select("path", _md5())
+
+
+def listed_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The same run's directory tree, of all files under the tree's own rule."""
+    return _tree_lines(read_context(spark, _listed_bundle(spark, folder), "json"))
+
+
 def context_bundle_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the whole run on all files, comments stripped."""
-    options = BundleOptions(strip_comments=True, chunk_size=1000, chunk_overlap=100)
+    options = BundleOptions(
+        strip_comments=True, max_file_size=None, chunk_size=1000, chunk_overlap=100
+    )
     rows = processed_files(views.commented_files(spark, folder), options=options)
     return _chunk_rows(bundle_chunks(rows, options), "path")
 
@@ -323,6 +375,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         xml_bundle,
         json_bundle,
         yaml_bundle,
+        xml_context,
+        json_context,
+        yaml_context,
+        listed_bundle,
+        listed_tree,
         context_bundle,
         context_bundle_chunks,
     )

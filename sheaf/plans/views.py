@@ -18,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
-_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:

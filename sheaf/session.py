@@ -28,6 +28,9 @@ def build_session(master: str | None = None, app_name: str = "sheaf", **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.columnarReaderBatchSize": "256",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Streaming state on disk: it grows with the files, not with the heap.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state"
+        ".RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
         **conf,
     }

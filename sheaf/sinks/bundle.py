@@ -91,6 +91,22 @@ def write_bundle(
     writers[format.lower()](files, tree, folder, cwd)
 
 
+def read_context(spark, folder: str, format: str = "xml") -> DataFrame:
+    """The directory context of a written bundle: cwd, block, tree."""
+    schema = "cwd string, block bigint, tree string"
+    context = f"{folder}/context"
+    if format == "xml":
+        read = spark.read.format("xml").schema(schema)
+        return read.options(rowTag="directory-context", ignoreSurroundingSpaces="false").load(context)
+    if format == "json":
+        return spark.read.schema(schema).json(context)
+    if format == "yaml":
+        lines = spark.read.text(context).where(F.col("value") != "---")
+        read = F.from_json("value", "directory_context struct<cwd: string, block: bigint, tree: string>")
+        return lines.select(read.alias("row")).select("row.directory_context.*")
+    raise ValueError(f"invalid format: {format}")
+
+
 def read_bundle(spark, folder: str, format: str = "xml") -> DataFrame:
     """The files of a written bundle: path, content."""
     schema = "path string, content string"

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: tuple[str, ...] = ()) -> DataFrame:
     """Read a parquet table.
 
-    ``spread_by`` names a key, for text work, which is bound by CPU: a table with fewer
-    splits than there are cores (one small file is one split) is then dealt out to all
-    cores by that key. A large table has more splits than that and is left as it is.
+    ``spread_by`` names the columns of a key, for text work, which is bound by CPU. A
+    table no larger than one split, which one task would read whatever the cluster's
+    size, is then dealt out to all cores by the key. Any larger table is read as it is:
+    its splits keep executors busy, and its texts are not shuffled.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
+    if spread_by and _size(df) <= _split_size(spark):
+        return df.repartition(spark.sparkContext.defaultParallelism, *spread_by)
     return df
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the table's files, from their listing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _split_size(spark: SparkSession) -> int:
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return int(bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")))

@@ -1,35 +1,35 @@
 """Files of a directory tree as a table.
 
-Spark's ``binaryFile`` source leaves out dot files, names that start with ``_``
-and empty files, so listing is a Python data source. It works in two steps so
-that neither the driver nor one task has to hold or read the whole tree:
-
-1. ``scan_tree`` lists. The driver opens directories only until there are enough
-   of them to share out; executors walk what is below, without opening a file.
-2. ``read_contents`` reads. Rows are spread by path first, so files of one large
-   directory are read by all executors, and size and ignore filters in between
-   keep files from being opened at all.
-
-The root has to be reachable under the same path from every executor.
+Spark's ``binaryFile`` source leaves out dot files, names that start with ``_`` and empty
+files, so directories are listed here. It works in two steps so that neither the driver
+nor one task has to hold or read the whole tree:
+
+1. ``scan_tree`` lists level by level: the directories of a level are dealt out to all
+   tasks, whose rows are written to the shared folder, and the directories among them are
+   the next level. The driver opens no directory; it only counts.
+2. ``read_contents`` reads. Size and ignore filters in between keep files from being
+   opened at all.
+
+The root is a path that every executor can reach, or the address of a store that Arrow's
+file systems know (``s3://``, ``gs://``, ``hdfs://``, ``file://``).
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheaf.functions.globs import glob_to_regex
+from sheaf.session import new_folder
 
 LISTING_SCHEMA = "path string, size bigint, mod_time timestamp, error string"
 _ARROW_LISTING = pa.schema(
@@ -40,21 +40,21 @@ _ARROW_LISTING = pa.schema(
         ("error", pa.string()),
     ]
 )
+_ARROW_LEVEL = pa.schema([*_ARROW_LISTING, ("is_directory", pa.bool_())])
 _LISTED_PER_BATCH = 10_000
 _READ_BYTES_PER_BATCH = 32 * 1024 * 1024
+_BYTES_PER_TASK = 128 * 1024 * 1024
+# A batch's contents have 31-bit offsets.
+_MOST_BYTES = (1 << 31) - 1 - _READ_BYTES_PER_BATCH
 
 
 def _send_code_along() -> None:
-    """Pickle this package by value, so that executors need no copy of it."""
-    cloudpickle.register_pickle_by_value(sys.modules["sheaf"])
+    """Pickle this package by value, so that executors need no copy of it.
 
-
-@dataclass
-class Subtree(InputPartition):
-    """A directory below the root, with everything under it or its entries only."""
-
-    directory: str
-    recursive: bool
+    This holds for the whole process. Shipping the package with ``addArtifacts`` or
+    ``--py-files`` is the usual way and does not hurt either.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["sheaf"])
 
 
 class _Ignore:
@@ -72,101 +72,80 @@ class _Ignore:
         return relative.startswith(self._prefixes)
 
 
+def _is_address(root: str) -> bool:
+    return "://" in root
+
+
+def _failed(path: str, error: str) -> tuple:
+    return (path, None, None, error, False)
+
+
 def _entry(entry: os.DirEntry, relative: str) -> tuple:
+    try:
+        relative.encode()
+    except UnicodeEncodeError:
+        shown = os.fsencode(relative).decode("utf-8", "backslashreplace")
+        return _failed(shown, "the name is not UTF-8")
+    if entry.is_dir(follow_symlinks=False):
+        return (relative, None, None, None, True)
     try:
         info = entry.stat()
     except OSError as error:
-        return (relative, None, None, f"stat error: {error.strerror}")
+        return _failed(relative, f"stat error: {error.strerror}")
     if not entry.is_file():
-        return (relative, None, None, "not a regular file")
-    return (relative, info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc), None)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str, patterns: list[str], max_size: int | None, parts: int):
-        self.root, self.max_size, self.parts = root, max_size, parts
-        self.ignored = _Ignore(patterns)
-
-    def partitions(self) -> list[Subtree]:
-        if self.ignored("."):
-            return []
-        open_directories, shared = [""], []
-        while open_directories and len(open_directories) < self.parts:
-            level, open_directories = open_directories, []
-            for directory in level:
-                shared.append(Subtree(directory, recursive=False))
-                open_directories += self._directories(directory)
-        return shared + [Subtree(d, recursive=True) for d in open_directories]
-
-    def read(self, partition: Subtree | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are no partitions
-            return
-        rows: list[tuple] = []
-        for row in self._walk(partition):
-            rows.append(row)
-            if len(rows) == _LISTED_PER_BATCH:
-                yield self._batch(rows)
-                rows = []
-        if rows:
-            yield self._batch(rows)
+        return _failed(relative, "not a regular file")
+    return (relative, info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc), None, False)
+
+
+def _local_entries(root: str, directory: str) -> Iterator[tuple]:
+    with os.scandir(os.path.join(root, directory)) as entries:
+        for entry in entries:
+            yield _entry(entry, f"{directory}/{entry.name}" if directory else entry.name)
 
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW_LISTING)]
-        return pa.RecordBatch.from_arrays(columns, schema=_ARROW_LISTING)
 
-    def _scan(self, directory: str) -> Iterator[tuple[os.DirEntry, str]]:
-        with os.scandir(os.path.join(self.root, directory)) as entries:
-            for entry in entries:
-                relative = f"{directory}/{entry.name}" if directory else entry.name
-                if not self.ignored(relative):
-                    yield entry, relative
+def _stored_entries(root: str, directory: str) -> Iterator[tuple]:
+    system, base = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{directory}")
+    for info in system.get_file_info(fs.FileSelector(base)):
+        relative = f"{directory}/{info.base_name}" if directory else info.base_name
+        if info.type == fs.FileType.Directory:
+            yield (relative, None, None, None, True)
+        elif info.type == fs.FileType.File:
+            yield (relative, info.size, info.mtime, None, False)
+        else:
+            yield _failed(relative, "not a regular file")
 
-    def _directories(self, directory: str) -> list[str]:
+
+def _list_level(directories: DataFrame, root: str, ignored: _Ignore, max_size: int | None) -> DataFrame:
+    """The entries of each of the directories; those that are directories are marked."""
+    entries = _stored_entries if _is_address(root) else _local_entries
+
+    def rows(directory: str) -> Iterator[tuple]:
         try:
-            return [r for e, r in self._scan(directory) if e.is_dir(follow_symlinks=False)]
-        except OSError:
-            return []  # the task that lists this directory reports it
-
-    def _walk(self, partition: Subtree) -> Iterator[tuple]:
-        todo = [partition.directory]
-        while todo:
-            directory = todo.pop()
-            try:
-                for entry, relative in self._scan(directory):
-                    if entry.is_dir(follow_symlinks=False):
-                        if partition.recursive:
-                            todo.append(relative)
-                        continue
-                    row = _entry(entry, relative)
-                    if self.max_size is None or row[1] is None or row[1] <= self.max_size:
-                        yield row
-            except OSError as error:
-                yield (directory or ".", None, None, f"walk error: {error.strerror}")
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("tree").load(root)``.
-
-    Options: ``ignorePatterns`` (JSON list), ``maxSize`` (bytes), ``parts`` (how many
-    directories to share out).
-    """
+            for row in entries(root, directory):
+                large = max_size is not None and row[1] is not None and row[1] > max_size
+                if not large and not ignored(row[0]):
+                    yield row
+        except (OSError, pa.ArrowException) as error:
+            yield _failed(directory or ".", f"walk error: {getattr(error, 'strerror', None) or error}")
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for directory in batch.column(0).to_pylist():
+                for row in rows(directory):
+                    held.append(row)
+                    if len(held) == _LISTED_PER_BATCH:
+                        yield _batch(held)
+                        held = []
+        if held:
+            yield _batch(held)
 
-    @classmethod
-    def name(cls) -> str:
-        return "tree"
+    return directories.select("path").mapInArrow(listed, f"{LISTING_SCHEMA}, is_directory boolean")
 
-    def schema(self) -> str:
-        return LISTING_SCHEMA
 
-    def reader(self, schema) -> TreeReader:
-        max_size = self.options.get("maxSize")
-        return TreeReader(
-            self.options["path"],
-            json.loads(self.options.get("ignorePatterns", "[]")),
-            None if max_size is None else int(max_size),
-            int(self.options.get("parts", "64")),
-        )
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW_LEVEL)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW_LEVEL)
 
 
 def scan_tree(
@@ -179,22 +158,45 @@ def scan_tree(
     """List the files below ``root``: path, size, mod_time, error.
 
     Ignored directories are not entered and too large files not listed. What cannot
-    be read becomes a row with ``error`` and the scan goes on.
+    be read, a name that is not UTF-8 included, becomes a row with ``error`` and the scan
+    goes on. A level is listed in at most ``parts`` tasks; the listing is done when this
+    returns and lies in the shared folder.
     """
     _send_code_along()
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree").option("ignorePatterns", json.dumps(list(patterns)))
-    if max_size is not None:
-        reader = reader.option("maxSize", str(max_size))
+    ignored = _Ignore(patterns)
+    folder = new_folder(spark, "listing")
     parts = parts or 4 * spark.sparkContext.defaultParallelism
-    return reader.option("parts", str(parts)).load(root)
-
+    start = [] if ignored(".") else [("",)]
+    directories, count, level = spark.createDataFrame(start, "path string"), 1, 0
+    while count:
+        dealt = directories.repartition(min(parts, count))
+        _list_level(dealt, root, ignored, max_size).write.parquet(f"{folder}/{level}")
+        entries = spark.read.parquet(f"{folder}/{level}")
+        directories = entries.where("is_directory")
+        count, level = directories.count(), level + 1
+    found = spark.read.parquet(*[f"{folder}/{n}" for n in range(level)])
+    return found.where("NOT is_directory").drop("is_directory")
+
+
+def _read(root: str, path: str) -> bytes:
+    if _is_address(root):
+        system, name = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{path}")
+        with system.open_input_stream(name) as file:
+            return file.read()
+    with open(os.path.join(root, path), "rb") as file:
+        return file.read()
+
+
+def read_contents(
+    files: DataFrame, root: str, partitions: int | None = None, in_place: bool = False
+) -> DataFrame:
+    """Add ``content`` to listed files; a file that cannot be read gets an ``error``.
 
-def read_contents(files: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
-    """Add ``content`` to listed files; a file that cannot be read gets an ``error``."""
+    Files are spread over ``partitions`` tasks, by default one for every 128 MB listed;
+    ``in_place`` reads them in the partitions, and the order, that they are in. A row
+    cannot hold a file of 2 GiB or more, which therefore gets an error as well.
+    """
     _send_code_along()
-    spark = files.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([*_ARROW_LISTING, ("content", pa.binary())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,20 +205,29 @@ def read_contents(files: DataFrame, root: str, partitions: int | None = None) ->
         for batch in batches:
             for row in batch.to_pylist():
                 row["content"] = None
+                if row["error"] is None and (row["size"] or 0) > _MOST_BYTES:
+                    row["error"] = "read error: too large for a row"
                 if row["error"] is None:
                     try:
-                        with open(os.path.join(root, row["path"]), "rb") as file:
-                            row["content"] = file.read()
-                    except OSError as error:
-                        row["error"] = f"read error: {error.strerror}"
-                rows.append(row)
-                held += len(row["content"] or b"")
+                        row["content"] = _read(root, row["path"])
+                    except (OSError, ValueError, pa.ArrowException) as error:
+                        row["error"] = f"read error: {getattr(error, 'strerror', None) or error}"
+                size = len(row["content"] or b"")
+                if size > _MOST_BYTES:  # it grew since it was listed
+                    row["content"], row["error"], size = None, "read error: too large for a row", 0
                 # Batches are closed by bytes: contents differ by six orders of magnitude.
-                if held >= _READ_BYTES_PER_BATCH:
+                if rows and held + size > _READ_BYTES_PER_BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
+                rows.append(row)
+                held += size
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    listed = files.select("path", "size", "mod_time", "error").repartition(partitions, F.col("path"))
+    listed = files.select("path", "size", "mod_time", "error")
+    if not in_place:
+        if partitions is None:
+            total = listed.agg(F.sum("size")).first()[0] or 0
+            partitions = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
+        listed = listed.repartition(partitions, F.xxhash64("path", "size"))
     return listed.mapInArrow(read, f"{LISTING_SCHEMA}, content binary")

@@ -75,10 +75,29 @@ def test_from_a_tree_to_a_written_bundle(spark, tmp_path):
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(content)
     options = BundleOptions(strip_comments=True, max_file_size=500)
-    listed = sheaf.scan_tree(spark, str(root), options.ignore_patterns, options.max_file_size)
-    files = sheaf.read_contents(listed.where("error is null"), str(root), 2)
-    bundle = build_bundle(files, options=options)
+    bundle = sheaf.bundle_listing(sheaf.scan_tree(spark, str(root)), str(root), options=options)
     sheaf.write_bundle(bundle.files, bundle.tree, f"{tmp_path}/out", "json", cwd=str(root))
     got = {r.path: r.content for r in sheaf.read_bundle(spark, f"{tmp_path}/out", "json").collect()}
     assert set(got) == {"src/main.go", "tool", "image.png", "empty.py", "src/node_modules/y.js"}
     assert got["src/main.go"].encode() == models.strip_comments(GO) and got["image.png"] == ""
+    context = sheaf.read_context(spark, f"{tmp_path}/out", "json").orderBy("block").collect()
+    assert {r.cwd for r in context} == {str(root)}
+    assert "".join(r.tree for r in context).splitlines() == [
+        ".", "├── empty.py", "├── image.png", "├── large.txt", "├── src", "  ├── main.go", "├── tool",
+    ]
+
+
+def test_listing_first(spark, tmp_path):
+    from sheaf import bundle_listing, scan_tree, write_tree
+
+    rows = [(p, c) for p, c in FILES.items()]
+    assert write_tree(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path)) == len(rows)
+    chosen = spark.createDataFrame([("tool",), ("large.txt",), ("src/main.go",)], "path string")
+    bundle = bundle_listing(scan_tree(spark, str(tmp_path)), str(tmp_path), chosen)
+    assert {p: c for p, (_, _, c) in rows_of(bundle).items()} == {p: FILES[p] for p in ("tool", "large.txt", "src/main.go")}
+    assert [r.path for r in bundle.files.collect()] == sorted(["tool", "large.txt", "src/main.go"])
+    plan = bundle.files._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    assert "MapInArrow" not in bundle.tree._jdf.queryExecution().executedPlan().toString()
+    unlimited = bundle_listing(scan_tree(spark, str(tmp_path)), str(tmp_path), options=BundleOptions(max_file_size=None))
+    assert "large.txt" in rows_of(unlimited)

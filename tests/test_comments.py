@@ -8,7 +8,7 @@ from tests import models
 
 def stripped(spark, rows):
     frame = spark.createDataFrame(list(enumerate(rows)), "i int, content binary")
-    got = {r.i: bytes(r.content) for r in strip_comments(frame).collect()}
+    got = {r.i: bytes(r.content) for r in strip_comments(frame, max_line_bytes=65536).collect()}
     return [got[i] for i in range(len(rows))]
 
 

@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.constants import DEFAULT_IGNORE_PATTERNS
 from sheaf.functions.globs import glob_to_regex
-from sheaf.operators.filters import cap_files, filter_ignored, filter_size, filter_tree_ignored
+from sheaf.operators.filters import (
+    cap_files,
+    filter_ignored,
+    filter_size,
+    filter_tree_ignored,
+    over_size,
+)
 
 
 def glob_matches(pattern, text):
@@ -53,10 +59,10 @@ def kept(spark, paths, operator, patterns):
 
 
 def test_scan_cases(spark):
-    files = ["test.txt", "test.bin", ".gitignore", "ignored/test", "src/main.go"]
+    files = ["notes.md", "blob.dat", ".settings", "build/out", "lib/heap.rs"]
     assert kept(spark, files, filter_ignored, []) == set(files)
-    expected = {"test.txt", ".gitignore", "src/main.go"}
-    assert kept(spark, files, filter_ignored, ["*.bin", "ignored/*"]) == expected
+    expected = {"notes.md", ".settings", "lib/heap.rs"}
+    assert kept(spark, files, filter_ignored, ["*.dat", "build/*"]) == expected
 
 
 def test_scan_globs_see_the_whole_path(spark):
@@ -117,10 +123,12 @@ def test_random_cases_equal_the_walk(spark, operator, keeps):
 
 
 def test_size_filter_and_cap(spark):
-    rows = [("test.txt", 13), ("test.bin", 4), (".gitignore", 11), ("src/main.go", 29), ("b", 5)]
+    rows = [("notes.md", 13), ("blob.dat", 4), (".settings", 11), ("lib/heap.rs", 29), ("b", 5)]
     frame = spark.createDataFrame(rows, "path string, size bigint")
-    assert {r.path for r in filter_size(frame, 5).collect()} == {"test.bin", "b"}
-    assert {r.path for r in cap_files(frame, 2).collect()} == {".gitignore", "b"}
+    assert {r.path for r in filter_size(frame, 5).collect()} == {"blob.dat", "b"}
+    assert filter_size(frame, None).count() == 5
+    assert tuple(over_size(frame, 5).first()) == (3, 53)
+    assert {r.path for r in cap_files(frame, 2).collect()} == {".settings", "b"}
     assert cap_files(frame, 0).count() == 5
     with pytest.raises(ValueError):
         filter_size(frame, -1)
@@ -128,6 +136,13 @@ def test_size_filter_and_cap(spark):
         cap_files(frame, -1)
 
 
+def test_cap_is_exact_on_repeated_paths(spark):
+    frame = spark.createDataFrame([(p, i) for i, p in enumerate("bbbabccb")], "path string, size bigint")
+    for n in range(1, 10):
+        assert sorted(r.path for r in cap_files(frame, n).collect()) == sorted("bbbabccb")[:n]
+    assert cap_files(frame.limit(0), 3).count() == 0
+
+
 def test_many_stars_do_not_backtrack(spark):
     pattern = "*a" * 30 + "*b"
     files = ["a" * 250, "a" * 250 + "b", "x/" + "a" * 250]

@@ -56,13 +56,16 @@ def test_path_work_does_not_read_contents(files):
 
 def test_cap_finds_its_cut_on_paths_alone(files):
     text = plan(filters.cap_files(files, 3))
-    assert "TakeOrderedAndProject" in text and "ReadSchema: struct<path:string>" in text
+    assert "TakeOrderedAndProject" not in text and "Join" not in text
+    assert re.search(r"PushedFilters: \[.*LessThan\(path,", text)
 
 
 def test_many_queries_are_cut_before_the_shuffle(files):
     text = plan(search.search_fuzzy_many(files, ["a", "b"], 5))
     before_shuffle = text[text.index("Exchange") :]
     assert re.search(r"WindowGroupLimit .*Partial", before_shuffle)
+    # A path becomes rows for the queries it matches only.
+    assert re.search(r"Generate explode\(filter\(", text)
 
 
 def test_aggregations_combine_before_the_shuffle(files):

@@ -49,7 +49,20 @@ def test_fuzzy_many(spark, k):
     got = {}
     for x in search.search_fuzzy_many(paths(spark, *rows), queries, k).orderBy("query", "rank").collect():
         got.setdefault(x.query, []).append(x.path)
-    assert got == {q: fuzzy_model(rows, q, k) for q in ("a", "abc", "b.")}
+    expected = {q: fuzzy_model(rows, q, k) for q in ("a", "abc", "b.")}
+    assert got == {**expected, "": sorted(rows, key=lambda p: (len(p), p))[:k]}
+    assert search.search_fuzzy_many(paths(spark, *rows), [], k).count() == 0
+
+
+def test_one_case_rule(spark):
+    frame = docs(spark, "ΟΔΟΣ\nx", "οδοσ", "οδός", "DİŞ\n", "diş")
+    for query, hits in (("Σ", [0, 1]), ("οδοσ", [0, 1]), ("ΟΔΟΣ", [0, 1]), ("dİ", [3, 4]), ("İŞ", [3, 4])):
+        assert sorted(r.path for r in search.grep_lines(frame, query).collect()) == hits
+        assert sorted(r.path for r in search.match_stats(frame, query).where("match_count > 0").collect()) == hits
+        named = paths(spark, "ΟΔΟΣ", "οδοσ", "DİŞ", "diş")
+        assert search.search_path(named, query).count() == 2
+    shown = search.preview(docs(spark, "a\nΟΔΟΣ\n"), "οδοσ").where("is_match AND is_current").collect()
+    assert [r.line_no for r in shown] == [2]
 
 
 def test_grep(spark):

@@ -2,14 +2,15 @@ import os
 
 import pytest
 
-from sheaf.sources.tree import TreeReader, read_contents, scan_tree
+from sheaf.sources import tree
+from sheaf.sources.tree import read_contents, scan_tree
 
 FILES = {
-    "test.txt": b"Hello, World!",
-    "test.bin": bytes([0, 1, 2, 3]),
-    ".gitignore": b"*.log\n*.tmp",
-    "ignored/test": b"ignored",
-    "src/main.go": b"package main\n\nfunc main() {}\n",
+    "notes.md": b"# Heather and gorse",
+    "blob.dat": bytes([7, 0, 9]),
+    ".settings": b"colour=green\n",
+    "build/out": b"left over",
+    "lib/heap.rs": b"fn sift() {}\n",
     "_private/.hidden/empty": b"",
     "a/b/c/d/e": "é\xff".encode("latin-1"),
 }
@@ -37,18 +38,48 @@ def test_every_regular_file_once(spark, root, parts):
 
 
 def test_ignore_and_size(spark, root):
-    some = {"test.txt", "test.bin", ".gitignore", "ignored/test", "src/main.go"}
+    some = {"notes.md", "blob.dat", ".settings", "build/out", "lib/heap.rs"}
     rest = ["_private", "a"]
     assert set(listed(scan_tree(spark, root, rest))) == some
-    expected = {"test.txt", ".gitignore", "src/main.go"}
-    assert set(listed(scan_tree(spark, root, [*rest, "*.bin", "ignored/*"]))) == expected
-    assert set(listed(scan_tree(spark, root, rest, max_size=5))) == {"test.bin"}
+    expected = {"notes.md", ".settings", "lib/heap.rs"}
+    assert set(listed(scan_tree(spark, root, [*rest, "*.dat", "build/*"]))) == expected
+    assert set(listed(scan_tree(spark, root, rest, max_size=5))) == {"blob.dat"}
     assert listed(scan_tree(spark, root, ["*"])) == {}
 
 
-def test_ignored_directories_are_not_shared_out(root):
-    directories = {s.directory for s in TreeReader(root, ["src", "a/b"], None, 64).partitions()}
-    assert "src" not in directories and "a/b" not in directories and "a" in directories
+def test_the_driver_opens_no_directory(spark, root, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("opened on the driver")
+
+    monkeypatch.setattr(os, "scandir", refuse)
+    assert set(listed(scan_tree(spark, root))) == set(FILES)
+
+
+def test_ignored_directories_are_not_opened(spark, root):
+    os.chmod(f"{root}/build", 0o700)
+    os.symlink("loop", f"{root}/build/loop")
+    assert scan_tree(spark, root, ["build", "a/b"]).where("error is not null").count() == 0
+    assert not any(p.startswith(("build/", "a/b/")) for p in listed(scan_tree(spark, root, ["build", "a/b"])))
+
+
+def test_a_name_that_is_not_utf8_is_an_error_row(spark, root):
+    os.mkdir(os.fsencode(root) + b"/caf\xe9")
+    open(os.fsencode(root) + b"/na\xefve.txt", "wb").close()
+    rows = {r.path: r.error for r in scan_tree(spark, root).collect()}
+    assert set(FILES) < set(rows)
+    assert rows["caf\\xe9"] == rows["na\\xefve.txt"] == "the name is not UTF-8"
+
+
+def test_a_store_by_its_address(spark, root):
+    frame = read_contents(scan_tree(spark, f"file://{root}", ["build"]), f"file://{root}")
+    assert {r.path: bytes(r.content) for r in frame.collect()} == {p: c for p, c in FILES.items() if p != "build/out"}
+    assert scan_tree(spark, f"file://{root}/nowhere").select("path").collect() == [(".",)]
+
+
+def test_a_file_too_large_for_a_row(spark, root):
+    frame = scan_tree(spark, root).replace(13, tree._MOST_BYTES + 1, "size").where("path = 'lib/heap.rs'")
+    row = read_contents(frame, root, 1).first()
+    assert row.content is None and row.error == "read error: too large for a row"
 
 
 def test_contents(spark, root):
@@ -58,12 +89,12 @@ def test_contents(spark, root):
 
 
 def test_the_rest_is_scanned_when_something_fails(spark, root):
-    os.symlink("test.txt", f"{root}/link")
+    os.symlink("notes.md", f"{root}/link")
     os.symlink("missing", f"{root}/broken")
-    os.symlink("src", f"{root}/directory")
+    os.symlink("lib", f"{root}/directory")
     rows = {r.path: r for r in read_contents(scan_tree(spark, root), root, 2).collect()}
     assert set(rows) == {*FILES, "link", "broken", "directory"}
-    assert bytes(rows["link"].content) == FILES["test.txt"] and rows["link"].error is None
+    assert bytes(rows["link"].content) == FILES["notes.md"] and rows["link"].error is None
     assert rows["broken"].error and rows["broken"].content is None
     assert rows["directory"].error and rows["directory"].content is None
     gone = scan_tree(spark, f"{root}/nowhere").collect()
@@ -90,7 +121,7 @@ sys.path.insert(0, {str(Path(__file__).parent.parent)!r})
 from sheaf import read_contents, scan_tree
 from sheaf.session import build_session
 spark = build_session("local[2]")
-print("rows", read_contents(scan_tree(spark, {root!r}, ["src"]), {root!r}, 2).where("error is null").count())
+print("rows", read_contents(scan_tree(spark, {root!r}, ["lib"]), {root!r}, 2).where("error is null").count())
 """
     done = subprocess.run(
         [sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=300
