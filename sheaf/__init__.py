@@ -20,6 +20,7 @@ from sheaf.operators.search import (
     grep_lines,
     match_stats,
     preview,
+    search_and_preview,
     search_fuzzy,
     search_fuzzy_many,
     search_path,
@@ -39,7 +40,12 @@ from sheaf.sinks.bundle import (
 from sheaf.sinks.tree import write_tree
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.streaming.scan import scan_stream, write_available
-from sheaf.streaming.selection import read_selection, selection_stream, write_selection
+from sheaf.streaming.selection import (
+    compact_selection,
+    read_selection,
+    selection_stream,
+    write_selection,
+)
 
 __all__ = [
     "Bundle",
@@ -50,6 +56,7 @@ __all__ = [
     "bundle_listing",
     "cap_files",
     "chunk_bytes",
+    "compact_selection",
     "dir_tree",
     "filter_ignored",
     "filter_size",
@@ -69,6 +76,7 @@ __all__ = [
     "render_tree",
     "scan_stream",
     "scan_tree",
+    "search_and_preview",
     "search_fuzzy",
     "search_fuzzy_many",
     "search_path",

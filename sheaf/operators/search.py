@@ -169,3 +169,22 @@ def preview(
         (F.col("_pos") == F.col("_current")).alias("is_current"),
         matched.alias("is_match"),
     )
+
+
+def search_and_preview(
+    df: DataFrame,
+    query: str,
+    k: int,
+    line_query: str = "",
+    path: str = "path",
+    content: str = "content",
+) -> DataFrame:
+    """The preview rows of the ``k`` best paths for ``query``, with ``rank`` from 1 on.
+
+    Paths are ranked without their contents, and only the files found are looked into.
+    """
+    best = search_fuzzy(df.select(path), query, k, path)
+    rank = F.row_number().over(Window.orderBy(*_fuzzy_order(path)))  # over k rows
+    best = best.orderBy(*_fuzzy_order(path)).limit(k).select(path, rank.alias("rank"))
+    shown = preview(df.join(best.select(path), path, "left_semi"), line_query, path, content)
+    return shown.join(best, path)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from sheaf.functions.constants import TREE_BRANCH, TREE_INDENT, TREE_ROOT_LINE
 
 
-def dir_tree(df: DataFrame, root: str = ".", path: str = "path") -> DataFrame:
+def dir_tree(df: DataFrame, root: str = ".", path: str = "path", by: str | None = None) -> DataFrame:
     """One row (root, parts, depth, line) per directory and file, in walk order.
 
+    ``by`` names a column with each file's root, for many trees in one run; without it
+    all files are below ``root``.
+
     Ancestors are exploded and made distinct; the distinct combines before the
     shuffle, so a directory above a third of all files is one row per task. The
     order is a range sort on the path components, which is the order of a walk
@@ -19,14 +22,17 @@ def dir_tree(df: DataFrame, root: str = ".", path: str = "path") -> DataFrame:
     depth = F.size(F.split(F.col(path), "/"))
     nodes = (
         df.where(F.col(path) != "")
-        .select(path, F.explode(F.sequence(F.lit(1), depth)).alias("_n"))
-        .select(F.call_function("substring_index", F.col(path), F.lit("/"), F.col("_n")).alias("_node"))
+        .select(F.lit(root).alias("root") if by is None else F.col(by).alias("root"), path)
+        .select("root", path, F.explode(F.sequence(F.lit(1), depth)).alias("_n"))
+        .select("root", F.call_function("substring_index", F.col(path), F.lit("/"), F.col("_n")).alias("_node"))
         .distinct()
     )
     lines = nodes.select(
+        "root",
         F.split("_node", "/").alias("parts"),
         (F.size(F.split("_node", "/")) - 1).alias("depth"),
     ).select(
+        "root",
         "parts",
         "depth",
         F.concat(
@@ -35,15 +41,19 @@ def dir_tree(df: DataFrame, root: str = ".", path: str = "path") -> DataFrame:
             F.element_at("parts", -1),
         ).alias("line"),
     )
-    top = df.sparkSession.range(0, 1, 1, 1).select(
+    roots = df.sparkSession.range(0, 1, 1, 1).select(F.lit(root).alias("root"))
+    if by is not None:
+        roots = df.select(F.col(by).alias("root")).distinct()
+    top = roots.select(
+        "root",
         F.array().cast("array<string>").alias("parts"),
         F.lit(-1).alias("depth"),
         F.lit(TREE_ROOT_LINE).alias("line"),
     )
     return (
         top.unionByName(lines)
-        .select(F.lit(root).alias("root"), "parts", "depth", "line")
-        .orderBy("parts")
+        .select("root", "parts", "depth", "line")
+        .orderBy("root", "parts")
     )
 
 

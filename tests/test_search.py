@@ -54,6 +54,17 @@ def test_fuzzy_many(spark, k):
     assert search.search_fuzzy_many(paths(spark, *rows), [], k).count() == 0
 
 
+def test_search_and_preview(spark):
+    frame = spark.createDataFrame(
+        [("src/main", "one\ntwo\n"), ("main", "two\n"), ("m/a/i/n", "x\n"), ("other", "two\n")],
+        "path string, content string",
+    )
+    rows = search.search_and_preview(frame, "main", 2, "TWO").orderBy("rank", "line_no").collect()
+    assert [(r.rank, r.path, r.line_no, r.is_match) for r in rows] == [
+        (1, "main", 1, True), (2, "src/main", 1, False), (2, "src/main", 2, True),
+    ]
+
+
 def test_one_case_rule(spark):
     frame = docs(spark, "ΟΔΟΣ\nx", "οδοσ", "οδός", "DİŞ\n", "diş")
     for query, hits in (("Σ", [0, 1]), ("οδοσ", [0, 1]), ("ΟΔΟΣ", [0, 1]), ("dİ", [3, 4]), ("İŞ", [3, 4])):

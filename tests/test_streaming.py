@@ -7,7 +7,12 @@ from sheaf.operators.filters import filter_ignored, filter_size, gate_processabl
 from sheaf.operators.search import grep_lines, match_stats, preview, search_path
 from sheaf.operators.selection import selection_state
 from sheaf.streaming.scan import scan_stream, write_available
-from sheaf.streaming.selection import read_selection, selection_stream, write_selection
+from sheaf.streaming.selection import (
+    compact_selection,
+    read_selection,
+    selection_stream,
+    write_selection,
+)
 
 SCHEMA = "path string, size bigint, content binary"
 
@@ -77,3 +82,20 @@ def test_selection_stream_equals_batch(spark, tmp_path):
         write_selection(selection_stream(stream), out, checkpoint)
         got = {tuple(r) for r in read_selection(spark, out).collect()}
         assert got == {tuple(r) for r in selection_state(spark.read.parquet(source)).collect()}
+
+
+def test_a_compacted_selection_reads_later_batches_only(spark, tmp_path):
+    source, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    toggles = spark.range(300).select((F.col("id") % 7).cast("string").alias("path"))
+    for runs in range(1, 4):
+        toggles.write.mode("append").parquet(source)
+        stream = scan_stream(spark, source, "path string", max_files_per_trigger=1)
+        write_selection(selection_stream(stream), out, checkpoint)
+        read = read_selection(spark, out)
+        want = {tuple(r) for r in selection_state(spark.read.parquet(source)).collect()}
+        assert {tuple(r) for r in read.collect()} == want
+        compact_selection(spark, out)
+        compact_selection(spark, out)
+        assert {tuple(r) for r in read_selection(spark, out).collect()} == want
+        plan = read_selection(spark, out)._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(batch" in plan

@@ -34,6 +34,17 @@ def test_empty_table_has_a_root(spark):
     assert [r.line for r in dir_tree(paths(spark, [])).collect()] == ["."]
 
 
+def test_many_roots_in_one_run(spark):
+    rows = [("x", "a/b"), ("y", "a/c"), ("x", "z"), ("y", ""), ("w", "")]
+    frame = spark.createDataFrame(rows, "repo string, path string")
+    got = {}
+    for r in dir_tree(frame, by="repo").collect():
+        got.setdefault(r.root, []).append(r.line)
+    assert got == {"x": tree_model(["a/b", "z"]), "y": tree_model(["a/c"]), "w": ["."]}
+    texts = {r.root: r.tree for r in render_tree(dir_tree(frame, by="repo")).collect()}
+    assert texts["x"] == "".join(f"{line}\n" for line in got["x"])
+
+
 def test_blocks_join_to_the_tree(spark):
     r = random.Random(6)
     rows = ["/".join(r.choices(["a", "a-b", "a.b", "src", "z", "0"], k=r.randint(1, 5))) for _ in range(900)]
