@@ -57,6 +57,12 @@ def test_edges(spark):
     assert {k: models.strip_comments(k) for k in EDGES} == EDGES
 
 
+def test_long_lines_are_stripped_unless_limited(spark):
+    frame = spark.createDataFrame([(b"x" * 70000 + b" // y\n// z\n",)], "content binary")
+    assert bytes(strip_comments(frame).first().content) == b"x" * 70000
+    assert bytes(strip_comments(frame, max_line_bytes=65536).first().content).endswith(b"// z\n")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_texts(spark, seed):
     r = random.Random(seed)

@@ -31,7 +31,13 @@ from sheaf.operators.enrich import with_language
 )
 def test_language(spark, path, content, expected):
     frame = spark.createDataFrame([(path, content)], "path string, content binary")
-    assert with_language(frame).first().language == expected
+    assert with_language(frame, max_line_bytes=65536).first().language == expected
+
+
+def test_a_long_shebang_line_counts_unless_limited(spark):
+    frame = spark.createDataFrame([("tool", b"#!sh" + b" " * 70000)], "path string, content binary")
+    assert with_language(frame).first().language == "shell"
+    assert with_language(frame, max_line_bytes=65536).first().language == "unknown"
 
 
 def test_known_language_wins(spark):
