@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheaf.llm.bloom import bloom_of
 from sheaf.llm.common import join_by_key, text_batches, text_hash, text_of, written
 from sheaf.llm.components import components
 from sheaf.llm.shingles import mix, shingle_set, shingles
@@ -46,11 +47,15 @@ PERCENT = 80
 """Links need ``100 * intersection >= PERCENT * union``."""
 LEVEL = 1.25
 """Ratio of the sizes of a level of keys."""
-COMMON_SHARE = 1e-5
-"""A shingle that is more than this share of all is common, so under 100,000 are."""
-BLOCK_SETS = 512
-BLOCK_ELEMENTS = 400_000
+COMMON_SHARE = 1e-6
+"""A shingle that is more than this share of all is common, so under a million are."""
+BLOCK_SETS = 1024
+BLOCK_ELEMENTS = 1_000_000
 """Most sets of a block, and elements they have on average."""
+BROADCAST_COPIES = 1_000_000
+"""Up to so many row numbers of copies, 8 MB, go to all tasks; beyond, keys are joined."""
+BROADCAST_ROWS = 100_000
+"""Up to so many candidates, some 20 MB of numbers and tiles, go to all tasks; more are joined."""
 
 
 @functools.lru_cache(maxsize=1)
@@ -110,7 +115,7 @@ def common_shingles(docs: DataFrame, words: int, share: float = COMMON_SHARE) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_batches(batch):
+            for part in text_batches(batch, 16 << 20):
                 texts = [(t or "").encode() for t in part.column(0).to_pylist()]
                 found, times = np.unique(
                     np.concatenate([shingles(t, words) for t in texts]), return_counts=True
@@ -167,7 +172,13 @@ def _keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> Dat
 def _candidates(classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """a, b: sets with a key in common, as stars around the first set of a key."""
     first = classes.select(F.col("node").alias("row"))
-    keys = keyed.join(first, "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    copies = keyed.where("class IS NOT NULL").select("row").join(first, "row", "left_anti")
+    copies = written(copies, "copies")
+    if copies.count() <= BROADCAST_COPIES:
+        once = keyed.join(F.broadcast(copies), "row", "left_anti")
+    else:
+        once = keyed.join(first, "row", "left_semi")
+    keys = once.select("row", F.explode("keys").alias("key"))
     star = F.first("row").over(Window.partitionBy("key").orderBy("row"))
     return keys.select("row", star.alias("a")).where("a != row").select("a", F.col("row").alias("b"))
 
@@ -235,7 +246,7 @@ def _compare(percent: int):
         n = np.array([len(s) for s in sets])
         order = np.argsort(n, kind="stable")
         sets, n, node = [sets[i] for i in order], n[order], node[order]
-        bits = int(min(8192, 1 << int(max(8, (2 * int(n.max())).bit_length()))))
+        bits = int(min(4096, 1 << int(max(8, (2 * int(n.max())).bit_length()))))
         maps = np.zeros((len(sets), bits), dtype="f4")
         for i, s in enumerate(sets):
             maps[i, (s & np.uint64(bits - 1)).astype("i8")] = 1
@@ -273,23 +284,33 @@ def _overlap(small: np.ndarray, large: np.ndarray) -> int:
 
 
 def _with_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
-    """tile, node, elements: the sets of the placed documents, made from their texts."""
+    """tile, node, elements: the sets of the placed documents, made from their texts.
+
+    A filter of bounded size keeps most other documents from being moved, and the join
+    keeps the rest out.
+    """
+    own = F.xxhash64("doc_id", "text_hash")
+    n = placed.count()
+    wanted = bloom_of(placed.select(own.alias("hash")), "hash", n)
+    if n <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch):
-                sets = [s.tobytes() for s in _sets(part, 2, words)]
+                passing = wanted.passes(part.column(2).to_numpy(zero_copy_only=False))
+                few = part.filter(pa.array(passing))
+                sets = [s.tobytes() for s in _sets(few, 3, words)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array(sets, pa.binary())], names=["tiles", "node", "elements"]
+                    [*few.columns[:2], pa.array(sets, pa.binary())], names=["own_id", "own_hash", "elements"]
                 )
 
     texts = docs.select(
-        docs["doc_id"].cast("bigint").alias("own_id"), text_hash(docs).alias("own_hash"), text_of(docs).alias("text")
-    )
-    on = texts["own_id"].eqNullSafe(placed["doc_id"]) & (texts["own_hash"] == placed["text_hash"])
-    rows = texts.join(placed, on).select("tiles", "node", "text")
-    sets = rows.mapInArrow(make, "tiles array<string>, node bigint, elements binary")
-    return sets.select(F.explode("tiles").alias("tile"), "node", "elements")
+        docs["doc_id"].cast("bigint").alias("doc_id"), text_hash(docs).alias("text_hash"), text_of(docs).alias("text")
+    ).select("doc_id", "text_hash", own.alias("hash"), "text")
+    sets = texts.mapInArrow(make, "own_id bigint, own_hash bigint, elements binary")
+    on = sets["own_id"].eqNullSafe(placed["doc_id"]) & (sets["own_hash"] == placed["text_hash"])
+    return sets.join(placed, on).select(F.explode("tiles").alias("tile"), "node", "elements")
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
