@@ -262,19 +262,22 @@ def pack_segments(
 
     def add_block(acc: Column, block: Column) -> Column:
         # A fold copies its state at every step. Blocks keep the array of finished
-        # chunks out of the state that is carried from segment to segment.
+        # chunks out of the state that is carried from segment to segment, and are
+        # themselves kept whole until the end, so a chunk is copied once.
         fresh = F.struct(none.alias("done"), acc["now"].alias("now"))
         return F.aggregate(
             block,
             fresh,
             add,
-            lambda r: F.struct(F.concat(acc["done"], r["done"]).alias("done"), r["now"].alias("now")),
+            lambda r: F.struct(
+                F.concat(acc["done"], F.array(r["done"])).alias("done"), r["now"].alias("now")
+            ),
         )
 
     fields = "start bigint, line bigint, size bigint, newlines bigint, tokens bigint"
     none = F.array().cast(f"array<struct<{fields}>>")
     start = F.struct(
-        none.alias("done"),
+        F.array().cast(f"array<array<struct<{fields}>>>").alias("done"),
         F.struct(
             zero.alias("start"),
             one.alias("line"),
@@ -290,7 +293,7 @@ def pack_segments(
                 start,
                 add_block,
                 lambda acc: F.when(
-                    acc["now"]["size"] > 0, F.concat(acc["done"], F.array(acc["now"]))
+                    acc["now"]["size"] > 0, F.concat(F.flatten(acc["done"]), F.array(acc["now"]))
                 ).otherwise(none),
             ).alias("_chunks"),
         )
