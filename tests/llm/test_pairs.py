@@ -99,7 +99,10 @@ def test_ngram_components_equal_brute_force(spark, words, percent):
 
 
 def test_ngram_tiles_of_a_large_cluster(spark, monkeypatch):
+    # Small blocks, and nothing small enough to be sent to all tasks.
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(ngram_join, "BROADCAST_COPIES", -1)
     rows = near_copies(11, 2, 120)
     found = ngram_join.ngram_components(documents(spark, rows, "doc_id bigint, text string"), 4, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 4, 85)
