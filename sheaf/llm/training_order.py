@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import text_batches, text_of, written
-from sheaf.llm.tokens import default_vocabulary, encoded
+from sheaf.llm.tokens import counted, default_vocabulary, encoded
 from sheaf.session import new_folder
 
 LENGTH = 512
@@ -133,7 +133,7 @@ def _name(folder: str, shard: int) -> str:
 
 
 def _partitions(
-    docs: DataFrame, length: int, files: tuple[str, str | None], end: int
+    docs: DataFrame, length: int, files: tuple[str, str | None]
 ) -> tuple[dict[int, tuple[int, int]], int]:
     """First sequence number and fingerprint of every partition, and the number of sequences."""
 
@@ -141,9 +141,9 @@ def _partitions(
         sequences, mark = 0, 0
         for batch in batches:
             for part in text_batches(batch):
-                sizes = [len(ids) for ids in encoded(part.column(1), *files, end)]
-                sequences += sum(-(-n // length) for n in sizes)
-                mark = _mark(mark, part.column(0), sizes)
+                sizes = counted(part.column(1), *files)
+                sequences += int((-(-sizes // length)).sum())
+                mark = _mark(mark, part.column(0), sizes.tolist())
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([sequences]), pa.array([mark])],
             names=["part", "n", "mark"],
@@ -265,7 +265,7 @@ def materialise(
     folder = folder or new_folder(spark, "shards")
     files = vocabulary or default_vocabulary()
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    firsts, total = _partitions(texts, length, files, end)
+    firsts, total = _partitions(texts, length, files)
     shards = Shards(folder, total, length, per_shard, id_bytes, key)
     order = Permutation(max(total, 1), key)
     rows = _sequences(texts, firsts, order, length, per_shard, id_bytes, files, end)
