@@ -3,12 +3,15 @@
 Each half of the vectors has a codebook of its own, so K + K centroids make a grid of
 K x K cells. A vector lives in the cell of its nearest centroids and visits the cells
 that a multi-sequence traversal meets first: those with the least sum of both halves'
-distances. How many it visits is measured on the sample, as the number that reaches the
-target recall for pairs just at the threshold. A pair is found if either vector visits
-the other's cell; its cosine is then checked in double precision.
-
-Only codebooks and the number of visits come from a bounded sample; every vector is
-indexed and visits. Equal vectors are one class with a weight, so copies are counted and
+distances. How many it visits is measured on the sample for each home cell on its own, as
+the number that reaches the target recall both for the real pairs of that cell's vectors,
+found by brute force, and for made pairs just at the threshold; no number is too large.
+A pair is found if either vector visits the other's cell; its cosine is then checked in
+double precision.
+
+Codebooks are fitted on a cover of the sample, in which near copies are represented by
+one another, so that a large group of them is not split over many cells. Only codebooks
+and the numbers of visits come from a bounded sample; every vector is indexed and visits. Equal vectors are one class with a weight, so copies are counted and
 not expanded. Cells are cut into blocks that meet in tiles; a tile counts links and
 returns at most a row per vector, never a row per pair.
 
@@ -41,6 +44,8 @@ MOST_CENTROIDS = 256
 """Of each half; bounds the table of cells."""
 RECALL = 0.97
 """Aimed at for pairs just at the threshold; others are found more often."""
+PARTNERS = 8
+"""Most real pairs, and made pairs, that a vector of the sample is measured with."""
 BLOCK = 1024
 """Vectors of a block; a tile is two blocks."""
 
@@ -52,12 +57,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class MultiIndex:
-    """Two codebooks, one for each half of unit vectors, and the number of visits."""
+    """Two codebooks, one for each half of unit vectors, and the visits of each home cell."""
 
     width: int
     left: np.ndarray
     right: np.ndarray
-    visits: int = 1
+    visits: np.ndarray | None = None
 
     def halves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         padded = np.zeros((len(vectors), self.width))
@@ -79,14 +84,34 @@ class MultiIndex:
             order = np.argsort(away, axis=1, kind="stable")[:, :visits]
             near.append((order, np.take_along_axis(away, order, axis=1)))
         (first, d1), (second, d2) = near
-        pairs = [
-            (i, j) for i in range(first.shape[1]) for j in range(second.shape[1]) if (i + 1) * (j + 1) <= visits
-        ]
-        i, j = (np.array(x) for x in zip(*pairs))
+        places = np.outer(np.arange(1, first.shape[1] + 1), np.arange(1, second.shape[1] + 1))
+        i, j = np.nonzero(places <= visits)
         sums = d1[:, i] + d2[:, j]
         best = np.argsort(sums, axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(first[:, i] * k + second[:, j], best, axis=1)
 
+    def ranks(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells come before the given one in each vector's traversal."""
+        k = len(self.right)
+        d1, d2 = (
+            (book**2).sum(axis=1)[None, :] - 2 * half @ book.T for half, book in zip(self.halves(vectors), (self.left, self.right))
+        )
+        rows = np.arange(len(vectors))
+        bound = d1[rows, cells // k] + d2[rows, cells % k]
+        d2 = np.sort(d2, axis=1)
+        return np.array([np.searchsorted(b, s - a).sum() for a, b, s in zip(d1, d2, bound)], dtype="i8")
+
+    def visited(self, vectors: np.ndarray, rows: int = 256) -> list[np.ndarray]:
+        """The cells of each vector, as many as its home cell asks for; the home is the first."""
+        need = self.visits[self.traversal(vectors, 1)[:, 0]]
+        order = np.argsort(need, kind="stable")
+        cells: list[np.ndarray] = [None] * len(vectors)
+        for start in range(0, len(order), rows):
+            at = order[start : start + rows]
+            for i, found in zip(at, self.traversal(vectors[at], int(need[at[-1]]))):
+                cells[i] = found[: need[i]].astype("i4")
+        return cells
+
 
 def _codebook(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
     book = points[random.choice(len(points), k, replace=False)].copy()
@@ -99,34 +124,76 @@ def _codebook(points: np.ndarray, k: int, random: np.random.Generator) -> np.nda
     return book
 
 
+def _cover(points: np.ndarray, threshold: float, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Places of points such that every point links with one, and some links of every point."""
+    covered = np.zeros(len(points), dtype=bool)
+    chosen, pairs = [], [np.zeros((0, 2), dtype="i8")]
+    for start in range(0, len(points), 512):
+        linked = points[start : start + 512] @ points.T >= threshold
+        for i, row in enumerate(linked, start):
+            row[i] = False
+            if not covered[i]:
+                chosen.append(i)
+                covered |= row
+            partners = np.flatnonzero(row)
+            if len(partners) > PARTNERS:
+                partners = random.choice(partners, PARTNERS, replace=False)
+            pairs.append(np.stack([np.full(len(partners), i), partners], axis=1))
+    return np.array(chosen), np.concatenate(pairs)
+
+
+def _needed(index: MultiIndex, a: np.ndarray, b: np.ndarray, recall: float) -> tuple[np.ndarray, int]:
+    """Visits per home cell, 0 without pairs, that find the pairs (a, b), and those of all pairs as one.
+
+    Each home cell's visits grow until its own pairs are found, so no cell pays for another.
+    """
+    visits = np.zeros(len(index.left) * len(index.right), dtype="i8")
+    if not len(a):
+        return visits, 1
+    homes = [index.traversal(x, 1)[:, 0] for x in (a, b)]
+    ab, ba = index.ranks(a, homes[1]), index.ranks(b, homes[0])
+    least = np.minimum(ab, ba)
+    every = int(np.quantile(least, recall, method="higher")) + 1
+    order = np.argsort(homes[0], kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(homes[0][order])) + 1)
+    for group in groups:
+        visits[homes[0][group[0]]] = np.quantile(least[group], recall, method="higher") + 1
+    while True:
+        found = (ab < visits[homes[0]]) | (ba < visits[homes[1]])
+        behind = [homes[0][g[0]] for g in groups if found[g].mean() < recall]
+        if not behind:
+            return visits, every
+        visits[behind] += visits[behind] // 4 + 1
+
+
 def fit(vectors: list[np.ndarray], rows: int, threshold: float, recall: float = RECALL, seed: int = 3) -> MultiIndex:
     """An index for ``rows`` vectors, from unit vectors of a sample.
 
-    Visits are measured on pairs made from the sample: a vector turned in a random
-    direction by just the angle of the threshold.
+    Visits are measured per home cell on the sample's real pairs, and on made ones: a vector
+    turned in a random direction by just the angle of the threshold. A cell takes the larger
+    number; one that the sample does not reach takes that of all made pairs.
     """
     random = np.random.default_rng(seed)
     width = max(2, max(len(v) for v in vectors))
     points = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         points[i, : len(v)] = v
-    distinct = np.unique(points, axis=0)
-    k = int(np.clip(np.sqrt(rows / ROWS_PER_CELL), 1, min(MOST_CENTROIDS, len(distinct))))
+    distinct = random.permutation(np.unique(points, axis=0))
+    chosen, real = _cover(distinct, threshold, random)
+    cover = distinct[chosen]
+    k = int(np.clip(np.sqrt(rows / ROWS_PER_CELL), 1, min(MOST_CENTROIDS, len(cover))))
     cut = width // 2
-    index = MultiIndex(
-        width, _codebook(distinct[:, :cut], k, random), _codebook(distinct[:, cut:], k, random)
-    )
-    tried = distinct[random.choice(len(distinct), min(len(distinct), 2000), replace=False)]
+    index = MultiIndex(width, _codebook(cover[:, :cut], k, random), _codebook(cover[:, cut:], k, random))
+    tried = np.repeat(distinct, PARTNERS, axis=0)
+    if len(tried) > 4 * SAMPLE:
+        tried = tried[random.choice(len(tried), 4 * SAMPLE, replace=False)]
     away = random.normal(size=tried.shape)
     away -= np.einsum("ij,ij->i", away, tried)[:, None] * tried
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    partner = threshold * tried + np.sqrt(max(0.0, 1 - threshold**2)) * away
-    most = min(k * k, 64)
-    ranks = np.full(len(tried), most)
-    for a, b in ((tried, partner), (partner, tried)):
-        same = index.traversal(a, most) == index.traversal(b, 1)
-        ranks = np.minimum(ranks, np.where(same.any(axis=1), same.argmax(axis=1), most))
-    index.visits = int(min(most, np.quantile(ranks, recall, method="higher") + 1))
+    made = threshold * tried + np.sqrt(max(0.0, 1 - threshold**2)) * away
+    by_made, least = _needed(index, tried, made, recall)
+    by_real, _ = _needed(index, distinct[real[:, 0]], distinct[real[:, 1]], recall)
+    index.visits = np.minimum(np.maximum(np.maximum(by_made, by_real), least), k * k)
     return index
 
 
@@ -146,15 +213,15 @@ def _visits(classes: DataFrame, index: MultiIndex) -> DataFrame:
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
                 raw = np.array([vectors[i] for i in at], dtype="<f8")
-                cells = index.traversal(unit(raw), index.visits).astype("i4")
+                cells = index.visited(unit(raw))
                 few = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
                     [
                         few.column(0),
                         few.column(1),
                         pa.array(np.full(len(at), width, dtype="i4")),
-                        pa.array(cells[:, 0]),
-                        pa.array(list(cells), pa.list_(pa.int32())),
+                        pa.array([c[0] for c in cells], pa.int32()),
+                        pa.array(cells, pa.list_(pa.int32())),
                         pa.array([row.tobytes() for row in raw], pa.binary()),
                     ],
                     names=["node", "weight", "width", "home", "cells", "vector"],
@@ -219,17 +286,24 @@ def _links(threshold: float):
             return
         v, h = v[rows], h[columns]
         linked = linked[rows][:, columns]
-        visited = np.array(tile.column("cells").combine_chunks().take(pa.array(h)).to_pylist())
+        others, place = np.unique(home[v], return_inverse=True)
+        # Which homes of visitors each home vector visits itself.
+        visited = tile.column("cells").combine_chunks().take(pa.array(h))
+        owner = np.repeat(np.arange(len(h)), visited.value_lengths().to_numpy())
+        flat = visited.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(others, flat), len(others) - 1)
+        met = others[at] == flat
+        back = np.zeros((len(others), len(h)), dtype=bool)
+        back[at[met], owner[met]] = True
         grown_v = linked @ weight[h]
         grown_h = np.zeros(len(h), dtype="i8")
         # A pair in one cell is met in both orders, and so is one whose home vector visits
         # the visitor's cell too; any other pair is met only here.
-        for other in np.unique(home[v]):
+        for i, other in enumerate(others):
             if other == cell:
                 continue
-            own = home[v] == other
-            only_here = linked[own] & ~(visited == other).any(axis=1)[None, :]
-            grown_h += weight[v[own]] @ only_here
+            own = place == i
+            grown_h += weight[v[own]] @ (linked[own] & ~back[i][None, :])
         low_v, low_h = node[v].copy(), node[h].copy()
         big = np.iinfo("i8").max
         while True:

@@ -169,6 +169,22 @@ def test_embedding_blocks(spark, vectors, monkeypatch):
     assert {(r.n_links, r.component_id) for r in rows} == {(299, 0)}
 
 
+def test_embedding_links_of_a_dense_group_among_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ROWS_PER_CELL", 2)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    near = rng.normal(size=(900, 64))
+    near -= (near @ centre)[:, None] * centre
+    near = np.sqrt(0.92) * centre + np.sqrt(0.08) * near / np.linalg.norm(near, axis=1, keepdims=True)
+    rows = np.concatenate([near, rng.normal(size=(1800, 64))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    got = np.array([got[i] for i in range(len(rows))])
+    want = brute_links(rows).sum(axis=1) - 1
+    assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
+
+
 def test_embeddings_that_are_no_vectors(spark):
     rows = [
         (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]),
