@@ -65,8 +65,11 @@ class MultiIndex:
     visits: np.ndarray | None = None
 
     def halves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Of vectors longer than any of the sample the index takes the beginning: it only
+        # brings vectors nearer, and the links are checked on all of them.
+        kept = vectors[:, : self.width]
         padded = np.zeros((len(vectors), self.width))
-        padded[:, : vectors.shape[1]] = vectors
+        padded[:, : kept.shape[1]] = kept
         cut = self.left.shape[1]
         return padded[:, :cut], padded[:, cut:]
 

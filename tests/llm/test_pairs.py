@@ -185,6 +185,14 @@ def test_embedding_links_of_a_dense_group_among_many_cells(spark, monkeypatch):
     assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
 
 
+def test_embeddings_longer_than_any_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 4)
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(60)] + [(100, [0.0] * 5 + [1.0]), (101, [0.0] * 5 + [2.0]), (102, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert got[100] == got[101] == (1, 100) and got[102] == (0, 102)
+
+
 def test_embeddings_that_are_no_vectors(spark):
     rows = [
         (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 0.0]),
