@@ -1,13 +1,12 @@
-"""Line dedup by winnowing over line hashes.
-
-Every window of ``min_lines`` lines selects its smallest line hash, so two equal
-windows select the same line: a guaranteed fingerprint. Fingerprints found once in the
-whole corpus are dropped, which ends most documents' part. Around those that repeat,
-the matches are extended both ways, window by window: each window that selected the
-line is held against the first occurrence of the same lines, and a window that is
-not the first marks its lines. What is marked is deleted, so of a run that repeats all
-but the first occurrence go, as far as the lines agree. A line of ``long_words`` words
-or more is a run by itself.
+"""Line dedup by grouping windows of lines.
+
+Every window of ``min_lines`` lines is a row with a digest of its lines, and with its
+smallest line hash as a mark: equal windows have equal marks, so windows whose mark no
+other window of the corpus has are dropped first. Neighbouring windows of one document
+often share a mark, so this drops only a part. Windows left are grouped by digest, and a
+window that is not the first of its digest marks its lines. What is marked is deleted, so
+of a run that repeats all but the first occurrence go, as far as the lines agree. A line
+of ``long_words`` words or more is a run by itself.
 
 Defined results: lines end at ``\\n``; equal lines are equal bytes. Occurrences are
 ordered by doc_id, null last, then, where rows share a doc_id, by a hash of the text,
