@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.bloom import bloom_of
@@ -179,8 +179,12 @@ def _candidates(classes: DataFrame, keyed: DataFrame) -> DataFrame:
     else:
         once = keyed.join(first, "row", "left_semi")
     keys = once.select("row", F.explode("keys").alias("key"))
-    star = F.first("row").over(Window.partitionBy("key").orderBy("row"))
-    return keys.select("row", star.alias("a")).where("a != row").select("a", F.col("row").alias("b"))
+    # Combined before the shuffle, so a key that a third of all sets have is no task of its own.
+    shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared, "shared-keys")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    stars = join_by_key(keys, shared, "key", total).where("a != row")
+    return stars.select("a", F.col("row").alias("b"))
 
 
 def _placed(members: DataFrame, percent: int) -> DataFrame:

@@ -108,6 +108,19 @@ def test_ngram_tiles_of_a_large_cluster(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 4, 85)
 
 
+def test_keys_of_many_sets_are_not_one_window(spark):
+    rows = [(i, f"c{i}", [7, 1000 + i // 2] if i % 3 else [1000 + i // 2]) for i in range(300)]
+    keyed = documents(spark, rows, "row bigint, class string, keys array<bigint>")
+    stars = ngram_join._candidates(keyed.select(keyed["row"].alias("node")), keyed)
+    first = {}
+    for row, _, keys in rows:
+        for key in keys:
+            first.setdefault(key, row)
+    want = sorted((first[key], row) for row, _, keys in rows for key in keys if first[key] != row)
+    assert sorted(map(tuple, stars.collect())) == want
+    assert "Window" not in stars._jdf.queryExecution().toString()
+
+
 def test_ngram_components_of_odd_rows(spark):
     docs = odd_documents(spark)
     rows = ngram_join.ngram_components(docs, 4, 85).collect()
