@@ -12,6 +12,7 @@ from sheaf.llm.packing import op1_packing
 from sheaf.llm.toxicity import op9_toxicity
 from sheaf.llm.training_order import op7_training_order
 from sheaf.llm.url_filter import OP10_SQL, op10_url_filter
+from sheaf.llm.word_bpe import op13_byte_bpe
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_ngram_join,
         op9_toxicity,
         op10_url_filter,
+        op13_byte_bpe,
     )
 }
 
