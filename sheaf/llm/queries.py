@@ -9,6 +9,8 @@ from sheaf.llm.line_dedup import OP6_SQL, op6_line_dedup
 from sheaf.llm.mixing import op4_mixing
 from sheaf.llm.ngram_join import op8_ngram_join
 from sheaf.llm.packing import op1_packing
+from sheaf.llm.periodic_runs import op12_periodic_runs
+from sheaf.llm.spelling import op11_spelling_variants
 from sheaf.llm.toxicity import op9_toxicity
 from sheaf.llm.training_order import op7_training_order
 from sheaf.llm.url_filter import OP10_SQL, op10_url_filter
@@ -27,6 +29,8 @@ QUERIES = {
         op8_ngram_join,
         op9_toxicity,
         op10_url_filter,
+        op11_spelling_variants,
+        op12_periodic_runs,
         op13_byte_bpe,
     )
 }
