@@ -128,8 +128,7 @@ def _keyed(words: DataFrame) -> DataFrame:
         F.struct(F.lit("p").alias("side"), F.substring("word", F.lit(1), half).alias("part")),
         F.struct(F.lit("s").alias("side"), F.substring("word", F.char_length("word") - F.col("m") + half + 1, F.col("m") - half).alias("part")),
     )
-    rows = words.select("word", "n", m).where(F.col("m") >= 2)
-    return rows.select("word", "n", "m", F.inline(sides))
+    return words.select("word", "n", m).select("word", "n", "m", F.inline(sides))
 
 
 def _tiles(words: DataFrame, block: int = BLOCK) -> DataFrame:

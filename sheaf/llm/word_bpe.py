@@ -4,10 +4,14 @@ A pre-token's ids do not depend on what stands around it, so no pre-token is enc
 twice. Documents are dealt with in blocks of bounded size. A block's pre-tokens are
 exploded into one row for each that is distinct in the block, with its code; the
 positions stay with the block as the sequence of codes, document by document. Rows of
-all blocks meet by word, each distinct word is encoded once, and its ids are joined back
-to the rows. A block's rows then meet its codes, which put the ids in place. Decoding
-explodes ids with their positions and joins the table of the tokens' bytes, whose size
-is that of the vocabulary; it also runs once a distinct word.
+all blocks are shuffled and sorted by word, so each distinct word is encoded once. Its ids
+are exploded with their places, and the table of the tokens' bytes, whose size is that of
+the vocabulary, is joined to them, which decodes the word. Ids and bytes go back to the
+blocks the word came from, where the codes put them in place.
+
+Documents are read and cut twice, once for their words and once for their codes, because
+keeping either in between takes more disk than the texts themselves. They have to come
+in the same order both times, as from files; each block checks that they did.
 
 What the pattern's classes hold (letters, numbers, white space) is asked of the encoding
 library itself, one question for all code points, so that no other Unicode version can
@@ -24,16 +28,16 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import text_batches, text_of, written
+from sheaf.llm.common import text_batches, text_of
 from sheaf.llm.spans import cut, text_bytes
 
 BLOCK_BYTES = 64 << 20
@@ -43,6 +47,8 @@ SLICE_BYTES = 4 << 20
 
 _AT_ONCE = 1 << 18
 """Words whose places are worked out together."""
+_ROWS_BACK = 4 << 20
+"""Ids that are gathered before they go back to their blocks."""
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -142,6 +148,7 @@ class _Block:
 
     def __init__(self, number: int) -> None:
         self.number, self.bytes = number, 0
+        self.hash = hashlib.blake2b(digest_size=8)
         self.keys: list[pa.Array] = []
         self.sizes: list[np.ndarray] = []
         self.words: list[pa.DictionaryArray] = []
@@ -150,97 +157,134 @@ class _Block:
         data, starts = text_bytes(texts)
         bounds = pre_tokens(data, starts, classes)
         self.bytes += len(data)
+        self.hash.update(data)
         self.keys.append(keys)
         self.sizes.append(np.diff(np.searchsorted(bounds, starts)).astype("i4"))
         self.words.append(cut(data, bounds).dictionary_encode())
 
-    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def coded(self) -> tuple[pa.Array, list[np.ndarray]]:
+        """The block's distinct words, the most frequent first, and each slice's codes."""
         parts = pa.chunked_array(self.words).unify_dictionaries().chunks
         words = parts[0].dictionary
         codes = [p.indices.to_numpy() for p in parts]
-        # Frequent words get small codes, which compress well.
         counts = sum(np.bincount(c, minlength=len(words)) for c in codes)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(words), dtype="i4")
         rank[order] = np.arange(len(words))
-        words = words.take(pa.array(order))
+        return words.take(pa.array(order)), [rank[c] for c in codes]
+
+    def check(self) -> int:
+        return int.from_bytes(self.hash.digest(), "little", signed=True)
+
+    def word_rows(self) -> Iterator[pa.RecordBatch]:
+        words, _ = self.coded()
         for low in range(0, len(words), 1 << 16):
             some = words.slice(low, 1 << 16)
-            yield _batch(schema, len(some), block=[self.number] * len(some), code=np.arange(low, low + len(some)), word=some)
-        for keys, sizes, code in zip(self.keys, self.sizes, codes):
-            yield _batch(
-                schema, 1, block=[self.number],
-                keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                sizes=[sizes], codes=[_packed(rank[code])],
+            n = len(some)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(n, self.number)), pa.array(np.full(n, self.check())),
+                    pa.array(np.arange(low, low + n, dtype="i4")), some,
+                ],
+                names=["block", "check", "code", "word"],
             )
 
-
-def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.nulls(rows, f.type) if f.name not in columns
-            else columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array)
-            else pa.array(columns[f.name], f.type)
-            for f in schema
-        ],
-        schema=schema,
-    )
+    def document_rows(self) -> Iterator[pa.RecordBatch]:
+        for keys, sizes, code in zip(self.keys, self.sizes, self.coded()[1]):
+            yield pa.record_batch(
+                [
+                    pa.array([self.number]), pa.array([self.check()]),
+                    pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                    pa.array([packed(sizes)]), pa.array([packed(code)]),
+                ],
+                names=["block", "check", "keys", "sizes", "codes"],
+            )
 
 
-def _packed(codes: np.ndarray) -> bytes:
+def packed(numbers: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed, after their count."""
-    planes = codes.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
-    return len(codes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    planes = numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     planes = pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
     return np.frombuffer(planes, dtype="u1").reshape(4, n).T.copy().view("<u4").ravel()
 
 
-def _schema(df: DataFrame) -> tuple[str, pa.Schema]:
-    """Of blocks, for the key's type, as Spark and as Arrow have it."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kind = df.schema["key"].dataType.simpleString()
-    ddl = f"block bigint, code int, word string, keys array<{kind}>, sizes array<int>, codes binary"
-    return ddl, to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
-
-
-def blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of words (block, code, word) and rows of documents (block, keys, sizes, codes)."""
-    texts = docs.select(docs[key].alias("key"), F.make_valid_utf8(text_of(docs)).alias("text"))
-    ddl, schema = _schema(texts)
+def _cut_up(docs: DataFrame, key: str, rows: Callable[[_Block], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """What ``rows`` makes of each block; blocks are the same whenever docs are read."""
+    text = F.make_valid_utf8(text_of(docs))
+    texts = docs.select(docs[key].alias("key"), text.alias("text"), F.spark_partition_id().alias("part"))
     ranges = class_ranges()
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _classes(ranges)
-        numbers = itertools.count(TaskContext.get().partitionId() << 32)
-        block = _Block(next(numbers))
+        block = None
         for batch in batches:
             for part in text_batches(batch, SLICE_BYTES):
-                if block.bytes and block.bytes + part.nbytes > BLOCK_BYTES:
-                    yield from block.rows(schema)
-                    block = _Block(next(numbers))
+                if block is None:
+                    block = _Block(part.column(2)[0].as_py() << 32)
+                elif block.bytes + part.nbytes > BLOCK_BYTES:
+                    yield from rows(block)
+                    block = _Block(block.number + 1)
                 block.add(part.column(0), part.column(1), classes)
-        if block.keys:
-            yield from block.rows(schema)
+        if block:
+            yield from rows(block)
 
-    return texts.mapInArrow(cut_up, ddl)
+    return texts.mapInArrow(work, ddl)
 
 
-def encode_words(words: DataFrame, ranks: str) -> DataFrame:
-    """word and ids of a table of distinct pre-tokens."""
+def pre_token_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """block, check, code and word: the distinct pre-tokens of every block."""
+    return _cut_up(docs, key, _Block.word_rows, "block bigint, check bigint, code int, word string")
+
+
+def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
+    """place, id and at of the ids of every distinct word of ``pre_token_rows``.
+
+    A word's rows follow one another; the one of place 0 has in ``at`` the blocks and codes
+    of the word.
+    """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks).encode_ordinary
-        for batch in batches:
-            for part in text_batches(batch, SLICE_BYTES):
-                ids = [encode(word) for word in part.column(0).to_pylist()]
-                yield pa.record_batch([part.column(0).cast(pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not len(batch):
+                continue
+            rows = pa.Table.from_batches([*held, batch] if batch else held) if batch or held else None
+            if rows is None:
+                return
+            rows = rows.combine_chunks()
+            word = rows.column("word").chunk(0).dictionary_encode()
+            # Sorted by word, so a word's rows are together; the last word's may go on.
+            first = np.flatnonzero(np.diff(word.indices.to_numpy(), prepend=-1))
+            done = int(first[-1]) if batch else len(rows)
+            held = rows.slice(done).to_batches() if batch else []
+            first = first[first < done]
+            if not len(first):
+                continue
+            ids = [encode(w) for w in rows.column("word").chunk(0).take(pa.array(first)).to_pylist()]
+            size = np.array([len(i) for i in ids])
+            start = np.cumsum(size) - size
+            count = np.zeros(size.sum(), dtype="i8")
+            count[start] = np.diff(np.append(first, done))
+            at = pa.StructArray.from_arrays(
+                [rows.column(c).chunk(0).slice(0, done) for c in ("block", "check", "code")], ["block", "check", "code"]
+            )
+            yield pa.record_batch(
+                [
+                    pa.array((np.arange(size.sum()) - np.repeat(start, size)).astype("i4")),
+                    pa.array(np.fromiter(itertools.chain.from_iterable(ids), dtype="i4", count=size.sum())),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype("i4")), at),
+                ],
+                names=["place", "id", "at"],
+            )
 
-    return words.select("word").mapInArrow(encoded, "word string, ids array<int>")
+    together = rows.repartition("word").sortWithinPartitions("word")
+    return together.mapInArrow(encoded, "place int, id int, at array<struct<block:bigint,check:bigint,code:int>>")
 
 
 def token_table(spark: SparkSession, ranks: str) -> DataFrame:
@@ -266,76 +310,108 @@ def decode(rows: DataFrame, key: str, ids: str = "ids", ranks: str | None = None
     )
 
 
-def unpacked(ids: Column) -> Column:
-    """The array<int> of ids stored as little-endian unsigned 32-bit integers."""
-    places = F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1)
-
-    def number(place: Column) -> Column:
-        digits = F.hex(F.substring(ids, place * 4 + 1, F.lit(4)))
-        turned = F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
-        return F.conv(turned, 16, 10).cast("int")
-
-    return F.when(F.octet_length(ids) > 0, F.transform(places, number)).otherwise(F.array().cast("array<int>"))
+def _sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``encode_words`` with the tokens' bytes, as a row per block with all its words."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= _ROWS_BACK:
+            part = pa.Table.from_batches(held)
+            first = np.flatnonzero(part.column("place").to_numpy() == 0)
+            yield from _by_block(part.slice(0, first[-1]))
+            held = part.slice(first[-1]).combine_chunks().to_batches()
+            rows = sum(map(len, held))
+    if held:
+        yield from _by_block(pa.Table.from_batches(held))
+
+
+def _by_block(part: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not len(part):
+        return
+    part = part.combine_chunks()
+    place = part.column("place").to_numpy()
+    first = np.flatnonzero(place == 0)
+    size = np.diff(np.append(first, len(place)))
+    if not np.array_equal(place, np.arange(len(place)) - np.repeat(first, size)):
+        raise ValueError("the ids of a word came out of order")
+    raw = part.column("bytes").chunk(0).cast(pa.binary())
+    length = pa.compute.binary_length(raw).to_numpy()
+    ids = Ragged(part.column("id").to_numpy().astype("<u4"), size)
+    bytes_of = Ragged(np.frombuffer(b"".join(raw.to_pylist()), dtype="u1"), np.add.reduceat(length, first))
+    at = part.column("at").chunk(0)
+    word = np.repeat(np.cumsum(place == 0) - 1, pa.compute.list_value_length(at).to_numpy())
+    block, check, code = (at.flatten().field(k).to_numpy() for k in range(3))
+    order = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+    for low, high in zip(edges, np.append(edges[1:], len(order))):
+        some = order[low:high]
+        yield pa.record_batch(
+            [
+                pa.array([block[some[0]]]), pa.array([check[some[0]]]), pa.array([packed(code[some])]),
+                pa.array([packed(ids.sizes[word[some]])]), pa.array([packed(ids.laid(word[some]))]),
+                pa.array([packed(bytes_of.sizes[word[some]])]),
+                pa.array([pa.compress(bytes_of.laid(word[some]).tobytes(), codec="zstd", asbytes=True)]),
+            ],
+            names=["block", "check", "words", "id_sizes", "ids", "byte_sizes", "bytes"],
+        )
 
 
 def encode(docs: DataFrame, key: str = "doc_id", ranks: str | None = None) -> DataFrame:
     """key, n_tokens, ids (little-endian unsigned 32-bit) and decoded (binary) of each row.
 
-    ``decoded`` is what ``decode`` makes of the ids.
+    ``decoded`` is what the ids decode to by the tokens' bytes.
     """
     ranks = ranks or default_ranks()
-    parts = written(blocks(docs, key), "bpe-blocks")
-    found = parts.where(F.col("word").isNotNull()).select("block", "code", "word")
-    coded = written(encode_words(found.select("word").distinct(), ranks), "bpe-words")
-    known = coded.join(decode(coded, "word", "ids", ranks), "word")
-    back = found.join(known, "word").select("block", "code", "ids", "decoded")
-    kind = parts.schema["keys"].dataType
-    none = F.array().cast("array<int>")  # runs of null arrays are slow to hand to Python
-    rows = back.withColumns(
-        {"keys": F.array().cast(kind), "sizes": none, "codes": F.lit(None).cast("binary")}
-    ).unionByName(
-        parts.where(F.col("word").isNull()).select(
-            "block", "code", none.alias("ids"), F.lit(None).cast("binary").alias("decoded"), "keys", "sizes", "codes"
-        )
+    coded = encode_words(pre_token_rows(docs, key), ranks)
+    # The table has a row per token of the vocabulary, whatever the corpus.
+    known = coded.join(F.broadcast(token_table(docs.sparkSession, ranks)), "id")
+    back = known.select("place", "id", "bytes", "at").mapInArrow(
+        _sent_back,
+        "block bigint, check bigint, words binary, id_sizes binary, ids binary, byte_sizes binary, bytes binary",
     )
-    rows = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("code"))
-    name = kind.elementType.simpleString()
-    ddl = f"`{key}` {name}, n_tokens bigint, ids binary, decoded binary"
-    return rows.mapInArrow(_put_together, ddl)
+    kind = docs.schema[key].dataType.simpleString()
+    texts = _cut_up(
+        docs, key, _Block.document_rows, f"block bigint, check bigint, keys array<{kind}>, sizes binary, codes binary"
+    )
+    # Null arrays in a row are slow to hand to Python, so words have an empty one.
+    rows = back.withColumn("keys", F.array().cast(f"array<{kind}>")).unionByName(texts, allowMissingColumns=True)
+    rows = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("codes"))
+    columns = ["block", "check", "words", "id_sizes", "ids", "byte_sizes", "bytes", "keys", "sizes", "codes"]
+    named = functools.partial(_put_together, key)
+    return rows.select(columns).mapInArrow(named, f"`{key}` {kind}, n_tokens bigint, ids binary, decoded binary")
 
 
-def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, words in order of their codes, then documents."""
-    block, words, table = None, [], None
+def _put_together(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by block, words before documents."""
+    block, table = None, _Table()
     for batch in batches:
-        numbers = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            if numbers[a] != block:
-                block, words, table = numbers[a], [], None
-            part = batch.slice(a, b - a)
-            plain = len(part) - part.column(1).null_count
-            if plain:
-                words.append(part.slice(0, plain))
-            for i in range(plain, len(part)):
-                table = table or _Table(words)
-                yield from table.documents(part, i)
-
-
-class _Ragged:
+        for i in range(len(batch)):
+            row = batch.slice(i, 1)
+            if row.column("block")[0].as_py() != block:
+                block, table = row.column("block")[0].as_py(), _Table()
+            if row.column("codes")[0].is_valid:
+                yield from table.documents(row, key)
+            else:
+                table.add(row)
+
+
+class Ragged:
     """Rows of different lengths in one array, that can be taken and laid end to end."""
 
-    def __init__(self, rows: list[np.ndarray], sizes: list[np.ndarray], kind: str) -> None:
-        self.values = np.concatenate(rows) if rows else np.zeros(0, dtype=kind)
-        self.sizes = np.concatenate(sizes).astype("i8") if sizes else np.zeros(0, dtype="i8")
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.sizes = values, sizes.astype("i8")
         self.place = np.cumsum(self.sizes) - self.sizes
 
-    def laid(self, codes: np.ndarray) -> np.ndarray:
+    def numbered(self, order: np.ndarray) -> None:
+        """From now on row k is the one that was ``order[k]``."""
+        self.sizes, self.place = self.sizes[order], self.place[order]
+
+    def laid(self, rows: np.ndarray) -> np.ndarray:
         out = [self.values[:0]]
-        for low in range(0, len(codes), _AT_ONCE):
-            some = codes[low : low + _AT_ONCE]
+        for low in range(0, len(rows), _AT_ONCE):
+            some = rows[low : low + _AT_ONCE]
             n = self.sizes[some]
             before = np.cumsum(n) - n
             out.append(self.values[np.repeat(self.place[some] - before, n) + np.arange(n.sum())])
@@ -345,33 +421,42 @@ class _Ragged:
 class _Table:
     """A block's words: their ids and bytes."""
 
-    def __init__(self, words: list[pa.RecordBatch]) -> None:
-        ids = [w.column(2) for w in words]
-        raw = [w.column(3).cast(pa.binary()) for w in words]
-        self.ids = _Ragged(
-            [a.flatten().to_numpy().astype("<u4") for a in ids],
-            [pa.compute.list_value_length(a).to_numpy() for a in ids], "<u4",
-        )
-        self.raw = _Ragged(
-            [np.frombuffer(b"".join(a.to_pylist()), dtype="u1") for a in raw],
-            [pa.compute.binary_length(a).to_numpy() for a in raw], "u1",
-        )
-
-    def documents(self, part: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
-        keys = part.column(4).slice(row, 1).flatten()
-        ends = np.cumsum(part.column(5).slice(row, 1).flatten().to_numpy().astype("i8"))
-        codes = _unpacked(part.column(6)[row].as_py())
-        before = np.concatenate([[0], ends])
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.checks: set[int] = set()
+        self.ids: Ragged | None = None
+
+    def add(self, row: pa.RecordBatch) -> None:
+        self.checks.add(row.column("check")[0].as_py())
+        words, id_sizes, ids, sizes = (unpacked(row.column(c)[0].as_py()) for c in ("words", "id_sizes", "ids", "byte_sizes"))
+        raw = pa.decompress(row.column("bytes")[0].as_py(), decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True)
+        self.parts.append((words, id_sizes, ids, sizes, np.frombuffer(raw, dtype="u1")))
+
+    def documents(self, row: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+        sizes = unpacked(row.column("sizes")[0].as_py()).astype("i8")
+        codes = unpacked(row.column("codes")[0].as_py())
+        if self.ids is None:
+            none = np.zeros(0, dtype="<u4")
+            words, id_sizes, ids, byte_sizes, raw = (
+                np.concatenate(c) for c in zip(*(self.parts or [(none, none, none, none, none.view("u1"))]))
+            )
+            order = np.argsort(words)
+            self.ids, self.raw = Ragged(ids, id_sizes), Ragged(raw, byte_sizes)
+            self.ids.numbered(order)
+            self.raw.numbered(order)
+            self.parts = []
+        if len(codes) and self.checks != {row.column("check")[0].as_py()}:
+            raise ValueError("documents came in another order the second time; encode a written table")
+        before = np.concatenate([[0], np.cumsum(sizes)])
         ids_at = np.concatenate([[0], np.cumsum(self.ids.sizes[codes])])[before]
         raw_at = np.concatenate([[0], np.cumsum(self.raw.sizes[codes])])[before]
-        ids = self.ids.laid(codes)
-        raw = self.raw.laid(codes)
-        yield pa.RecordBatch.from_arrays(
+        ids, raw = self.ids.laid(codes), self.raw.laid(codes)
+        yield pa.record_batch(
             [
-                keys, pa.array(np.diff(ids_at)),
+                row.column("keys").flatten(), pa.array(np.diff(ids_at)),
                 _binary(ids.view("u1"), ids_at * 4), _binary(raw, raw_at),
             ],
-            names=["key", "n_tokens", "ids", "decoded"],
+            names=[key, "n_tokens", "ids", "decoded"],
         )
 
 
