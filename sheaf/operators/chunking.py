@@ -1,8 +1,9 @@
 """Chunks of documents: overlapping byte windows and budgeted packs of segments.
 
-Both are narrow: a document's chunks are found and cut inside its row and then
-exploded, so nothing is shuffled and the memory a task needs is bounded by one
-document and its chunks.
+Both are narrow: nothing is shuffled. A document is exploded into blocks of windows, each
+with the bytes it spans and the number of its first line, and a block into its windows, so
+that the memory a task needs is bounded by one document and one block, however much the
+windows overlap. Packs do not overlap; they are found and cut inside the row.
 """
 
 from __future__ import annotations
@@ -25,27 +26,46 @@ _LINE = r"[^\n]*+\n|[^\n]++"
 _SEGMENT = rf"<[^>]*+>\n?|{_LINE}"
 
 
-def _window_starts(length: Column, size: int, overlap: int) -> Column:
-    """0-based offsets of a document's windows, in order.
+_BLOCK_BYTES = 1 << 20
+"""Bytes of a block's windows, unless the fewest windows of a block have more."""
+_FEWEST, _MOST = 16, 4096
+"""Windows of a block."""
+
+
+class _Windows:
+    """Where the windows of documents of some length lie.
 
     Windows advance by ``size - overlap`` (at least 1). Once the rest is no longer
-    than the overlap it becomes the last window.
+    than the overlap it becomes the last window. ``length`` is a column of bytes.
     """
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    single = F.array(zero)
-    if overlap < size:
-        step = F.lit(size - overlap).cast("bigint")
-        # The first multiple of the step from which a full window reaches the end.
-        gap = length - F.lit(size)
-        last = gap + F.pmod(-gap, step)
-        starts = F.sequence(zero, last, step)
-        if overlap > 0:
-            starts = F.concat(starts, F.array(length - F.lit(overlap)))
-    else:
-        last = F.greatest(zero, length - F.lit(overlap + 1))
-        starts = F.concat(F.sequence(zero, last, one), F.array(last + one))
-    none = F.array().cast("array<bigint>")
-    return F.when(length > F.lit(size), starts).when(length > zero, single).otherwise(none)
+
+    def __init__(self, length: Column, size: int, overlap: int) -> None:
+        self._length, self._size = length, F.lit(size).cast("bigint")
+        self._step = F.lit(max(1, size - overlap)).cast("bigint")
+        self.per_block = min(_MOST, max(_FEWEST, _BLOCK_BYTES // size))
+        zero = F.lit(0).cast("bigint")
+        if overlap < size:
+            # Up to the first multiple of the step from which a full window reaches the end.
+            steps = F.ceil((length - self._size) / self._step) + 1
+            self._rest = length - F.lit(overlap) if overlap else None
+            many = steps + 1 if overlap else steps
+        else:
+            self._rest = None
+            many = F.greatest(zero, length - F.lit(overlap + 1)) + 2
+        one = F.least(length, F.lit(1).cast("bigint"))
+        self.count = F.when(length > self._size, many).otherwise(one).cast("bigint")
+        self.blocks = F.ceil(self.count / F.lit(self.per_block)).cast("bigint")
+
+    def start(self, window: Column, count: Column) -> Column:
+        """The 0-based offset of a window of a document that has ``count`` of them."""
+        regular = window * self._step
+        if self._rest is None:
+            return regular
+        return F.when((window > 0) & (window == count - 1), self._rest).otherwise(regular)
+
+    def width(self, window: Column, count: Column) -> Column:
+        rest = self._length - self.start(window, count)
+        return F.when(window == count - 1, rest).otherwise(F.least(self._size, rest))
 
 
 def _running_totals(values: Column, first: Column) -> Column:
@@ -102,42 +122,74 @@ def chunk_bytes(
     # No filter on the content: it would be pushed below whatever computes the content
     # and compute it twice. Empty documents have no windows.
     docs = df if gate is None else df.where(F.col(gate) > F.lit(size))
-    length = F.col("_length")
+    count, base = F.col("_count"), F.col("_base")
+    windows = _Windows(F.col("_length"), size, overlap)
+    first = F.lit(windows.per_block).cast("bigint")
+    none = F.array().cast("array<bigint>")
+
+    def upto(n: Column) -> Column:
+        """0 to n - 1."""
+        return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(none)
+
+    def lines_between(body: Column) -> Column:
+        """Line feeds between each block's start and the next one's."""
+        start = lambda b: windows.start(b * first, count)
+        return F.transform(
+            upto(F.col("_blocks") - 1),
+            lambda b: text.newline_count(text.byte_slice(body, start(b), start(b + 1) - start(b))),
+        )
+
+    # First the blocks: an index and a line each, beside the document.
+    placed = (
+        docs.select(key, content, text.byte_length(F.col(content)).alias("_length"))
+        .withColumn("_count", windows.count)
+        .withColumn("_blocks", windows.blocks)
+        .withColumn("_gaps", _with_bytes(F.col(content), lines_between))
+        .withColumn("_lines", _running_totals(F.col("_gaps"), F.lit(1).cast("bigint")))
+        .select(
+            key, content, "_length", "_count",
+            F.posexplode_outer(F.when(F.col("_blocks") > 0, F.col("_lines"))).alias("_number", "_line"),
+        )
+        .where(F.col("_line").isNotNull())
+    )
+    # A block's bytes are cut out of the document, which is then left behind.
+    low = F.col("_number").cast("bigint") * first
+    high = F.least(low + first, count)
+    at = windows.start(low, count)
+    end = windows.start(high - 1, count) + windows.width(high - 1, count)
+    blocks = placed.select(
+        key, "_length", "_count", "_line", low.alias("_low"), (high - low).alias("_in_block"), at.alias("_base"),
+        text.byte_slice(F.col(content), at, end - at).alias("_span"),
+    )
 
     def gaps(body: Column) -> Column:
         """Line feeds between each window's start and the next one's."""
+        start = lambda k: windows.start(F.col("_low") + k, count)
         return F.transform(
-            F.slice("_starts", 1, F.greatest(F.lit(0), F.size("_starts") - 1)),
-            lambda s, i: text.newline_count(
-                text.byte_slice(body, s, F.get(F.col("_starts"), i + 1) - s)
-            ),
+            upto(F.col("_in_block") - 1),
+            lambda k: text.newline_count(text.byte_slice(body, start(k) - base, start(k + 1) - start(k))),
         )
 
-    def window(body: Column, at: Column) -> Column:
-        rest = length - at["start"]
-        width = F.when(at["start"] == F.col("_last"), rest).otherwise(
-            F.least(F.lit(size).cast("bigint"), rest)
-        )
+    def window(body: Column, line: Column, place: Column) -> Column:
+        number = F.col("_low") + place
+        start = windows.start(number, count)
         return F.struct(
-            at["start"].alias("start"),
-            at["line"].alias("line"),
-            text.byte_slice(body, at["start"], width).alias("raw"),
+            number.cast("int").alias("number"),
+            start.alias("start"),
+            line.alias("line"),
+            text.byte_slice(body, start - base, windows.width(number, count)).alias("raw"),
         )
 
-    lines = _running_totals(F.col("_gaps"), F.lit(1).cast("bigint"))
-    positions = F.arrays_zip(F.col("_starts").alias("start"), lines.alias("line"))
     cut = (
-        docs.select(key, content, text.byte_length(F.col(content)).alias("_length"))
-        .withColumn("_starts", _window_starts(length, size, overlap))
-        .withColumn("_last", F.try_element_at("_starts", F.lit(-1)))
-        .withColumn("_gaps", _with_bytes(F.col(content), gaps))
+        blocks.withColumn("_gaps", _with_bytes(F.col("_span"), gaps))
+        .withColumn("_lines", _running_totals(F.col("_gaps"), F.col("_line")))
         .select(
             key,
-            F.posexplode_outer(
+            F.explode_outer(
                 _with_bytes(
-                    F.col(content), lambda body: F.transform(positions, lambda at: window(body, at))
+                    F.col("_span"), lambda body: F.transform("_lines", lambda line, k: window(body, line, k))
                 )
-            ).alias("chunk_idx", "_window"),
+            ).alias("_window"),
         )
         .where(F.col("_window.raw").isNotNull())
     )
@@ -145,7 +197,7 @@ def chunk_bytes(
     but_last = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
     return cut.select(
         key,
-        "chunk_idx",
+        F.col("_window.number").alias("chunk_idx"),
         F.col("_window.start").alias("start"),
         F.concat(text.trim_spaces(raw), F.lit(b"\n")).alias("content"),
         line.alias("start_line"),

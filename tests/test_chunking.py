@@ -1,7 +1,11 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
+from sheaf.operators import chunking
 from sheaf.operators.chunking import chunk_bytes, overlap_tail, pack_segments, split_segments
 from tests import models
 
@@ -114,6 +118,45 @@ def test_one_large_document(spark):
     assert tuple(rows.first()) == (len(models.windows(len(data), 256, 32)), 90_000, len(data) - 32)
 
 
+@pytest.mark.parametrize("size, overlap", [(20, 5), (7, 0), (5, 5), (3, 9), (16, 15), (10, 3), (4, 60)])
+def test_windows_in_small_blocks(spark, monkeypatch, size, overlap):
+    """Blocks of three windows give what one block gives, lines and last window included."""
+    rows = texts(size * 7 + overlap, n=150)
+    whole = chunks_of(chunk_bytes(table(spark, rows), size, overlap, gate=None))
+    monkeypatch.setattr(chunking, "_FEWEST", 1)
+    monkeypatch.setattr(chunking, "_MOST", 3)
+    assert chunks_of(chunk_bytes(table(spark, rows), size, overlap, gate=None)) == whole
+
+
+LARGE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import functions as F
+from sheaf.operators import chunking
+from sheaf.operators.chunking import chunk_bytes
+from sheaf.session import build_session
+spark = build_session("local[2]", **{{"spark.driver.memory": "1g"}})
+line = F.lit(b"0123456789abcde" + bytes([10]))
+docs = spark.range(1).select(F.col("id").alias("path"), F.unhex(F.repeat(F.hex(line), {n} // 16)).alias("content"))
+rows = chunk_bytes(docs, {size}, {overlap}, gate=None)
+found = rows.agg(
+    F.count("*"), F.countDistinct("chunk_idx"), F.sum("start"), F.sum("start_line"), F.sum("end_line"), F.max("end_line")
+).first()
+print("found", *found)
+"""
+
+
+@pytest.mark.parametrize("n, size, overlap", [(4 << 20, 64, 64), (1 << 20, 300, 299)])
+def test_windows_that_move_by_a_byte_in_a_heap_of_1_gib(n, size, overlap):
+    """Millions of windows of one document: only blocks of them are held at a time."""
+    code = LARGE.format(repo=str(Path(__file__).parent.parent), n=n, size=size, overlap=overlap)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900)
+    spans = models.windows(n, size, overlap)
+    lines = [1 + a // 16 for a, _ in spans], [1 + (b - 1) // 16 for _, b in spans]
+    want = len(spans), len(spans), sum(a for a, _ in spans), sum(lines[0]), sum(lines[1]), n // 16
+    assert f"found {' '.join(map(str, want))}" in done.stdout, done.stderr[-2000:]
+
+
 @pytest.mark.parametrize(
     "content, overlap, expected",
     [
