@@ -1,0 +1,186 @@
+"""Files as several rows give what they give as one."""
+
+from __future__ import annotations
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sheaf.operators.enrich import strip_comments, with_line_count, with_token_count
+from sheaf.operators.parts import count_parts, grep_parts, strip_parts, with_block_state
+from sheaf.operators.search import grep_lines
+from sheaf.sources.parts import list_parts, read_parts
+from sheaf.sources.tree import read_contents, scan_tree
+
+WORDS = ["a", "The", "the ", " ", "\n", "\n", "é", "　", "漢", "// x", "/*", "*/", "/", "*", "\t", "\r\n", "\n\n\n", "  \n"]
+
+
+def trees(seed: int, n: int = 60) -> dict[str, bytes]:
+    r = random.Random(seed)
+    files = {f"{i}": "".join(r.choices(WORDS, k=r.randint(0, 40))).encode() for i in range(n)}
+    files |= {f"raw{i}": bytes(r.choices(b"/*\n \xc2\xa0\xe3\x80\xff" b"Thea", k=r.randint(0, 40))) for i in range(n // 3)}
+    return files | {"none": b"", "feeds": b"\n" * 30, "one": b"x" * 200 + b"THE" + b"y" * 100, "blank": b" \n\t\n \n" * 8}
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("parts")
+    for path, content in trees(11).items():
+        (root / path).write_bytes(content)
+    return str(root), scan_tree(spark, str(root))
+
+
+def joined(frame):
+    out: dict[str, bytes] = {}
+    for r in frame.orderBy("path", "part").collect():
+        assert r.content is not None
+        out[r.path] = out.get(r.path, b"") + bytes(r.content)
+    return out
+
+
+@pytest.mark.parametrize("whole_lines", [False, True])
+@pytest.mark.parametrize("size", [4, 5, 7, 16, 1000])
+def test_parts_are_the_file(spark, tree, size, whole_lines):
+    root, listing = tree
+    parts = read_parts(listing, root, size, whole_lines)
+    assert parts.where("error is not null").count() == 0
+    assert joined(parts) == trees(11)
+    for r in parts.collect():
+        data = trees(11)[r.path]
+        assert data[r.offset : r.offset + len(r.content)] == r.content
+        if whole_lines and r.content and r.offset + len(r.content) < len(data):
+            assert r.content.endswith(b"\n")
+        if not whole_lines and 0 < r.offset < len(data):
+            try:  # no character is cut
+                data.decode()
+            except UnicodeDecodeError:
+                continue
+            bytes(r.content).decode()
+
+
+def test_a_part_for_every_range(spark):
+    frame = spark.createDataFrame(
+        [("a", 0, None, None), ("b", 10, None, None), ("c", 11, None, None), ("d", None, None, "gone"), ("e", 5 << 40, None, None)],
+        "path string, size bigint, mod_time timestamp, error string",
+    )
+    rows = list_parts(frame, 5).where("path <> 'e'").groupBy("path").agg(F.max("part"), F.max("offset"), F.count("*"))
+    assert sorted(map(tuple, rows.collect())) == [("a", 0, 0, 1), ("b", 1, 5, 2), ("c", 2, 10, 3), ("d", 0, 0, 1)]
+    last = list_parts(frame.where("path = 'e'")).agg(F.max("offset"), F.count("*")).first()
+    assert tuple(last) == ((5 << 40) - (64 << 20), (5 << 40) >> 26)
+    with pytest.raises(ValueError):
+        list_parts(frame, 3)
+
+
+@pytest.mark.parametrize("size", [4, 6, 13, 1000])
+def test_counts_and_search_are_those_of_whole_files(spark, tree, size):
+    root, listing = tree
+    whole = read_contents(listing, root)
+    parts = read_parts(listing, root, size)
+    want = with_token_count(with_line_count(whole)).select("path", "line_count", "token_count")
+    assert sorted(count_parts(parts).collect()) == sorted(want.collect())
+    for query in ("the", "x", "a", "漢"):
+        got = sorted(map(tuple, grep_parts(parts, query).collect()))
+        assert got == sorted(map(tuple, grep_lines(whole, query).collect()))
+    assert grep_parts(parts, "").count() == grep_parts(parts, "a\nb").count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 6, 9, 14, 25, 1000])
+def test_stripped_parts_are_the_stripped_file(spark, tree, size):
+    root, listing = tree
+    parts = read_parts(listing, root, size, whole_lines=True)
+    whole = strip_comments(read_contents(listing, root)).select("path", "content").collect()
+    assert joined(strip_parts(parts)) == {r.path: bytes(r.content) for r in whole}
+
+
+def test_files_with_long_lines_are_left_alone(spark, tree):
+    root, listing = tree
+    parts = read_parts(listing, root, 8, whole_lines=True)
+    whole = strip_comments(read_contents(listing, root), max_line_bytes=20).select("path", "content").collect()
+    assert joined(strip_parts(parts, max_line_bytes=20)) == {r.path: bytes(r.content) for r in whole}
+
+
+def test_random_cuts_at_line_ends(spark):
+    """Parts of a table, with empty ones among them."""
+    r = random.Random(5)
+    rows, files = [], {}
+    for path, data in trees(23, 150).items():
+        files[path] = data
+        lines = data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")]
+        if b"".join(lines) != data:
+            lines[-1] = lines[-1][:-1]
+        lines = [b"".join(g) for g in _feeds(lines)]
+        cuts = sorted(r.choices(range(len(lines) + 1), k=r.randint(0, 6)))
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+            rows.append((path, part, b"".join(lines[a:b])))
+    parts = spark.createDataFrame(rows, "path string, part int, content binary").repartition(5)
+    table = spark.createDataFrame(list(files.items()), "path string, content binary")
+    assert joined(strip_parts(parts)) == {x.path: bytes(x.content) for x in strip_comments(table).collect()}
+
+
+def _feeds(lines):
+    """Runs of pieces that each end in a line feed, but for the last."""
+    held = []
+    for line in lines:
+        held.append(line)
+        if line.endswith(b"\n"):
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def test_block_state_is_composed(spark):
+    lines = [b"a /*\n", b"b\n", b"x */ y\n", b"/* */\n", b"/* */\n", b"*/ /*\n", b"", b"c\n", b"*/\n", b"d\n"]
+    parts = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, part int, content binary")
+    got = [r.opened for r in with_block_state(parts).orderBy("part").collect()]
+    want, opened = [], False
+    for line in map(bytes.decode, lines):
+        want.append(opened)
+        if opened:
+            if "*/" not in line:
+                continue
+            line = line.partition("*/")[2]
+        opened = "/*" in line
+    assert got == want
+
+
+def test_a_file_above_the_limit_of_a_row(spark, tmp_path):
+    """A sparse file: as parts it is listed, counted and searched; as one row it has an error."""
+    from sheaf.sources import tree
+
+    size = 48 << 20
+    with open(tmp_path / "sparse", "wb") as file:
+        file.write(b"first line\n")
+        file.seek(size // 2)
+        file.write(b"\nthe needle here\n")
+        file.truncate(size)
+    root, limit = str(tmp_path), tree._MOST_BYTES
+    listing = scan_tree(spark, root)
+    assert listing.first().size == size
+    want = with_token_count(with_line_count(read_contents(listing, root))).select("line_count", "token_count").first()
+    tree._MOST_BYTES = size // 4
+    try:
+        assert read_contents(listing, root).first().error == "read error: too large for a row"
+        parts = read_parts(listing, root, size // 8)
+        assert parts.count() == 8
+        assert count_parts(parts).select("line_count", "token_count").first() == want
+        assert [tuple(r) for r in grep_parts(parts, "NEEDLE").collect()] == [("sparse", 2, "the needle here")]
+        # A line that is too long for a row is an error of its part; the scan goes on.
+        lines = read_parts(listing, root, size // 8, whole_lines=True, most_bytes=size // 4)
+        errors = lines.where("error is not null").select("error").distinct().collect()
+        assert [r.error for r in errors] == ["read error: a line is too long for a row"]
+    finally:
+        tree._MOST_BYTES = limit
+
+
+def test_a_file_that_vanishes(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 100)
+    (tmp_path / "b").write_bytes(b"one two\n" * 10)
+    listing = scan_tree(spark, str(tmp_path))
+    listing = spark.createDataFrame(listing.collect(), listing.schema)
+    os.remove(tmp_path / "a")
+    rows = read_parts(listing, str(tmp_path), 40).collect()
+    assert {r.path for r in rows if r.error} == {"a"} and sum(r.path == "a" for r in rows) == 3
+    assert joined(read_parts(listing.where("path = 'b'"), f"file://{tmp_path}", 40))["b"] == b"one two\n" * 10
