@@ -471,6 +471,11 @@ long AS (
     )
     + f"SELECT path, {_CHUNK_COLUMNS} FROM chunks",
 }
+ORACLES["file_part_counts"] = f"""
+SELECT doc_id, line_count, token_count
+FROM ({ORACLES["document_lines"]}) JOIN ({ORACLES["document_tokens"]}) USING (doc_id)"""
+ORACLES["file_part_search"] = ORACLES["line_search"]
+ORACLES["file_part_stripping"] = ORACLES["comment_stripping"]
 ORACLES["listed_bundle"] = f"SELECT path, content_md5 FROM ({ORACLES['context_bundle']})"
 ORACLES["listed_tree"] = (
     _with(

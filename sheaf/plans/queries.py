@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.constants import DEFAULT_IGNORE_PATTERNS
 from sheaf.functions.text import as_text
-from sheaf.operators import chunking, enrich, filters, search, selection, tree
+from sheaf.operators import chunking, enrich, filters, parts, search, selection, tree
 from sheaf.options import BundleOptions
 from sheaf.plans import views
 from sheaf.plans.bundle import build_bundle, bundle_chunks, bundle_listing, processed_files
 from sheaf.session import new_folder
 from sheaf.sinks.bundle import read_bundle, read_context, write_bundle
 from sheaf.sinks.tree import write_tree
+from sheaf.sources.parts import read_parts
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import read_selection, selection_stream, write_selection
@@ -26,6 +27,7 @@ CAP = 100
 SCAN_PATTERNS = (*DEFAULT_IGNORE_PATTERNS, "*.MD", "src/*.go", "src/node_modules/de*")
 TREE_PATTERNS = ("/fr/", "*7", "cheap?pills", "spam-farm", "m.*.net", "en/*", "[a-b]*.ht*")
 CHUNK, OVERLAP, TOKENS = 256, 32, 60
+PART = 700
 LINE_QUERY = "The"
 PATH_QUERY = "EXAMPLE"
 FUZZY_QUERY = "exfr"
@@ -60,6 +62,39 @@ def tree_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _text_files(spark: SparkSession, folder: str, rows: DataFrame) -> tuple[DataFrame, str]:
+    """Documents written as one file each, named by doc_id, and listed again."""
+    root = new_folder(spark, "files").removeprefix("file:")
+    write_tree(rows.select(F.col("doc_id").cast("string").alias("path"), F.col("content").cast("binary")), root)
+    return scan_tree(spark, root), root
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("path").cast("bigint")).drop("path")
+
+
+def file_part_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and tokens of files that are read as parts of some hundred bytes."""
+    listing, root = _text_files(spark, folder, _documents(spark, folder))
+    return _by_document(parts.count_parts(read_parts(listing, root, PART)))
+
+
+def file_part_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Matching lines of the same files, of which many are cut by a part's end."""
+    listing, root = _text_files(spark, folder, _documents(spark, folder))
+    rows = parts.grep_parts(read_parts(listing, root, PART), LINE_QUERY)
+    return _by_document(rows.withColumn("line_no", F.col("line_no").cast("bigint")))
+
+
+def file_part_stripping(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments stripped part by part, and the parts put together again."""
+    listing, root = _text_files(spark, folder, views.commented(spark, folder))
+    rows = parts.strip_parts(read_parts(listing, root, PART, whole_lines=True))
+    whole = F.array_sort(F.collect_list(F.struct("part", as_text(F.col("content")).alias("text"))))
+    joined = rows.groupBy("path").agg(F.array_join(F.transform(whole, lambda p: p["text"]), "").alias("content"))
+    return _by_document(joined)
+
+
 def size_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filters.filter_size(views.files(spark, folder), MAX_SIZE).select("doc_id", "path", "size")
 
@@ -343,6 +378,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokens_by_file,
         tree_scan,
+        file_part_counts,
+        file_part_search,
+        file_part_stripping,
         size_filter,
         file_cap,
         scan_ignore_filter,
