@@ -16,6 +16,7 @@ from sheaf.operators.filters import (
     over_size,
     with_is_binary,
 )
+from sheaf.operators.parts import count_parts, grep_parts, strip_parts
 from sheaf.operators.search import (
     grep_lines,
     match_stats,
@@ -38,7 +39,9 @@ from sheaf.sinks.bundle import (
     write_yaml,
 )
 from sheaf.sinks.tree import write_tree
+from sheaf.sources.parts import list_parts, read_parts
 from sheaf.sources.tree import read_contents, scan_tree
+from sheaf.sources.tree_format import register_tree
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import (
     compact_selection,
@@ -57,12 +60,15 @@ __all__ = [
     "cap_files",
     "chunk_bytes",
     "compact_selection",
+    "count_parts",
     "dir_tree",
     "filter_ignored",
     "filter_size",
     "filter_tree_ignored",
     "gate_processable",
     "grep_lines",
+    "grep_parts",
+    "list_parts",
     "match_stats",
     "over_size",
     "overlap_tail",
@@ -72,7 +78,9 @@ __all__ = [
     "read_bundle",
     "read_context",
     "read_contents",
+    "read_parts",
     "read_selection",
+    "register_tree",
     "render_tree",
     "scan_stream",
     "scan_tree",
@@ -85,6 +93,7 @@ __all__ = [
     "selection_stream",
     "split_segments",
     "strip_comments",
+    "strip_parts",
     "with_is_binary",
     "with_language",
     "with_line_count",

@@ -88,6 +88,12 @@ binaries AS (
          ELSE text END AS content
   FROM documents)"""
 
+MIXED_FILES = f"""{_FILES_RAW},{COMMENTED},{BINARIES},
+files AS (
+  SELECT doc_id, path, CAST(octet_length(encode(content)) AS BIGINT) AS size, content
+  FROM (SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN b.content ELSE c.content END AS content
+        FROM files_raw JOIN commented c USING (doc_id) JOIN binaries b USING (doc_id)))"""
+
 PATHS = """
 paths AS (
   SELECT path FROM (
@@ -471,6 +477,31 @@ long AS (
     )
     + f"SELECT path, {_CHUNK_COLUMNS} FROM chunks",
 }
+ORACLES["tree_source"] = (
+    _with(FILES)
+    + f"""
+SELECT path, size, md5(content) AS content_md5 FROM files
+WHERE starts_with(path, 'src/') AND size <= {q.MAX_SIZE}"""
+)
+ORACLES["tree_stream"] = (
+    _with(
+        MIXED_FILES,
+        _ignored("files", DEFAULT_IGNORE_PATTERNS),
+        _ANY_SIZE,
+        _languages("kept"),
+        _stripped("kept"),
+        recursive=True,
+    )
+    + f"""
+SELECT path, size, is_binary,
+  CASE WHEN looked_into THEN language END AS language,
+  CASE WHEN looked_into THEN {_tokens("content")} END AS token_count,
+  CASE WHEN looked_into THEN md5(content) END AS content_md5
+FROM (
+  SELECT k.path, k.size, {_is_binary("k.content")} AS is_binary, language, s.content,
+    NOT {_is_binary("k.content")} AND k.size > 0 AS looked_into
+  FROM kept k JOIN languages USING (path) JOIN stripped s USING (doc_id))"""
+)
 ORACLES["file_part_counts"] = f"""
 SELECT doc_id, line_count, token_count
 FROM ({ORACLES["document_lines"]}) JOIN ({ORACLES["document_tokens"]}) USING (doc_id)"""

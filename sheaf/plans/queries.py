@@ -18,6 +18,7 @@ from sheaf.sinks.bundle import read_bundle, read_context, write_bundle
 from sheaf.sinks.tree import write_tree
 from sheaf.sources.parts import read_parts
 from sheaf.sources.tree import read_contents, scan_tree
+from sheaf.sources.tree_format import register_tree
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import read_selection, selection_stream, write_selection
 
@@ -125,6 +126,37 @@ def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def tree_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a tree by SQL, whose conditions keep directories and files from being opened."""
+    root = new_folder(spark, "files").removeprefix("file:")
+    write_tree(views.files(spark, folder), root)
+    register_tree(spark)
+    tree = spark.read.format("file_tree").option("contents", "true").load(root)
+    rows = tree.where(f"path LIKE 'src/%' AND size <= {MAX_SIZE} AND error IS NULL")
+    return rows.select("path", "size", _md5())
+
+
+def tree_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a tree handled as they appear, some ignored, binary or full of comments.
+
+    Half of the files are there when the first run lists the tree; the second run goes on
+    from its checkpoint.
+    """
+    root = new_folder(spark, "files").removeprefix("file:")
+    out, checkpoint = new_folder(spark, "arrived"), new_folder(spark, "arrived-checkpoint")
+    register_tree(spark)
+    files = views.mixed_files(spark, folder)
+    for half in (0, 1):
+        write_tree(files.where(F.col("doc_id") % 2 == half), root)
+        stream = spark.readStream.format("file_tree").options(contents="true", settle="0").load(root)
+        rows = filters.with_is_binary(filters.filter_ignored(stream.where("error IS NULL")))
+        rows = filters.gate_processable(enrich.with_language(rows))
+        rows = enrich.with_token_count(enrich.strip_comments(rows))
+        rows = rows.select("path", "size", "is_binary", "language", "token_count", _md5())
+        write_available(rows, out, checkpoint)
+    return spark.read.parquet(out)
+
+
 def binary_flag(spark: SparkSession, folder: str) -> DataFrame:
     return filters.with_is_binary(views.binaries(spark, folder)).select("doc_id", "is_binary")
 
@@ -385,6 +417,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_cap,
         scan_ignore_filter,
         incremental_scan,
+        tree_source,
+        tree_stream,
         binary_flag,
         processable_gate,
         language_detection,

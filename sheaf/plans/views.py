@@ -58,10 +58,13 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return _files(texts(spark, folder, "documents"), content)
 
 
+def _garbled() -> Column:
+    return F.regexp_replace("text", "[aeiou ]", "\x01")
+
+
 def binaries(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, content: documents, some of them full of control characters."""
-    garbled = F.regexp_replace("text", "[aeiou ]", "\x01")
-    content = F.when(F.col("doc_id") % 7 == 0, garbled).otherwise(F.col("text"))
+    content = F.when(F.col("doc_id") % 7 == 0, _garbled()).otherwise(F.col("text"))
     return texts(spark, folder, "documents").select("doc_id", content.cast("binary").alias("content"))
 
 
@@ -75,6 +78,12 @@ def commented_files(spark: SparkSession, folder: str) -> DataFrame:
     return _files(texts(spark, folder, "documents"), _commented())
 
 
+def mixed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, path, size, content: commented files, some of them full of control characters."""
+    content = F.when(F.col("doc_id") % 7 == 0, _garbled().cast("binary")).otherwise(_commented())
+    return _files(texts(spark, folder, "documents"), content)
+
+
 def paths(spark: SparkSession, folder: str) -> DataFrame:
     """path: the addresses of the pages, without scheme, query and closing slash."""
     path = F.rtrim(F.regexp_extract("url", r"^https?://([^?#]+)", 1), F.lit("/"))

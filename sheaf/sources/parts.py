@@ -11,7 +11,6 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from sheaf.sources.tree import (
     LISTING_SCHEMA,
     _is_address,
     _send_code_along,
+    _stored,
 )
 
 PART_BYTES = 64 << 20
@@ -45,7 +45,7 @@ def list_parts(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
 def _opened(root: str, path: str):
     if _is_address(root):
-        system, name = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{path}")
+        system, name = _stored(root, path)
         return system.open_input_file(name)
     return open(os.path.join(root, path), "rb")
 

@@ -103,8 +103,14 @@ def _local_entries(root: str, directory: str) -> Iterator[tuple]:
             yield _entry(entry, f"{directory}/{entry.name}" if directory else entry.name)
 
 
+def _stored(root: str, path: str) -> tuple[fs.FileSystem, str]:
+    """The store of an address, and what it calls the path; names need no escaping."""
+    system, base = fs.FileSystem.from_uri(root)
+    return system, f"{base.rstrip('/')}/{path}"
+
+
 def _stored_entries(root: str, directory: str) -> Iterator[tuple]:
-    system, base = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{directory}")
+    system, base = _stored(root, directory)
     for info in system.get_file_info(fs.FileSelector(base)):
         relative = f"{directory}/{info.base_name}" if directory else info.base_name
         if info.type == fs.FileType.Directory:
@@ -180,7 +186,7 @@ def scan_tree(
 
 def _read(root: str, path: str) -> bytes:
     if _is_address(root):
-        system, name = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{path}")
+        system, name = _stored(root, path)
         with system.open_input_stream(name) as file:
             return file.read()
     with open(os.path.join(root, path), "rb") as file:
