@@ -42,6 +42,7 @@ from sheaf.sinks.tree import write_tree
 from sheaf.sources.parts import list_parts, read_parts
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.sources.tree_format import register_tree
+from sheaf.streaming.buffer import buffer_stream, read_buffer, write_buffer
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import (
     compact_selection,
@@ -54,6 +55,7 @@ __all__ = [
     "Bundle",
     "BundleOptions",
     "apply_ops",
+    "buffer_stream",
     "build_bundle",
     "bundle_chunks",
     "bundle_listing",
@@ -75,6 +77,7 @@ __all__ = [
     "pack_segments",
     "preview",
     "processed_files",
+    "read_buffer",
     "read_bundle",
     "read_context",
     "read_contents",
@@ -99,6 +102,7 @@ __all__ = [
     "with_line_count",
     "with_token_count",
     "write_available",
+    "write_buffer",
     "write_bundle",
     "write_json",
     "write_tree",

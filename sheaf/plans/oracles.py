@@ -477,6 +477,7 @@ long AS (
     )
     + f"SELECT path, {_CHUNK_COLUMNS} FROM chunks",
 }
+ORACLES["buffer_from_stream"] = ORACLES["latest_writes"]
 ORACLES["tree_source"] = (
     _with(FILES)
     + f"""

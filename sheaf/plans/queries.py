@@ -19,6 +19,7 @@ from sheaf.sinks.tree import write_tree
 from sheaf.sources.parts import read_parts
 from sheaf.sources.tree import read_contents, scan_tree
 from sheaf.sources.tree_format import register_tree
+from sheaf.streaming.buffer import buffer_stream, read_buffer, write_buffer
 from sheaf.streaming.scan import scan_stream, write_available
 from sheaf.streaming.selection import read_selection, selection_stream, write_selection
 
@@ -285,6 +286,17 @@ def latest_writes(spark: SparkSession, folder: str) -> DataFrame:
     return selection.apply_ops(views.operations(spark, folder))
 
 
+def buffer_from_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same buffer from a stream of operations, a fifth of them at a time, in no order."""
+    ops = views.operations(spark, folder)
+    arriving = new_folder(spark, "operations")
+    ops.repartition(5, "seq").write.parquet(arriving)
+    stream = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    out = new_folder(spark, "buffer")
+    write_buffer(buffer_stream(stream), out, new_folder(spark, "buffer-checkpoint"))
+    return read_buffer(spark, out)
+
+
 def selected_contents(spark: SparkSession, folder: str) -> DataFrame:
     chosen = views.selected_documents(spark, folder)
     rows = selection.select_contents(views.files(spark, folder), chosen, "doc_id")
@@ -440,6 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         selection_state,
         selection_from_stream,
         latest_writes,
+        buffer_from_stream,
         selected_contents,
         tree_ignore_filter,
         directory_tree,
