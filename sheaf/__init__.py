@@ -38,6 +38,7 @@ from sheaf.sinks.bundle import (
     write_xml,
     write_yaml,
 )
+from sheaf.sinks.document import document_bytes, read_document, write_document
 from sheaf.sinks.tree import write_tree
 from sheaf.sources.parts import list_parts, read_parts
 from sheaf.sources.tree import read_contents, scan_tree
@@ -64,6 +65,7 @@ __all__ = [
     "compact_selection",
     "count_parts",
     "dir_tree",
+    "document_bytes",
     "filter_ignored",
     "filter_size",
     "filter_tree_ignored",
@@ -81,6 +83,7 @@ __all__ = [
     "read_bundle",
     "read_context",
     "read_contents",
+    "read_document",
     "read_parts",
     "read_selection",
     "register_tree",
@@ -104,6 +107,7 @@ __all__ = [
     "write_available",
     "write_buffer",
     "write_bundle",
+    "write_document",
     "write_json",
     "write_tree",
     "write_selection",

@@ -478,6 +478,9 @@ long AS (
     + f"SELECT path, {_CHUNK_COLUMNS} FROM chunks",
 }
 ORACLES["buffer_from_stream"] = ORACLES["latest_writes"]
+for _format in ("xml", "json", "yaml"):
+    ORACLES[f"{_format}_document"] = f"""
+SELECT row_number() OVER (ORDER BY path) - 1 AS position, path, content_md5 FROM ({_WRITTEN})"""
 ORACLES["tree_source"] = (
     _with(FILES)
     + f"""

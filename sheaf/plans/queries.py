@@ -15,6 +15,7 @@ from sheaf.plans import views
 from sheaf.plans.bundle import build_bundle, bundle_chunks, bundle_listing, processed_files
 from sheaf.session import new_folder
 from sheaf.sinks.bundle import read_bundle, read_context, write_bundle
+from sheaf.sinks.document import read_document, write_document
 from sheaf.sinks.tree import write_tree
 from sheaf.sources.parts import read_parts
 from sheaf.sources.tree import read_contents, scan_tree
@@ -372,6 +373,27 @@ def yaml_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return _bundle(spark, folder, "yaml")
 
 
+def _document(spark: SparkSession, folder: str, format: str) -> DataFrame:
+    """All files as one committed document, read back with their places in it."""
+    options = BundleOptions(ignore_patterns=(), max_file_size=None)
+    bundle = build_bundle(views.files(spark, folder), options=options)
+    out = new_folder(spark, f"{format}-document")
+    write_document(bundle.files, bundle.tree, out, format)
+    return read_document(spark, out)[0].select("position", "path", _md5())
+
+
+def xml_document(spark: SparkSession, folder: str) -> DataFrame:
+    return _document(spark, folder, "xml")
+
+
+def json_document(spark: SparkSession, folder: str) -> DataFrame:
+    return _document(spark, folder, "json")
+
+
+def yaml_document(spark: SparkSession, folder: str) -> DataFrame:
+    return _document(spark, folder, "yaml")
+
+
 def _selected_paths(spark: SparkSession, folder: str) -> DataFrame:
     chosen = views.selected_documents(spark, folder)
     return views.files(spark, folder).select("doc_id", "path").join(chosen, "doc_id", "left_semi")
@@ -463,6 +485,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         xml_context,
         json_context,
         yaml_context,
+        xml_document,
+        json_document,
+        yaml_document,
         listed_bundle,
         listed_tree,
         context_bundle,

@@ -51,7 +51,7 @@ def write_xml(files: DataFrame, tree: DataFrame, folder: str, cwd: str = ".") ->
         .save(f"{folder}/files")
     )
     (
-        clean(_context_rows(tree, cwd), "tree")
+        clean(_context_rows(tree, cwd), "cwd", "tree")
         .write.format("xml")
         .options(rootTag="directory-contexts", rowTag="directory-context")
         .save(f"{folder}/context")
@@ -64,14 +64,16 @@ def write_json(files: DataFrame, tree: DataFrame, folder: str, cwd: str = ".") -
     _context_rows(tree, cwd).write.json(f"{folder}/context")
 
 
-def _yaml_document(value: Column) -> Column:
-    # A JSON object is a YAML flow mapping.
-    text = F.to_json(value)
+def _yaml_flow(text: Column) -> Column:
+    """A JSON value as YAML, which reads it as a flow value."""
     escaped = text
     for code in _NOT_YAML_CODES:
         escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    text = F.when(text.rlike(_NOT_YAML), escaped).otherwise(text)
-    return F.concat(F.lit("---\n"), text).alias("value")
+    return F.when(text.rlike(_NOT_YAML), escaped).otherwise(text)
+
+
+def _yaml_document(value: Column) -> Column:
+    return F.concat(F.lit("---\n"), _yaml_flow(F.to_json(value))).alias("value")
 
 
 def write_yaml(files: DataFrame, tree: DataFrame, folder: str, cwd: str = ".") -> None:
