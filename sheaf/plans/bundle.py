@@ -100,12 +100,16 @@ def bundle_listing(
     Filters, cap, selection and the order work on the listing, some hundred bytes a file,
     and each file is then read once, in its place. The tree is drawn from the listing as
     it is, so scan without a size limit and without patterns; the options bring both.
-    Files that cannot be read are in the tree only.
+    Files that cannot be read are in the tree only, and so are directories, of which those
+    without files are drawn if the listing has them as rows.
     """
-    good = listing.where("error IS NULL")
+    shown = F.col("size").isNotNull()
+    if "is_directory" in listing.columns:
+        shown = shown | F.col("is_directory")
+    good = listing.where("error IS NULL AND size IS NOT NULL")
     ordered = _by_path(_chosen(good, selected, options)).sortWithinPartitions("path")
     read = read_contents(ordered, root, in_place=True).where("error IS NULL")
-    return Bundle(_processed(read, options), _tree(listing.where("size IS NOT NULL"), options))
+    return Bundle(_processed(read, options), _tree(listing.where(shown), options))
 
 
 def bundle_chunks(files: DataFrame, options: BundleOptions = BundleOptions()) -> DataFrame:

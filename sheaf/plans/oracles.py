@@ -481,6 +481,21 @@ ORACLES["buffer_from_stream"] = ORACLES["latest_writes"]
 for _format in ("xml", "json", "yaml"):
     ORACLES[f"{_format}_document"] = f"""
 SELECT row_number() OVER (ORDER BY path) - 1 AS position, path, content_md5 FROM ({_WRITTEN})"""
+ORACLES["walked_tree"] = (
+    _with(
+        FILES,
+        """
+placed AS (
+  SELECT concat('d', doc_id % 30) AS folder,
+    concat('d', doc_id % 30, '/', list_last(string_split(path, '/'))) AS path
+  FROM files),
+everything AS (SELECT path FROM placed UNION SELECT folder FROM placed)""",
+        _tree_ignored(q.WALK_PATTERNS).replace("FROM paths", "FROM everything"),
+        "paths AS (SELECT path FROM everything WHERE path NOT IN (SELECT path FROM tree_ignored))",
+        _TREE,
+    )
+    + "SELECT path, depth, line FROM tree"
+)
 ORACLES["tree_source"] = (
     _with(FILES)
     + f"""

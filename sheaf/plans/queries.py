@@ -29,6 +29,7 @@ MAX_SIZE = 4000
 CAP = 100
 SCAN_PATTERNS = (*DEFAULT_IGNORE_PATTERNS, "*.MD", "src/*.go", "src/node_modules/de*")
 TREE_PATTERNS = ("/fr/", "*7", "cheap?pills", "spam-farm", "m.*.net", "en/*", "[a-b]*.ht*")
+WALK_PATTERNS = ("*.py", "d2/", "*.crc")
 CHUNK, OVERLAP, TOKENS = 256, 32, 60
 PART = 700
 LINE_QUERY = "The"
@@ -430,6 +431,17 @@ def listed_tree(spark: SparkSession, folder: str) -> DataFrame:
     return _tree_lines(read_context(spark, _listed_bundle(spark, folder), "json"))
 
 
+def walked_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree of a listing with its directories, some of which hold ignored files only."""
+    root = new_folder(spark, "walk").removeprefix("file:")
+    name = F.element_at(F.split("path", "/"), -1)
+    place = F.concat(F.lit("d"), F.col("doc_id") % 30, F.lit("/"), name)
+    write_tree(views.files(spark, folder).withColumn("path", place), root)
+    options = BundleOptions(ignore_patterns=WALK_PATTERNS)
+    lines = bundle_listing(scan_tree(spark, root, directories=True), root, options=options).tree
+    return lines.select(F.array_join("parts", "/").alias("path"), F.col("depth").cast("bigint").alias("depth"), "line")
+
+
 def context_bundle_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the whole run on all files, comments stripped."""
     options = BundleOptions(
@@ -490,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         yaml_document,
         listed_bundle,
         listed_tree,
+        walked_tree,
         context_bundle,
         context_bundle_chunks,
     )

@@ -160,28 +160,30 @@ def scan_tree(
     patterns: Iterable[str] = (),
     max_size: int | None = None,
     parts: int | None = None,
+    directories: bool = False,
 ) -> DataFrame:
     """List the files below ``root``: path, size, mod_time, error.
 
     Ignored directories are not entered and too large files not listed. What cannot
     be read, a name that is not UTF-8 included, becomes a row with ``error`` and the scan
     goes on. A level is listed in at most ``parts`` tasks; the listing is done when this
-    returns and lies in the shared folder.
+    returns and lies in the shared folder. With ``directories`` they are rows as well,
+    without a size, and ``is_directory`` tells.
     """
     _send_code_along()
     ignored = _Ignore(patterns)
     folder = new_folder(spark, "listing")
     parts = parts or 4 * spark.sparkContext.defaultParallelism
     start = [] if ignored(".") else [("",)]
-    directories, count, level = spark.createDataFrame(start, "path string"), 1, 0
+    opened, count, level = spark.createDataFrame(start, "path string"), 1, 0
     while count:
-        dealt = directories.repartition(min(parts, count))
+        dealt = opened.repartition(min(parts, count))
         _list_level(dealt, root, ignored, max_size).write.parquet(f"{folder}/{level}")
         entries = spark.read.parquet(f"{folder}/{level}")
-        directories = entries.where("is_directory")
-        count, level = directories.count(), level + 1
+        opened = entries.where("is_directory")
+        count, level = opened.count(), level + 1
     found = spark.read.parquet(*[f"{folder}/{n}" for n in range(level)])
-    return found.where("NOT is_directory").drop("is_directory")
+    return found if directories else found.where("NOT is_directory").drop("is_directory")
 
 
 def _read(root: str, path: str) -> bytes:

@@ -101,3 +101,28 @@ def test_listing_first(spark, tmp_path):
     assert "MapInArrow" not in bundle.tree._jdf.queryExecution().executedPlan().toString()
     unlimited = bundle_listing(scan_tree(spark, str(tmp_path)), str(tmp_path), options=BundleOptions(max_file_size=None))
     assert "large.txt" in rows_of(unlimited)
+
+
+def test_the_tree_of_a_listing_is_that_of_a_walk(spark, tmp_path):
+    """Directories without files, or with ignored files only, are drawn; ignored ones are not."""
+    import os
+
+    from sheaf.plans.bundle import bundle_listing
+    from sheaf.sources.tree import scan_tree
+
+    for path in ("a/b/file.go", "a/only/x.log", "top", "skip/y/z"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"text")
+    for path in ("empty", "a/empty/inner", "skip/empty", "é"):
+        (tmp_path / path).mkdir(parents=True)
+    os.symlink("missing", tmp_path / "broken")
+    options = BundleOptions(ignore_patterns=("skip", "*.log"))
+    listing = scan_tree(spark, str(tmp_path), directories=True)
+    bundle = bundle_listing(listing, str(tmp_path), options=options)
+    want = [".", "├── a", "  ├── b", "    ├── file.go", "  ├── empty", "    ├── inner", "  ├── only", "├── empty", "├── top", "├── é"]
+    assert [r.line for r in bundle.tree.collect()] == want
+    # The files follow the scan's rule, in which *.log is about root-level files.
+    assert {r.path for r in bundle.files.collect()} == {"a/b/file.go", "a/only/x.log", "top"}
+    assert {r.path for r in scan_tree(spark, str(tmp_path)).collect()} == {
+        "a/b/file.go", "a/only/x.log", "top", "skip/y/z", "broken"
+    }
