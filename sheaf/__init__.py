@@ -21,6 +21,7 @@ from sheaf.operators.search import (
     grep_lines,
     match_stats,
     preview,
+    search_aligned,
     search_and_preview,
     search_fuzzy,
     search_fuzzy_many,
@@ -90,6 +91,7 @@ __all__ = [
     "render_tree",
     "scan_stream",
     "scan_tree",
+    "search_aligned",
     "search_and_preview",
     "search_fuzzy",
     "search_fuzzy_many",

@@ -133,3 +133,13 @@ SPACE_BYTES_WIDE = (
 
 # Byte values that count as non-printable in the binary test.
 NON_PRINTABLE_CLASS = r"\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}"
+
+# What a letter of a query gains or loses by the place it is found in.
+ALIGN_START = 10
+ALIGN_AFTER_SEPARATOR = 20
+ALIGN_CAMEL_CASE = 20
+ALIGN_ADJACENT = 5
+ALIGN_LEADING_GAP = 5
+ALIGN_MOST_LEADING_GAP = 15
+ALIGN_UNMATCHED = 1
+ALIGN_SEPARATORS = "/-_. \\"

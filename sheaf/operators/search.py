@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions import constants
 from sheaf.functions.constants import PREVIEW_CONTEXT, PREVIEW_LINES
 from sheaf.functions.globs import quote
 from sheaf.functions.text import as_text, line_count, lower_letters, lower_query, newline_count
@@ -95,6 +96,59 @@ def search_fuzzy_many(df: DataFrame, queries: Sequence[str], k: int, path: str =
     return hits
 
 
+def _alignment_score(path: Column, query: str) -> Column:
+    """The best score of any way to find the query's letters in order in the path.
+
+    A letter gains by standing at the start, after a separator, at a capital after a small
+    letter, or next to the letter before; characters before the first letter cost, up to a
+    limit, and every character without a letter costs a little. One fold over the path's
+    characters keeps, for each letter of the query, the best score with the letter at the
+    last place seen and with the letter anywhere before it.
+    """
+    letters = list(lower_query(query))
+    none = F.lit(-(1 << 40)).cast("bigint")
+    shown = F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0))
+    lowered = F.regexp_extract_all(lower_letters(path), F.lit("(?s)."), F.lit(0))
+    before = F.concat(F.array(F.lit("")), shown)
+
+    def place(char: Column, at: Column) -> Column:
+        last = F.get(before, at)
+        gain = F.when(at == 0, constants.ALIGN_START).otherwise(0)
+        gain += F.when((last != "") & F.lit(constants.ALIGN_SEPARATORS).contains(last), constants.ALIGN_AFTER_SEPARATOR).otherwise(0)
+        gain += F.when(F.concat(last, F.get(shown, at)).rlike(r"\A\p{Ll}\p{Lu}"), constants.ALIGN_CAMEL_CASE).otherwise(0)
+        lead = F.least(at * F.lit(constants.ALIGN_LEADING_GAP), F.lit(constants.ALIGN_MOST_LEADING_GAP))
+        return F.struct(char.alias("char"), gain.cast("bigint").alias("gain"), lead.cast("bigint").alias("lead"))
+
+    def step(best: Column, at: Column) -> Column:
+        fields = []
+        for i, letter in enumerate(letters):
+            if i == 0:
+                so_far = -at["lead"]
+            else:
+                so_far = F.greatest(best[f"here{i - 1}"] + constants.ALIGN_ADJACENT, best[f"any{i - 1}"])
+            here = F.when(at["char"] == letter, so_far + at["gain"]).otherwise(none)
+            fields += [here.alias(f"here{i}"), F.greatest(best[f"any{i}"], here).alias(f"any{i}")]
+        return F.struct(*fields)
+
+    start = F.struct(*[none.alias(f"{kind}{i}") for i in range(len(letters)) for kind in ("here", "any")])
+    found = F.aggregate(F.transform(lowered, place), start, step, lambda best: best[f"any{len(letters) - 1}"])
+    return found - (F.length(path) - len(letters)).cast("bigint") * constants.ALIGN_UNMATCHED
+
+
+def search_aligned(df: DataFrame, query: str, k: int, path: str = "path") -> DataFrame:
+    """Top-``k`` files whose path holds the query's letters in order, by how well they lie in it.
+
+    Best first: ``score``, shortest path, path. Only paths that match are scored, and as in
+    ``search_fuzzy`` only k rows per task travel. An empty query keeps every file, with
+    score 0, whatever k is.
+    """
+    if query == "":
+        return df.withColumn("score", F.lit(0).cast("bigint"))
+    hits = df.where(_fuzzy_span(F.col(path), query) != "")
+    scored = hits.withColumn("score", _alignment_score(F.col(path), query))
+    return scored.orderBy(F.desc("score"), F.length(path), path).limit(k)
+
+
 def grep_lines(df: DataFrame, query: str, key: str = "path", content: str = "content") -> DataFrame:
     """One row per line that contains ``query`` in any case, with its 0-based number.
 

@@ -7,6 +7,7 @@ handled as hexadecimal pairs.
 
 from __future__ import annotations
 
+from sheaf.functions import constants
 from sheaf.functions.constants import (
     DEFAULT_IGNORE_PATTERNS,
     DEFAULT_MAX_FILE_SIZE,
@@ -281,6 +282,36 @@ ranked AS (
     )
 
 
+def _aligned(query: str) -> str:
+    """scored(path, score): the best of all ways to find the letters, one letter more a step."""
+    separators = constants.ALIGN_SEPARATORS.replace("'", "''")
+    return _with(
+        PATHS,
+        f"letters(i, letter) AS (VALUES {_rows(*enumerate(query.lower()))})",
+        f"""
+chars AS (
+  SELECT path, place, path[place + 1] AS c,
+    CASE WHEN place = 0 THEN {constants.ALIGN_START} ELSE 0 END
+    + CASE WHEN place > 0 AND contains('{separators}', path[place]) THEN {constants.ALIGN_AFTER_SEPARATOR} ELSE 0 END
+    + CASE WHEN place > 0 AND regexp_matches(path[place:place + 1], '^\\p{{Ll}}\\p{{Lu}}$')
+           THEN {constants.ALIGN_CAMEL_CASE} ELSE 0 END AS gain
+  FROM (SELECT path, unnest(range(length(path))) AS place FROM (SELECT DISTINCT path FROM paths))),
+ways AS (
+  SELECT path, 0 AS i, place,
+    gain - least({constants.ALIGN_LEADING_GAP} * place, {constants.ALIGN_MOST_LEADING_GAP}) AS score
+  FROM chars JOIN letters ON i = 0 AND lower(c) = letter
+  UNION ALL
+  SELECT w.path, w.i + 1, c.place,
+    w.score + c.gain + CASE WHEN c.place = w.place + 1 THEN {constants.ALIGN_ADJACENT} ELSE 0 END
+  FROM ways w JOIN chars c ON c.path = w.path AND c.place > w.place
+    JOIN letters l ON l.i = w.i + 1 AND lower(c.c) = l.letter),
+scored AS (
+  SELECT path, CAST(max(score) - {constants.ALIGN_UNMATCHED} * (length(path) - {len(query)}) AS BIGINT) AS score
+  FROM ways WHERE i = {len(query) - 1} GROUP BY path)""",
+        recursive=True,
+    )
+
+
 _LINES = """
 lines AS (
   SELECT doc_id, i - 1 AS line_no, line, n
@@ -496,6 +527,12 @@ everything AS (SELECT path FROM placed UNION SELECT folder FROM placed)""",
     )
     + "SELECT path, depth, line FROM tree"
 )
+ORACLES["aligned_search"] = (
+    _aligned(q.FUZZY_QUERY)
+    + f"""
+SELECT path, score FROM paths JOIN scored USING (path)
+ORDER BY score DESC, length(path), path LIMIT {q.TOP}"""
+)
 ORACLES["tree_source"] = (
     _with(FILES)
     + f"""

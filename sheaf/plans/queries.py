@@ -254,6 +254,11 @@ def fuzzy_search_many(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query", "path", "span", "start", F.col("rank").cast("bigint").alias("rank"))
 
 
+def aligned_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same query ranked by the best place for each letter."""
+    return search.search_aligned(views.paths(spark, folder), FUZZY_QUERY, TOP)
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return views.texts(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
 
@@ -480,6 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         path_search,
         fuzzy_search,
         fuzzy_search_many,
+        aligned_search,
         line_search,
         match_stats,
         line_preview,

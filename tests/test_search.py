@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
 import pytest
 
+from sheaf.functions import constants
 from sheaf.operators import search
 
 
@@ -54,6 +56,48 @@ def test_fuzzy_many(spark, k):
     assert search.search_fuzzy_many(paths(spark, *rows), [], k).count() == 0
 
 
+def aligned_model(rows, query, k):
+    """The best of all alignments, tried one by one."""
+
+    def gain(path, at):
+        last = path[at - 1] if at else ""
+        out = constants.ALIGN_START if at == 0 else 0
+        out += constants.ALIGN_AFTER_SEPARATOR if at and last in constants.ALIGN_SEPARATORS else 0
+        return out + (constants.ALIGN_CAMEL_CASE if last.islower() and path[at].isupper() else 0)
+
+    hits = []
+    for path in rows:
+        places = [[i for i, c in enumerate(path) if c.lower() == letter] for letter in query.lower()]
+        best = None
+        for way in itertools.product(*places):
+            if all(a < b for a, b in zip(way, way[1:])):
+                score = sum(gain(path, at) for at in way)
+                score += sum(constants.ALIGN_ADJACENT for a, b in zip(way, way[1:]) if b == a + 1)
+                score -= min(constants.ALIGN_LEADING_GAP * way[0], constants.ALIGN_MOST_LEADING_GAP)
+                score -= constants.ALIGN_UNMATCHED * (len(path) - len(query))
+                best = score if best is None else max(best, score)
+        if best is not None:
+            hits.append((-best, len(path), path))
+    return [(path, -score) for score, _, path in sorted(hits)[:k]]
+
+
+@pytest.mark.parametrize("query", ["mg", "a.b", "AB", "\\", "é", "mgA", "aa", "zzz", "]["])
+def test_aligned(spark, query):
+    r = random.Random(5)
+    rows = sorted({"".join(r.choices("amgbAMGé./-_ \\][", k=r.randint(1, 12))) for _ in range(400)})
+    got = [(x.path, x.score) for x in search.search_aligned(paths(spark, *rows), query, 25).collect()]
+    assert got == aligned_model(rows, query, 25)
+
+
+def test_aligned_prefers_words(spark):
+    rows = ["internal/xmlmagic/gone", "cmd/myGate/main.go", "mg", "images/m/grid", "m/long/way/to/g"]
+    got = [x.path for x in search.search_aligned(paths(spark, *rows), "mg", 3).collect()]
+    assert got == [p for p, _ in aligned_model(rows, "mg", 3)] and "internal/xmlmagic/gone" not in got
+    assert search.search_aligned(paths(spark, *rows), "", 2).where("score = 0").count() == 5
+    long = "a/" * 2000 + "zq"
+    assert search.search_aligned(paths(spark, long), "aazq", 1).first().score is not None
+
+
 def test_search_and_preview(spark):
     frame = spark.createDataFrame(
         [("src/main", "one\ntwo\n"), ("main", "two\n"), ("m/a/i/n", "x\n"), ("other", "two\n")],
