@@ -17,6 +17,7 @@ from sheaf.operators.filters import (
     gate_processable,
     with_is_binary,
 )
+from sheaf.operators.order import in_path_order
 from sheaf.operators.selection import select_contents
 from sheaf.operators.tree import dir_tree
 from sheaf.options import BundleOptions
@@ -39,14 +40,14 @@ def _chosen(files: DataFrame, selected: DataFrame | None, options: BundleOptions
     return kept if selected is None else select_contents(kept, selected)
 
 
-def _processed(files: DataFrame, options: BundleOptions) -> DataFrame:
+def _processed(files: DataFrame, options: BundleOptions, *more: str) -> DataFrame:
     """Binary and empty files stay with empty content and no language."""
     limit = options.max_line_bytes
     kept = gate_processable(with_language(with_is_binary(files), max_line_bytes=limit))
     if options.strip_comments:
         kept = strip_comments(kept, max_line_bytes=limit)
     return kept.select(
-        "path", "size", "is_binary", "language", F.coalesce("content", F.lit(b"")).alias("content")
+        "path", "size", "is_binary", "language", F.coalesce("content", F.lit(b"")).alias("content"), *more
     )
 
 
@@ -60,18 +61,21 @@ def processed_files(
     selected: DataFrame | None = None,
     options: BundleOptions = BundleOptions(),
     by_path: bool = False,
+    position: bool = False,
 ) -> DataFrame:
     """Files that pass the filters and the selection, ready to be written.
 
     Row filters and the selection come first, so content is looked at only for files
     that stay.
 
-    ``by_path`` range-partitions the files. Finding the ranges reads the files once
-    more, so it happens before the contents are worked on and not after. Where there is a
-    listing, ``bundle_listing`` does without.
+    ``by_path`` orders the files by path before the contents are worked on; with
+    ``position`` their places in that order are a column.
     """
     kept = _chosen(files, selected, options)
-    return _processed(_by_path(kept) if by_path else kept, options)
+    if not by_path and not position:
+        return _processed(kept, options)
+    done = _processed(in_path_order(kept), options, "position")
+    return done if position else done.drop("position")
 
 
 def _tree(listing: DataFrame, options: BundleOptions) -> DataFrame:

@@ -533,6 +533,8 @@ ORACLES["aligned_search"] = (
 SELECT path, score FROM paths JOIN scored USING (path)
 ORDER BY score DESC, length(path), path LIMIT {q.TOP}"""
 )
+ORACLES["ordered_bundle"] = f"""
+SELECT row_number() OVER (ORDER BY path) - 1 AS position, * FROM ({ORACLES["context_bundle"]})"""
 ORACLES["tree_source"] = (
     _with(FILES)
     + f"""

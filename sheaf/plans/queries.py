@@ -415,6 +415,17 @@ def context_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "size", "is_binary", "language", _md5())
 
 
+def ordered_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files in the order of their paths, with their places in it."""
+    rows = processed_files(
+        views.commented_files(spark, folder),
+        _selected_paths(spark, folder),
+        BundleOptions(strip_comments=True, max_file_size=None),
+        position=True,
+    )
+    return rows.select("position", "path", "size", "is_binary", "language", _md5())
+
+
 def _listed_bundle(spark: SparkSession, folder: str) -> str:
     """Documents written as a tree of files, listed, and bundled from the listing."""
     root, out = new_folder(spark, "files").removeprefix("file:"), new_folder(spark, "listed")
@@ -510,6 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         listed_tree,
         walked_tree,
         context_bundle,
+        ordered_bundle,
         context_bundle_chunks,
     )
 }

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.operators import chunking, enrich, filters, search, selection
+from sheaf.operators.order import in_path_order
 from sheaf.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -78,3 +80,27 @@ def test_no_registered_query_has_a_cross_join(spark):
     for name, query in QUERIES.items():
         text = plan(query(spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_contents_are_read_and_moved_once_for_a_bundle_in_order(spark, tmp_path):
+    """Ranges come from paths and sizes; the plan then has one scan and one exchange."""
+    spark.range(3000).selectExpr(
+        "concat('f', id % 997) AS path", "id AS size", "cast(repeat('x', 100) AS binary) AS content"
+    ).repartition(4).write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    ordered = in_path_order(files, 7)
+    text = plan(ordered)
+    assert text.count("FileScan") == text.count("Exchange") == 1 and "rangepartitioning" not in text
+    rows = ordered.withColumn("part", F.spark_partition_id()).collect()
+    assert [r.position for r in sorted(rows, key=lambda r: r.position)] == list(range(3000))
+    by_place = sorted(rows, key=lambda r: r.position)
+    assert [r.path for r in by_place] == sorted(r.path for r in rows)
+    assert [r.part for r in by_place] == sorted(r.part for r in rows) and len({r.part for r in rows}) == 7
+
+
+def test_order_of_odd_tables(spark):
+    schema = "path string, size bigint, content binary"
+    assert in_path_order(spark.createDataFrame([], schema)).count() == 0
+    rows = [("b", 1, b"x"), (None, 2, b"y"), ("a\"\\é", None, None), ("b", 1, b"x"), ("", 0, b"")]
+    got = in_path_order(spark.createDataFrame(rows, schema), 3).orderBy("position").collect()
+    assert [(r.position, r.path) for r in got] == [(0, None), (1, ""), (2, "a\"\\é"), (3, "b"), (4, "b")]
