@@ -1,12 +1,14 @@
-"""Line dedup by grouping windows of lines.
-
-Every window of ``min_lines`` lines is a row with a digest of its lines, and with its
-smallest line hash as a mark: equal windows have equal marks, so windows whose mark no
-other window of the corpus has are dropped first. Neighbouring windows of one document
-often share a mark, so this drops only a part. Windows left are grouped by digest, and a
-window that is not the first of its digest marks its lines. What is marked is deleted, so
-of a run that repeats all but the first occurrence go, as far as the lines agree. A line
-of ``long_words`` words or more is a run by itself.
+"""Line dedup by winnowing over line hashes.
+
+Of every window of ``min_lines`` lines the line with the smallest hash is selected, the last
+one of equals, and a document's selected positions are its fingerprints, about two for every
+``min_lines + 1`` lines. Two equal windows select the same line of theirs, so a run of
+``min_lines`` lines that two places share is found by a fingerprint that both have. Positions
+whose fingerprint no other position of the corpus has are dropped; the others are joined to
+the first occurrence of the windows that selected them, which verifies the match, and
+matches on one diagonal, next to each other, are put together to maximal runs. Runs after
+the first occurrence are deleted. A line of ``long_words`` words or more is always selected
+and is a run by itself.
 
 Defined results: lines end at ``\\n``; equal lines are equal bytes. Occurrences are
 ordered by doc_id, null last, then, where rows share a doc_id, by a hash of the text,
@@ -18,7 +20,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import fresh, join_by_key, text_of, written
@@ -28,73 +30,105 @@ LONG_WORDS = 25
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(min_lines: int, long_words: int) -> Column:
-    """Of a document's lines: fingerprint, window digest, start and length per window."""
-    lines = F.col("lines")
-    count = F.size(lines)
+def _selected(min_lines: int, long_words: int) -> Column:
+    """place, mark and windows of a document's selected positions.
+
+    ``windows`` has the start, length and digest of the runs that the position stands for:
+    the windows that selected it, which all hold it, and the line itself if it is long.
+    """
+    lines, count = F.col("lines"), F.size("lines")
+    none = F.array().cast("array<struct<start:int,place:int>>")
 
     def window(i: Column) -> Column:
-        place = F.array_min(
+        least = F.array_min(
             F.transform(
                 F.sequence(i, i + (min_lines - 1)),
                 lambda j: F.struct(F.get("hashes", j).alias("hash"), (-j).alias("back")),
             )
         )
+        return F.struct(i.alias("start"), (-least["back"]).alias("place"))
+
+    several = F.when(count >= min_lines, F.transform(F.sequence(F.lit(0), count - min_lines), window)).otherwise(none)
+    long = F.filter(
+        F.transform(lines, lambda x, i: F.when(F.regexp_count(x, F.lit(_WORD)) >= long_words, i)), lambda i: i.isNotNull()
+    )
+
+    def position(windows: Column, place: Column) -> Column:
+        # Only windows that start up to min_lines - 1 lines before can have selected it.
+        starts = F.filter(
+            F.transform(F.sequence(place - (min_lines - 1), place), lambda i: F.when(i >= 0, F.get(windows, i))),
+            lambda w: w["place"] == place,
+        )
+        found = F.transform(
+            starts,
+            lambda w: F.struct(
+                w["start"].alias("start"),
+                F.lit(min_lines).alias("length"),
+                F.md5(F.array_join(F.slice("digests", w["start"] + 1, min_lines), "").cast("binary")).alias("window"),
+            ),
+        )
+        alone = F.struct(place.alias("start"), F.lit(1).alias("length"), F.get("digests", place).alias("window"))
+        is_long = F.regexp_count(F.get(lines, place), F.lit(_WORD)) >= long_words
         return F.struct(
-            place["hash"].alias("mark"),
-            F.md5(F.array_join(F.slice("digests", i + 1, min_lines), "").cast("binary")).alias("window"),
-            i.alias("start"),
-            F.lit(min_lines).alias("length"),
+            place.alias("place"),
+            F.get("hashes", place).alias("mark"),
+            F.when(is_long, F.concat(found, F.array(alone))).otherwise(found).alias("windows"),
         )
 
-    several = F.when(
-        count >= min_lines, F.transform(F.sequence(F.lit(0), count - min_lines), window)
-    ).otherwise(F.array().cast("array<struct<mark:bigint,window:string,start:int,length:int>>"))
-    every = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            F.get("hashes", i).alias("mark"),
-            F.get("digests", i).alias("window"),
-            i.alias("start"),
-            F.lit(1).alias("length"),
-            (F.regexp_count(line, F.lit(_WORD)) >= long_words).alias("long"),
-        ),
-    )
-    alone = F.transform(
-        F.filter(every, lambda w: w["long"]),
-        lambda w: F.struct(w["mark"], w["window"], w["start"], w["length"]),
-    )
-    return F.concat(several, alone)
+    def positions(windows: Column) -> Column:
+        places = F.array_union(F.transform(windows, lambda w: w["place"]), long)
+        return F.transform(places, lambda place: position(windows, place))
 
+    # As a lambda variable the windows are worked out once.
+    return F.flatten(F.transform(F.array(several), positions))
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """doc_key, deleted: the places of the lines to delete, per document that has any."""
+
+def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """doc_id, doc_key, place, mark and windows: a row for every selected position."""
     lines = F.split(text_of(docs), "\n")
     base = docs.select(
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        document_key(docs).alias("doc_key"),
-        lines.alias("lines"),
+        docs["doc_id"].cast("bigint").alias("doc_id"), document_key(docs).alias("doc_key"), lines.alias("lines")
     )
     base = base.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     base = base.withColumn("digests", F.transform("lines", lambda x: F.md5(x.cast("binary"))))
-    windows = written(
-        base.select("doc_id", "doc_key", F.inline(_windows(min_lines, long_words))), "line-windows"
-    )
-    marks = windows.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = written(marks, "line-marks")
-    total = windows.count()
-    near = written(join_by_key(windows, marks, "mark", total).drop("n"), "line-matches")
+    return base.select("doc_id", "doc_key", F.inline(_selected(min_lines, long_words)))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """doc_id, doc_key, start, length and first_id, first_key, first_start of each later run."""
+    chosen = written(fingerprints(docs, min_lines, long_words), "line-fingerprints")
+    total = chosen.count()
+    marks = chosen.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = join_by_key(chosen, written(marks, "line-marks"), "mark", total).drop("n")
+    near = written(near.select("doc_id", "doc_key", F.inline("windows")), "line-matches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "start")
-    runs = near.groupBy("window").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    runs = written(runs.where("n > 1"), "line-runs")
-    later = join_by_key(near.select("window", "doc_id", "doc_key", "start", "length"), runs, "window", total)
-    later = later.where(
-        (F.col("doc_key") != F.col("first.doc_key")) | (F.col("start") != F.col("first.start"))
+    first = near.groupBy("window").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = join_by_key(near, written(first.where("n > 1"), "line-firsts"), "window", near.count())
+    same = (F.col("doc_key") == F.col("first.doc_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    later = later.where(~(same & (F.col("start") == F.col("first.start")))).select(
+        "doc_id", "doc_key", "start", (F.col("start") + F.col("length")).alias("end"),
+        F.col("first.doc_id").alias("first_id"), F.col("first.doc_key").alias("first_key"),
+        (F.col("start") - F.col("first.start")).alias("diagonal"),
     )
-    places = later.select(
-        "doc_key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")
+    # A match extends the run before it on its diagonal if it touches it.
+    diagonal = ["doc_id", "doc_key", "first_id", "first_key", "diagonal"]
+    along = Window.partitionBy(*diagonal).orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begun = later.withColumn("begins", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    runs = begun.withColumn("run", F.sum("begins").over(along)).groupBy(*diagonal, "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
     )
-    return places.groupBy("doc_key").agg(F.collect_set("place").alias("deleted"))
+    return runs.select(
+        "doc_id", "doc_key", "start", (F.col("end") - F.col("start")).alias("length"),
+        "first_id", "first_key", (F.col("start") - F.col("diagonal")).alias("first_start"),
+    )
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """doc_id, doc_key, deleted: the places of the lines to delete, per document that has any."""
+    runs = repeated_runs(docs, min_lines, long_words)
+    places = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place")
+    return runs.select("doc_id", "doc_key", places).groupBy("doc_id", "doc_key").agg(F.collect_set("place").alias("deleted"))
 
 
 def document_key(docs: DataFrame) -> Column:
@@ -108,7 +142,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = L
     gone = repeated_lines(docs, min_lines, long_words)
     key = fresh(docs.columns, stem="key")
     marked = docs.withColumn(key, document_key(docs))
-    joined = marked.join(gone, marked[key] == gone["doc_key"], "left")
+    # The id is part of the key, so a hash of the text tells only rows of one id apart.
+    same = (marked[key] == gone["doc_key"]) & marked["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"])
+    joined = marked.join(gone, same, "left")
     lines = F.split(text_of(docs), "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     left = F.array_except(every, F.coalesce(gone["deleted"], F.array().cast("array<int>")))
