@@ -1,6 +1,7 @@
 """Operators made of DataFrame functions: against their SQL, and on awkward rows."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,53 @@ def test_line_dedup_deletes_later_runs(spark):
     assert got[5] == ("p\nr", 3, 1)
 
 
+def test_selected_positions_and_runs(spark):
+    rng = random.Random(8)
+    lines = [f"line {rng.random()}" for _ in range(6000)]
+    one = documents(spark, [(1, "\n".join(lines), "", "")])
+    chosen = line_dedup.fingerprints(one).collect()
+    # Windows of three select about two of four lines, and every window has one of them.
+    assert 0.45 < len(chosen) / len(lines) < 0.55
+    assert len({r.place for r in chosen}) == len(chosen)
+    windows = sorted(w.start for r in chosen for w in r.windows)
+    assert windows == list(range(len(lines) - 2))
+    assert all(w.start <= r.place < w.start + 3 for r in chosen for w in r.windows)
+    shared = lines[100:140]
+    two = documents(
+        spark, [(1, "\n".join(lines), "", ""), (2, "\n".join(["x", *shared, "y", *lines[7:9], "z"]), "", ""), (None, "\n".join(shared[:5]), "", "")]
+    )
+    runs = {(r.doc_id, r.start, r.length, r.first_id, r.first_start) for r in line_dedup.repeated_runs(two).collect()}
+    assert runs == {(2, 1, 40, 1, 100), (None, 0, 5, 1, 100)}
+
+
+def brute_line_dedup(rows, min_lines, long_words):
+    """The lines that stay of each row, by every window of every row in order."""
+    seen, out = set(), []
+    for _, text in rows:
+        lines = (text or "").split("\n")
+        gone = set()
+        for i in range(len(lines)):
+            window = tuple(lines[i : i + min_lines])
+            if len(window) == min_lines:
+                gone |= set(range(i, i + min_lines)) if window in seen else set()
+                seen.add(window)
+            if len(lines[i].split(" ")) >= long_words:
+                gone |= {i} if (lines[i],) in seen else set()
+                seen.add((lines[i],))
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("min_lines, long_words", [(2, 3), (3, 4), (4, 99)])
+def test_line_dedup_is_that_of_all_windows(spark, min_lines, long_words):
+    rng = random.Random(min_lines)
+    pieces = ["a", "b", "c", "", "d e", "f g h", "i j k l m"]
+    rows = [(i, "\n".join(rng.choices(pieces, k=rng.randint(1, 14)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_lines, long_words).collect()}
+    assert [got[i] for i, _ in rows] == brute_line_dedup(rows, min_lines, long_words)
+
+
 def test_line_dedup_of_odd_rows(spark):
     docs = odd_documents(spark)
     out = line_dedup.dedup_lines(docs)
