@@ -3,7 +3,13 @@
 The index is a bucketed table sorted by SHA-256 digest, one row per text. New rows are
 hashed, reduced to one row per digest before the shuffle, held against the index by a
 sort-merge anti-join in which the index is neither shuffled nor read beyond its
-columns, and what is new is appended. Only digests move; texts are read once.
+columns, and what is new is appended with the batch's name. Only digests move; texts are
+read once.
+
+A batch that runs again, because its job died after the append or was started twice, finds
+its own digests under its own name and gets the decisions of the first run. Unless it is
+given, the name is a hash of the batch's doc_ids and digests. An index is opened with the
+number of buckets it was made with, or not at all.
 
 Defined results: a null text is the empty text; texts are equal when their UTF-8 bytes
 are. Of equal texts the row with the largest doc_id stays, null being the smallest, and
@@ -18,6 +24,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +43,14 @@ class DigestIndex:
     table: str
     buckets: int = BUCKETS
 
+    @staticmethod
+    def _buckets_of(spark: SparkSession, path: str) -> int | None:
+        """The number kept beside the files of an index; None if there is none."""
+        try:
+            return spark.read.schema("buckets int").parquet(f"{path}-buckets").first()["buckets"]
+        except AnalysisException:
+            return None
+
     @classmethod
     def open(cls, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> DigestIndex:
         """The index at ``path``, made empty if there is none; a new one without path.
@@ -43,10 +58,16 @@ class DigestIndex:
         The files are the index: a later session that names the same path and number of
         buckets goes on with them. The catalog entry only tells Spark how they lie.
         """
+        if path:
+            made_with = cls._buckets_of(spark, path)
+            if made_with is None:
+                spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}-buckets")
+            elif made_with != buckets:
+                raise ValueError(f"the index at {path} has {made_with} buckets, not {buckets}")
         path = path or new_folder(spark, "digests")
         table = "digests_" + re.sub(r"\W", "_", uuid.uuid5(uuid.NAMESPACE_URL, path).hex)
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} (digest STRING, keep_id BIGINT, group_size BIGINT)"
+            f"CREATE TABLE IF NOT EXISTS {table} (digest STRING, keep_id BIGINT, group_size BIGINT, batch BIGINT)"
             f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS"
             f" LOCATION '{path}'"
         )
@@ -55,15 +76,25 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add groups whose digests the index does not have yet."""
-        rows = groups.select("digest", "keep_id", "group_size")
+    def append(self, groups: DataFrame, batch: int) -> None:
+        """Add a batch's groups, whose digests the index does not have yet."""
+        rows = groups.select("digest", "keep_id", "group_size", F.lit(batch).cast("bigint").alias("batch"))
         spread = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
         spread.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
 
-def _decided(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def _named(rows: DataFrame) -> tuple[int, int]:
+    """How many rows, and a name of the batch, whatever the order of its rows."""
+    # Parts of 22 bits, whose sums hold for a trillion rows.
+    one = F.xxhash64("doc_id", "digest")
+    parts = [F.shiftright(one, by).bitwiseAND(F.lit((1 << 22) - 1)) for by in (0, 22, 42)]
+    sums = [F.coalesce(F.sum(part), F.lit(0)) for part in parts]
+    count = F.count(F.lit(1))
+    return tuple(rows.agg(count, F.xxhash64(*sums, count)).first())
+
+
+def _decided(docs: DataFrame, index: DigestIndex, batch: int | None) -> DataFrame:
     """One row per document: doc_id, digest, row (a number of its own), and the decision."""
     rows = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"),
@@ -71,24 +102,27 @@ def _decided(docs: DataFrame, index: DigestIndex) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows, "digest-rows")
-    total = rows.count()
+    total, name = _named(rows)
+    batch = name if batch is None else batch
     best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "row", "doc_id"))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
     groups = groups.select(
         "digest", "n", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row")
     )
-    known = index.rows().select("digest", "keep_id", "group_size").hint("merge")
+    known = index.rows().hint("merge")
     fresh_groups = groups.hint("merge").join(known.select("digest"), "digest", "left_anti")
     fresh_groups = written(fresh_groups, "digest-groups")
+    # What this batch itself brought in is decided as it was then.
+    own = F.col("batch").eqNullSafe(F.lit(batch))
     seen = groups.hint("merge").join(known, "digest").select(
-        "digest", "n", "keep_id", "group_size", F.lit(None).cast("bigint").alias("keep_row")
+        "digest", "n", "keep_id", "group_size", F.when(own, F.col("best_row")).alias("keep_row")
     )
     new = fresh_groups.select(
         "digest", "n", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("best_row").alias("keep_row"),
     )
     table = written(new.unionByName(seen), "digest-decisions")
-    index.append(new)
+    index.append(new, batch)
 
     return join_by_key(rows, table, "digest", total).select(
         "doc_id",
@@ -99,23 +133,24 @@ def _decided(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: int | None = None) -> DataFrame:
     """A decision per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``docs`` needs ``doc_id`` and ``text``. Without an index the rows are held against
     each other only; with one, new texts are added to it. ``group_size`` counts the
-    rows of the batch that brought the text in.
+    rows of the batch that brought the text in. Rows given again under the ``batch`` they
+    had, or the same rows without one, get the same decisions.
     """
-    return _decided(docs, index or DigestIndex.open(docs.sparkSession))
+    return _decided(docs, index or DigestIndex.open(docs.sparkSession), batch)
 
 
-def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, index: DigestIndex | None = None, batch: int | None = None) -> DataFrame:
     """The rows that stay, with all their columns.
 
     A semi join on digest and doc_id. Where rows share both, which makes them equal in
     what counts, the one with the largest hash of all columns stays.
     """
-    decided = dedup(docs, index)
+    decided = dedup(docs, index, batch)
     digest, place = fresh(docs.columns, stem="digest"), fresh(docs.columns, stem="place")
     kept = decided.where("kept").select(
         F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")
