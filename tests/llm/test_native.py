@@ -79,6 +79,35 @@ def test_exact_dedup_with_a_hot_text(spark):
     assert rows.where("group_size = 2000 AND keep_id = 5997").count() == 2000
 
 
+def test_a_batch_that_runs_again_gets_the_same_decisions(spark, tmp_path):
+    index = exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", 4)
+    one = documents(spark, [(1, "a", "", ""), (2, "a", "", ""), (3, None, "", ""), (None, "c", "", "")])
+    two = documents(spark, [(5, "a", "", ""), (6, "new", "", ""), (7, "new", "", "")])
+
+    def decided(docs, **batch):
+        rows = exact_dedup.dedup(docs, index, **batch).collect()
+        return sorted(((r.doc_id, r.keep_id, r.kept, r.group_size) for r in rows), key=str)
+
+    first = decided(one)
+    assert {r[0] for r in first if r[2]} == {2, 3, None}
+    assert decided(one.repartition(3)) == first
+    second = decided(two)
+    assert [r for r in second if r[2]] == [(7, 7, True, 2)]
+    assert decided(two) == second and decided(one) == first
+    # The same rows as a batch of another name are copies.
+    assert not any(r[2] for r in decided(one, batch=77))
+    assert index.rows().count() == 4
+    assert sorted(r.doc_id or 0 for r in exact_dedup.keep_first(one, index).collect()) == [0, 2, 3]
+
+
+def test_an_index_is_opened_with_its_own_number_of_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    exact_dedup.dedup(documents(spark, [(1, "b", "", "")]), exact_dedup.DigestIndex.open(spark, path, 4)).collect()
+    with pytest.raises(ValueError, match="has 4 buckets, not 8"):
+        exact_dedup.DigestIndex.open(spark, path, 8)
+    assert exact_dedup.DigestIndex.open(spark, path, 4).rows().count() == 1
+
+
 def test_line_dedup_deletes_later_runs(spark):
     long = " ".join(f"x{i}" for i in range(30))
     docs = documents(
