@@ -147,6 +147,17 @@ def test_selected_positions_and_runs(spark):
     assert runs == {(2, 1, 40, 1, 100), (None, 0, 5, 1, 100)}
 
 
+def test_the_bitmap_marks_every_document_with_deletions(spark):
+    rows = [(i, f"text {i}", "", "") for i in range(4000)] + [(None, "text", "", "")]
+    docs = documents(spark, rows)
+    keyed = docs.withColumn("key", line_dedup.document_key(docs))
+    gone = keyed.where("doc_id IS NULL OR doc_id % 40 = 0").select("doc_id", F.col("key").alias("doc_key"))
+    marked = line_dedup._marked(keyed, "key", "mark", gone)
+    assert marked.count() == 4001 and marked.where("(doc_id IS NULL OR doc_id % 40 = 0) AND NOT mark").count() == 0
+    assert marked.where("mark").count() < 101 + 4000 // 8
+    assert line_dedup._marked(keyed, "key", "mark", gone.where("false")).where("mark").count() == 0
+
+
 def brute_line_dedup(rows, min_lines, long_words):
     """The lines that stay of each row, by every window of every row in order."""
     seen, out = set(), []
