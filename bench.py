@@ -31,6 +31,9 @@ HEADLINES = (
     "selection_state",
     "selected_contents",
     "context_bundle",
+    "ordered_bundle",
+    "aligned_search",
+    "json_document",
     "xml_bundle",
     "json_bundle",
     "yaml_bundle",

@@ -146,7 +146,7 @@ print("found", *found)
 """
 
 
-@pytest.mark.parametrize("n, size, overlap", [(4 << 20, 64, 64), (1 << 20, 300, 299)])
+@pytest.mark.parametrize("n, size, overlap", [(4 << 20, 64, 64), (1 << 18, 300, 299)])
 def test_windows_that_move_by_a_byte_in_a_heap_of_1_gib(n, size, overlap):
     """Millions of windows of one document: only blocks of them are held at a time."""
     code = LARGE.format(repo=str(Path(__file__).parent.parent), n=n, size=size, overlap=overlap)
