@@ -27,6 +27,8 @@ from sheaf.llm.common import fresh, join_by_key, text_of, written
 
 MIN_LINES = 3
 LONG_WORDS = 25
+BITS_PER_KEY = 16
+MOST_BITS = 1 << 28
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -135,25 +137,56 @@ def document_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], text_of(docs))
 
 
+def _marked(docs: DataFrame, key: str, mark: str, gone: DataFrame) -> DataFrame:
+    """Documents with whether they may be among those of ``gone``, by a bitmap of the keys.
+
+    All that are among them are marked, and of the others about one in ``BITS_PER_KEY``. The
+    bitmap has at most ``MOST_BITS`` bits, 32 MB, whatever the corpus, so it is broadcast;
+    beyond that more and more others are marked, which only moves them.
+    """
+    bits = min(MOST_BITS, max(1 << 15, BITS_PER_KEY * gone.count()))
+    number = lambda column: F.pmod(column, F.lit(bits)) + 1
+    bucket, bitmap = fresh(docs.columns, stem="bucket"), fresh(docs.columns, stem="bitmap")
+    keys = gone.select(number(F.col("doc_key")).alias("number"))
+    bitmaps = keys.groupBy(F.bitmap_bucket_number("number").alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias(bitmap)
+    )
+    placed = docs.withColumn(bucket, F.bitmap_bucket_number(number(F.col(key))))
+    joined = placed.join(F.broadcast(bitmaps), bucket, "left")
+    place = F.bitmap_bit_position(number(F.col(key)))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return joined.withColumn(mark, F.coalesce(found, F.lit(False))).drop(bucket, bitmap)
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """Documents with text without its repeated lines, and n_lines and n_deleted."""
+    """Documents with text without its repeated lines, and n_lines and n_deleted.
+
+    Documents without lines to delete, but for a few, are not moved.
+    """
     if min_lines < 1 or long_words < 1:
         raise ValueError("min_lines and long_words must be 1 or more")
-    gone = repeated_lines(docs, min_lines, long_words)
-    key = fresh(docs.columns, stem="key")
-    marked = docs.withColumn(key, document_key(docs))
+    gone = written(repeated_lines(docs, min_lines, long_words), "line-deletions")
+    key, mark = fresh(docs.columns, stem="key"), fresh(docs.columns, stem="mark")
+    deleted = fresh(docs.columns, stem="deleted")
+    marked = _marked(docs.withColumn(key, document_key(docs)), key, mark, gone)
+    own_id, own_key = fresh(docs.columns, stem="own_id"), fresh(docs.columns, stem="own_key")
+    named = gone.select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key), F.col("deleted").alias(deleted))
     # The id is part of the key, so a hash of the text tells only rows of one id apart.
-    same = (marked[key] == gone["doc_key"]) & marked["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"])
-    joined = marked.join(gone, same, "left")
-    lines = F.split(text_of(docs), "\n")
+    same = (F.col(key) == F.col(own_key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id))
+    joined = marked.where(mark).join(named, same, "left").select(*docs.columns, deleted)
+    none = F.lit(None).cast("array<int>").alias(deleted)
+    rows = marked.where(~F.col(mark)).select(*docs.columns, none).unionByName(joined)
+
+    lines = F.split(text_of(rows), "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.array_except(every, F.coalesce(gone["deleted"], F.array().cast("array<int>")))
-    text = F.when(gone["deleted"].isNull(), text_of(docs)).otherwise(
+    left = F.array_except(every, F.coalesce(rows[deleted], F.array().cast("array<int>")))
+    text = F.when(rows[deleted].isNull(), text_of(rows)).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     )
-    counted = {"n_lines": F.size(lines).cast("bigint"), "n_deleted": (F.size(lines) - F.size(left)).cast("bigint")}
-    kept = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counted]
-    return joined.select(*kept, *[value.alias(name) for name, value in counted.items()])
+    counted = {"n_lines": F.size(lines).cast("bigint"), "n_deleted": F.coalesce(F.size(rows[deleted]), F.lit(0)).cast("bigint")}
+    kept = [text.alias("text") if c == "text" else rows[c] for c in docs.columns if c not in counted]
+    return rows.select(*kept, *[value.alias(name) for name, value in counted.items()])
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
