@@ -101,11 +101,14 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int =
     chosen = written(fingerprints(docs, min_lines, long_words), "line-fingerprints")
     total = chosen.count()
     marks = chosen.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = join_by_key(chosen, written(marks, "line-marks"), "mark", total).drop("n")
+    # Beyond the hot keys, tables of any size meet in the same way, so that what is moved
+    # grows with the corpus from the start.
+    near = join_by_key(chosen, written(marks, "line-marks").hint("merge"), "mark", total).drop("n")
     near = written(near.select("doc_id", "doc_key", F.inline("windows")), "line-matches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "start")
     first = near.groupBy("window").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = join_by_key(near, written(first.where("n > 1"), "line-firsts"), "window", near.count())
+    first = written(first.where("n > 1"), "line-firsts").hint("merge")
+    later = join_by_key(near, first, "window", near.count())
     same = (F.col("doc_key") == F.col("first.doc_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     later = later.where(~(same & (F.col("start") == F.col("first.start")))).select(
         "doc_id", "doc_key", "start", (F.col("start") + F.col("length")).alias("end"),
@@ -174,7 +177,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = L
     named = gone.select(F.col("doc_id").alias(own_id), F.col("doc_key").alias(own_key), F.col("deleted").alias(deleted))
     # The id is part of the key, so a hash of the text tells only rows of one id apart.
     same = (F.col(key) == F.col(own_key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id))
-    joined = marked.where(mark).join(named, same, "left").select(*docs.columns, deleted)
+    joined = marked.where(mark).join(named.hint("merge"), same, "left").select(*docs.columns, deleted)
     none = F.lit(None).cast("array<int>").alias(deleted)
     rows = marked.where(~F.col(mark)).select(*docs.columns, none).unionByName(joined)
 
