@@ -13,6 +13,10 @@ from sheaf.operators.selection import apply_ops
 from sheaf.sources.tree import _send_code_along
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class LatestWrite(StatefulProcessor):
     """The last operation of each path; gives out what changes the buffer.
 
@@ -63,8 +67,8 @@ def buffer_stream(
     """path, op, content, ts (microseconds) and seq of the operations that change the buffer.
 
     ``ops`` is a stream in any order, with a time and a number to order by. Operations
-    without a path, time or number are rejected. The state is one row per path, in RocksDB,
-    which has to be the session's state store.
+    without a path, time or number are rejected. The state is one row per path, in RocksDB;
+    a query started by other means than ``write_buffer`` has to name it as its state store.
     """
     _send_code_along()
     kind = ops.schema[content].dataType.simpleString()
@@ -92,20 +96,27 @@ def buffer_stream(
 def write_buffer(changes: DataFrame, folder: str, checkpoint: str) -> None:
     """Write what each micro-batch changed, then stop when nothing is left.
 
-    A batch overwrites its own folder, so a batch run again leaves no second copy.
+    A batch overwrites its own folder, so a batch run again leaves no second copy. The
+    state is kept in RocksDB, whatever the session's own store is.
     """
+    conf = changes.sparkSession.conf
+    own = conf.get(_STORE)
+    conf.set(_STORE, _ROCKSDB)
 
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-    query = (
-        changes.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+    try:
+        query = (
+            changes.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(_STORE, own)
 
 
 def read_buffer(spark: SparkSession, folder: str) -> DataFrame:
