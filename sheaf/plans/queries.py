@@ -114,7 +114,7 @@ def scan_ignore_filter(spark: SparkSession, folder: str) -> DataFrame:
 def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as a stream of files, enriched on the way into a table."""
     schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    stream = scan_stream(spark, folder, schema, files="documents.parquet")
+    stream = scan_stream(spark, folder, schema, table="documents.parquet")
     rows = stream.select(
         "doc_id",
         F.concat(F.lit("docs/"), "source", F.lit(".py")).alias("path"),
@@ -282,7 +282,7 @@ def selection_state(spark: SparkSession, folder: str) -> DataFrame:
 
 def selection_from_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    toggles = scan_stream(spark, folder, schema, files="events.parquet").select("user_id")
+    toggles = scan_stream(spark, folder, schema, table="events.parquet").select("user_id")
     out = new_folder(spark, "selection")
     state = selection_stream(toggles, "user_id")
     write_selection(state, out, new_folder(spark, "selection-checkpoint"))

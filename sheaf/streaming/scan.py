@@ -17,11 +17,18 @@ def scan_stream(
     format: str = "parquet",
     files: str | None = None,
     max_files_per_trigger: int = 1000,
+    table: str | None = None,
 ) -> DataFrame:
-    """New files of ``folder`` as a stream; ``files`` is a glob on their names."""
+    """New files of ``folder`` as a stream; ``files`` is a glob on their names.
+
+    ``table`` names one table of the folder, which may be a file or a folder of files.
+    """
     reader = spark.readStream.schema(schema).format(format)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
+    if table is not None:
+        # Spark streams a single file only if it is named by a glob.
+        folder = f"{folder}/{{{table}}}"
     return reader.option("maxFilesPerTrigger", max_files_per_trigger).load(folder)
 
 

@@ -1,3 +1,7 @@
+import glob
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +75,23 @@ def test_new_files_are_added_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 20
 
 
+@pytest.mark.parametrize("as_file", [True, False])
+def test_one_table_of_a_folder(spark, tmp_path, as_file):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = spark.range(20).select(F.col("id").cast("string").alias("path"))
+    rows.repartition(3).write.parquet(f"{source}/other.parquet")
+    rows.where("path < 5").repartition(3).write.parquet(f"{source}/kept.parquet")
+    if as_file:
+        part = f"{tmp_path}/one"
+        rows.where("path < 5").coalesce(1).write.parquet(part)
+        source = f"{tmp_path}/file"
+        os.mkdir(source)
+        for name in ("kept", "other"):
+            shutil.copy(glob.glob(f"{part}/part-*")[0], f"{source}/{name}.parquet")
+    write_available(scan_stream(spark, source, "path string", table="kept.parquet"), out, f"{tmp_path}/checkpoint")
+    assert sorted(r.path for r in spark.read.parquet(out).collect()) == list("01234")
+
+
 def test_selection_stream_equals_batch(spark, tmp_path):
     source, out, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
     toggles = spark.range(5000).select(
