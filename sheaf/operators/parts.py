@@ -24,6 +24,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _beside(rows: DataFrame, facts: DataFrame, path: str) -> DataFrame:
+    """Rows with the facts of their part; there are as many facts as rows, so none are broadcast."""
+    return rows.join(facts.hint("merge"), [path, "part"])
+
+
 def _in_order(path: str) -> Window:
     return Window.partitionBy(path).orderBy("part")
 
@@ -100,7 +105,7 @@ def grep_parts(parts: DataFrame, query: str, path: str = "path") -> DataFrame:
     before = F.coalesce(F.sum("newlines").over(_before(path)), F.lit(0))
     # Only numbers pass through the window; lines are joined to them by part.
     numbers = rows.select(path, "part", "newlines").withColumn("before", before).drop("newlines")
-    numbered = rows.join(numbers, [path, "part"])
+    numbered = _beside(rows, numbers, path)
     inner_lines = numbered.select(path, "before", F.explode("lines").alias("at")).select(
         path, (F.col("before") + F.col("at.after")).alias("line_no"), F.col("at.piece").alias("line")
     )
@@ -152,7 +157,7 @@ def with_block_state(parts: DataFrame, path: str = "path") -> DataFrame:
     maps = maps.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(_before(path)))
     maps = maps.withColumn("_turned", F.coalesce(F.lag("turned").over(_in_order(path)), F.lit(0)))
     state = F.coalesce(F.col("_fixed.state"), F.lit(0)) + F.col("_turned") - F.coalesce(F.col("_fixed.turned"), F.lit(0))
-    return parts.join(maps.select(path, "part", (state % 2 == 1).alias("opened")), [path, "part"])
+    return _beside(parts, maps.select(path, "part", (state % 2 == 1).alias("opened")), path)
 
 
 def strip_parts(parts: DataFrame, path: str = "path", max_line_bytes: int | None = None) -> DataFrame:
@@ -194,7 +199,7 @@ def strip_parts(parts: DataFrame, path: str = "path", max_line_bytes: int | None
         F.coalesce(F.max("has_text").over(_after(path)), F.lit(False)).alias("before_text"),
         F.max("long").over(Window.partitionBy(path)).alias("untouched"),
     )
-    joined = rows.join(edges, [path, "part"])
+    joined = _beside(rows, edges, path)
     first_blank = (lines == "\n") | lines.startswith("\n\n")
     raw = F.col("lines")
     without_one = F.substring(raw, F.lit(2), F.octet_length(raw))

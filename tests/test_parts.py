@@ -184,3 +184,10 @@ def test_a_file_that_vanishes(spark, tmp_path):
     rows = read_parts(listing, str(tmp_path), 40).collect()
     assert {r.path for r in rows if r.error} == {"a"} and sum(r.path == "a" for r in rows) == 3
     assert joined(read_parts(listing.where("path = 'b'"), f"file://{tmp_path}", 40))["b"] == b"one two\n" * 10
+
+
+def test_states_and_edges_are_not_broadcast(spark, tree):
+    root, listing = tree
+    parts = read_parts(listing, root, 20, whole_lines=True)
+    for frame in (with_block_state(parts), strip_parts(parts), grep_parts(parts, "the")):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
