@@ -32,6 +32,7 @@ TREE_PATTERNS = ("/fr/", "*7", "cheap?pills", "spam-farm", "m.*.net", "en/*", "[
 WALK_PATTERNS = ("*.py", "d2/", "*.crc")
 CHUNK, OVERLAP, TOKENS = 256, 32, 60
 PART = 700
+DIRECTORIES = 1000
 LINE_QUERY = "The"
 PATH_QUERY = "EXAMPLE"
 FUZZY_QUERY = "exfr"
@@ -67,14 +68,18 @@ def tree_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _text_files(spark: SparkSession, folder: str, rows: DataFrame) -> tuple[DataFrame, str]:
-    """Documents written as one file each, named by doc_id, and listed again."""
+    """Documents written as one file each, named by doc_id, and listed again.
+
+    A directory is listed by one task, so the files lie in many.
+    """
     root = new_folder(spark, "files").removeprefix("file:")
-    write_tree(rows.select(F.col("doc_id").cast("string").alias("path"), F.col("content").cast("binary")), root)
+    path = F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(DIRECTORIES)), F.lit("/"), "doc_id")
+    write_tree(rows.select(path.alias("path"), F.col("content").cast("binary")), root)
     return scan_tree(spark, root), root
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("path").cast("bigint")).drop("path")
+    return rows.withColumn("doc_id", F.substring_index("path", "/", -1).cast("bigint")).drop("path")
 
 
 def file_part_counts(spark: SparkSession, folder: str) -> DataFrame:

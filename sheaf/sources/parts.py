@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.sources.tree import (
@@ -26,10 +26,15 @@ from sheaf.sources.tree import (
 )
 
 PART_BYTES = 64 << 20
+_PARTS_PER_TASK = 10_000
 _LOOK_AHEAD = 64 << 10
 _LONGEST_TAIL = 3  # bytes of a character after its first
 
 
+def _parts_of(part_bytes: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(0)) / F.lit(part_bytes)))
+
+
 def list_parts(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Listed files with ``part`` and ``offset``: a row for every ``part_bytes`` bytes.
 
@@ -37,8 +42,7 @@ def list_parts(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """
     if part_bytes <= _LONGEST_TAIL:
         raise ValueError(f"a part has more than {_LONGEST_TAIL} bytes")
-    last = F.greatest(F.lit(0), F.ceil(F.coalesce("size", F.lit(0)) / F.lit(part_bytes)) - 1)
-    number = F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("part")
+    number = F.explode(F.sequence(F.lit(0), (_parts_of(part_bytes) - 1).cast("int"))).alias("part")
     rows = files.select("path", "size", "mod_time", "error", number)
     return rows.withColumn("offset", F.col("part") * F.lit(part_bytes).cast("bigint"))
 
@@ -109,7 +113,7 @@ def read_parts(
     In order, the contents are the file. With ``whole_lines`` every part holds the lines
     that start in it, and some parts may be empty; a part whose lines have more than
     ``most_bytes`` gets an error. Each part is read by a request of its own, so files of
-    any size are spread over all tasks.
+    any size are spread over all tasks, none of which reads many more than 10,000 parts.
     """
     _send_code_along()
     schema = pa.schema([*_ARROW_LISTING, ("part", pa.int32()), ("offset", pa.int64()), ("content", pa.binary())])
@@ -142,7 +146,8 @@ def read_parts(
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    total = files.agg(F.sum("size")).first()[0] or 0
-    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
+    size, count = files.agg(F.sum("size"), F.sum(_parts_of(part_bytes))).first()
+    least = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(least, -(-(size or 0) // _BYTES_PER_TASK), -(-(count or 0) // _PARTS_PER_TASK))
     dealt = list_parts(files, part_bytes).repartition(tasks, F.xxhash64("path", "part"))
     return dealt.mapInArrow(read, f"{LISTING_SCHEMA}, part int, offset bigint, content binary")

@@ -42,10 +42,11 @@ _ARROW_LISTING = pa.schema(
 )
 _ARROW_LEVEL = pa.schema([*_ARROW_LISTING, ("is_directory", pa.bool_())])
 _LISTED_PER_BATCH = 10_000
-_READ_BYTES_PER_BATCH = 32 * 1024 * 1024
+_READ_BYTES_PER_BATCH = 8 * 1024 * 1024
 _BYTES_PER_TASK = 128 * 1024 * 1024
+_FILES_PER_TASK = 5_000
 # A batch's contents have 31-bit offsets.
-_MOST_BYTES = (1 << 31) - 1 - _READ_BYTES_PER_BATCH
+_MOST_BYTES = (1 << 31) - 1 - 32 * 1024 * 1024
 
 
 def _send_code_along() -> None:
@@ -200,7 +201,7 @@ def read_contents(
 ) -> DataFrame:
     """Add ``content`` to listed files; a file that cannot be read gets an ``error``.
 
-    Files are spread over ``partitions`` tasks, by default one for every 128 MB listed;
+    Files are spread over ``partitions`` tasks, by default one for every 128 MB or 5,000 files listed;
     ``in_place`` reads them in the partitions, and the order, that they are in. A row
     cannot hold a file of 2 GiB or more, which therefore gets an error as well.
     """
@@ -235,7 +236,8 @@ def read_contents(
     listed = files.select("path", "size", "mod_time", "error")
     if not in_place:
         if partitions is None:
-            total = listed.agg(F.sum("size")).first()[0] or 0
-            partitions = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
+            total, count = listed.agg(F.sum("size"), F.count(F.lit(1))).first()
+            least = files.sparkSession.sparkContext.defaultParallelism
+            partitions = max(least, -(-(total or 0) // _BYTES_PER_TASK), -(-count // _FILES_PER_TASK))
         listed = listed.repartition(partitions, F.xxhash64("path", "size"))
     return listed.mapInArrow(read, f"{LISTING_SCHEMA}, content binary")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sheaf.operators.enrich import strip_comments, with_line_count, with_token_count
 from sheaf.operators.parts import count_parts, grep_parts, strip_parts, with_block_state
 from sheaf.operators.search import grep_lines
+from sheaf.plans.queries import _by_document, _text_files
 from sheaf.sources.parts import list_parts, read_parts
 from sheaf.sources.tree import read_contents, scan_tree
 
@@ -191,3 +192,20 @@ def test_states_and_edges_are_not_broadcast(spark, tree):
     parts = read_parts(listing, root, 20, whole_lines=True)
     for frame in (with_block_state(parts), strip_parts(parts), grep_parts(parts, "the")):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_read_a_bounded_number_of_parts_and_files(spark, tree, monkeypatch):
+    root, listing = tree
+    monkeypatch.setattr("sheaf.sources.parts._PARTS_PER_TASK", 4)
+    monkeypatch.setattr("sheaf.sources.tree._FILES_PER_TASK", 4)
+    parts = read_parts(listing, root, 7)
+    assert parts.rdd.getNumPartitions() >= parts.count() / 4 > 8
+    assert read_contents(listing, root).rdd.getNumPartitions() >= listing.count() / 4 > 8
+    assert joined(parts) == trees(11)
+
+
+def test_files_of_documents_lie_in_many_directories(spark):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("content"))
+    listing, _ = _text_files(spark, "", rows)
+    assert listing.select(F.substring_index("path", "/", 1)).distinct().count() > 10
+    assert sorted(r.doc_id for r in _by_document(listing).collect()) == list(range(50))
