@@ -13,12 +13,14 @@ from sheaf.operators.selection import apply_ops
 from sheaf.sources.tree import _send_code_along
 
 
+BUCKETS = 1024
+"""Groups that paths are handled in. A checkpoint is bound to their number."""
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class LatestWrite(StatefulProcessor):
-    """The last operation of each path; gives out what changes the buffer.
+    """The last operation of each path of a bucket; gives out what changes the buffer.
 
     A remove leaves its place in the order behind, so that a write that comes late does not
     bring the content back. Of operations at one place the one that came first counts.
@@ -28,35 +30,37 @@ class LatestWrite(StatefulProcessor):
         self._kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", f"ts bigint, seq bigint, content {self._kind}, held boolean")
+        self._last = handle.getMapState("last", "path string", f"ts bigint, seq bigint, content {self._kind}, held boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._last.get() if self._last.exists() else None
-        best = before = (known[0], known[1]) if known else None
-        held = bool(known[3]) if known else False
-        content = known[2] if held else None
-        write = False
+        latest: dict[str, tuple] = {}
         for frame in rows:
-            for ts, seq, op, text in zip(frame["ts"], frame["seq"], frame["op"], frame["content"]):
+            for path, ts, seq, op, text in zip(frame["path"], frame["ts"], frame["seq"], frame["op"], frame["content"]):
                 place = (int(ts), int(seq))
-                if best is None or place > best:
-                    best, write, new = place, op == "write", text
-        if best == before:
-            return
-        self._last.update((*best, new if write else None, write))
-        if write and (not held or new != content):
-            yield _change(key[0], "write", new, best)
-        elif held and not write:
-            yield _change(key[0], "remove", None, best)
+                if path not in latest or place > latest[path][0]:
+                    latest[path] = place, op == "write", text
+        changes = [change for path, last in latest.items() if (change := self._changed(path, *last))]
+        if changes:
+            columns = dict(zip(("path", "op", "content", "ts", "seq"), zip(*changes)))
+            columns["content"] = pd.Series(columns["content"], dtype=object)
+            yield pd.DataFrame(columns)
+
+    def _changed(self, path: str, place: tuple[int, int], write: bool, new) -> tuple | None:
+        known = self._last.getValue((path,))
+        if known is not None and place <= (known[0], known[1]):
+            return None
+        held = known is not None and bool(known[3])
+        self._last.updateValue((path,), (*place, new if write else None, write))
+        if write and (not held or new != known[2]):
+            return path, "write", new, *place
+        if held and not write:
+            return path, "remove", None, *place
+        return None
 
     def close(self) -> None:
         pass
 
 
-def _change(path: str, op: str, content, place: tuple[int, int]) -> pd.DataFrame:
-    return pd.DataFrame({"path": [path], "op": [op], "content": pd.Series([content], dtype=object), "ts": [place[0]], "seq": [place[1]]})
-
-
 def buffer_stream(
     ops: DataFrame,
     path: str = "path",
@@ -68,7 +72,8 @@ def buffer_stream(
 
     ``ops`` is a stream in any order, with a time and a number to order by. Operations
     without a path, time or number are rejected. The state is one row per path, in RocksDB;
-    a query started by other means than ``write_buffer`` has to name it as its state store.
+    paths are handled by buckets, since a group costs far more time than a row. A query
+    started by other means than ``write_buffer`` has to name RocksDB as its state store.
     """
     _send_code_along()
     kind = ops.schema[content].dataType.simpleString()
@@ -85,7 +90,8 @@ def buffer_stream(
         F.col(op).alias("op"),
         F.when(F.col(op) == "write", F.col(content)).alias("content"),
     ).where("path <> '' AND ts IS NOT NULL AND seq IS NOT NULL")
-    return rows.groupBy("path").transformWithStateInPandas(
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         LatestWrite(kind),
         f"path string, op string, content {kind}, ts bigint, seq bigint",
         outputMode="Update",

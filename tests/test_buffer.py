@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from sheaf.operators.selection import apply_ops
-from sheaf.streaming.buffer import buffer_stream, read_buffer, write_buffer
+from sheaf.streaming.buffer import LatestWrite, buffer_stream, read_buffer, write_buffer
 
 SCHEMA = "path string, op string, content string, ts timestamp, seq bigint"
 OPS = "path string, op string, content string, ts bigint, seq bigint"
@@ -68,3 +69,20 @@ def test_times_and_binary_contents(spark, tmp_path):
     stream = spark.readStream.schema(ops.schema).parquet(folder)
     write_buffer(buffer_stream(stream), out, checkpoint)
     assert {r.path: bytes(r.content) for r in read_buffer(spark, out).collect()} == {"a": b"\xff\x00", "b": b"\x01"}
+
+
+def test_paths_of_a_bucket_are_handled_together():
+    known = {}
+
+    class Handle:
+        def getMapState(self, *_):
+            return type("State", (), {"getValue": lambda _, k: known.get(k), "updateValue": lambda _, k, v: known.update({k: v})})()
+
+    latest = LatestWrite("string")
+    latest.init(Handle())
+    rows = [("a", "write", "x", 1, 1), ("b", "write", "y", 1, 2), ("a", "remove", None, 2, 3), ("b", "write", "z", 1, 2)]
+    frames = [pd.DataFrame([r], columns=["path", "op", "content", "ts", "seq"]) for r in rows]
+    (changed,) = latest.handleInputRows((0,), iter(frames), None)
+    assert list(changed.itertuples(index=False, name=None)) == [("b", "write", "y", 1, 2)]
+    assert known == {("a",): (2, 3, None, False), ("b",): (1, 2, "y", True)}
+    assert list(latest.handleInputRows((0,), iter(frames), None)) == []
