@@ -140,3 +140,13 @@ def test_files_that_appear_anywhere_arrive_once(spark, root, tmp_path_factory):
         assert got == sorted(want.collect())
     write_available(stream(spark, root), out, checkpoint)
     assert spark.read.parquet(out).count() == len(FILES) + 5
+
+
+def test_batches_of_contents_are_small(tmp_path):
+    for n in range(24):
+        (tmp_path / f"{n}").write_bytes(b"x" * (1 << 20))
+    walk = tree_format._Walk({"path": str(tmp_path), "contents": "true"})
+    (part,) = walk.subtrees()
+    batches = list(walk.batches(walk.rows(part)))
+    assert sum(b.num_rows for b in batches) == 24
+    assert max(b.nbytes for b in batches) < 10 << 20
