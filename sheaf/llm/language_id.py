@@ -206,7 +206,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, lang: str = "lang_pred",
 
         letter = regex.compile(r"\p{L}")
         for batch in batches:
-            for part in text_batches(batch):
+            for part in text_batches(batch, 4 << 20):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 found: list[str] = [UNDETERMINED] * len(texts)
                 scores = np.zeros(len(texts))
