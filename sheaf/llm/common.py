@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,15 +16,45 @@ HOT_SHARE = 0.001
 """A key with more than this share of all rows is hot, so there are under 1,000."""
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as a table in the shared folder and read again.
 
     This cuts the lineage: nothing above is computed twice, and executors that are
-    lost later lose nothing.
+    lost later lose nothing. What the write shuffled is deleted as soon as it ends; else
+    it would stay until the driver happens to collect its garbage.
+    """
+    return _write(df, new_folder(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``written`` for the length of a ``with``; its files are deleted at the end.
+
+    Nothing lazy may read the table afterwards, so what is made of it has to be written.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    try:
+        yield _write(df, path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(*taken: Sequence[str], stem: str = "tmp") -> str:

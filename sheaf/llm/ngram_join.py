@@ -17,6 +17,10 @@ sets, fewer than it has sets, and never all pairs.
 
 Sets that are equal are one class, so copies are neither compared nor expanded.
 
+Keys and tiles are dealt out in rounds, each with a share of them by hash, so that what is
+moved at a time is a fraction of the table; keys and sets are deleted after their last
+round.
+
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased. With
 fewer words than a shingle has, the whole sequence is the one shingle. A null or wordless
 text has the empty set, links with nothing and is a component of its own. Repeated rows
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.bloom import bloom_of
-from sheaf.llm.common import join_by_key, text_batches, text_hash, text_of, written
+from sheaf.llm.common import join_by_key, scratch, text_batches, text_hash, text_of, written
 from sheaf.llm.components import components
 from sheaf.llm.shingles import mix, shingle_set, shingles
 from sheaf.llm.tiles import Forest, by_tile
@@ -56,6 +61,10 @@ BROADCAST_COPIES = 1_000_000
 """Up to so many row numbers of copies, 8 MB, go to all tasks; beyond, keys are joined."""
 BROADCAST_ROWS = 100_000
 """Up to so many candidates, some 20 MB of numbers and tiles, go to all tasks; more are joined."""
+KEY_PARTS = 8
+"""Keys are kept in so many columns by their first bits, one for each round."""
+ROUND_SHINGLES = 8_000_000
+"""A round is no smaller than what so many shingles, 64 MB, come to."""
 
 
 @functools.lru_cache(maxsize=1)
@@ -138,24 +147,31 @@ def common_shingles(docs: DataFrame, words: int, share: float = COMMON_SHARE) ->
 
 
 def _keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, row, n_shingles, class (null for the empty set), keys."""
+    """doc_id, text_hash, row, n_shingles, class (null for the empty set), keys in ``KEY_PARTS`` columns."""
+    names = [f"keys{k}" for k in range(KEY_PARTS)]
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch):
                 sets = _sets(part, 3, words)
                 keys = [keys_of(s, percent, common) if len(s) else np.zeros(0, "u8") for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 classes = [hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets]
                 values = np.concatenate(keys) if keys else np.zeros(0, "u8")
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                place = (values >> np.uint64(32)) * np.uint64(KEY_PARTS) >> np.uint64(32)
+                lists = []
+                for k in range(KEY_PARTS):
+                    own = place == k
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[own], minlength=len(keys)))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(values[own].view("i8"))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[:3],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(classes, pa.string()),
-                        pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(values.view("i8"))),
+                        *lists,
                     ],
-                    names=["doc_id", "text_hash", "row", "n_shingles", "class", "keys"],
+                    names=["doc_id", "text_hash", "row", "n_shingles", "class", *names],
                 )
 
     rows = docs.select(
@@ -164,13 +180,15 @@ def _keyed(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> Dat
         F.monotonically_increasing_id().alias("row"),
         text_of(docs).alias("text"),
     )
-    return rows.mapInArrow(
-        key, "doc_id bigint, text_hash bigint, row bigint, n_shingles bigint, class string, keys array<bigint>"
-    )
+    schema = "doc_id bigint, text_hash bigint, row bigint, n_shingles bigint, class string"
+    return rows.mapInArrow(key, ", ".join([schema, *[f"{name} array<bigint>" for name in names]]))
+
 
+def _candidates(classes: DataFrame, keyed: DataFrame, rounds: int = 1) -> DataFrame:
+    """a, b: sets with a key in common, as stars around the first set of a key.
 
-def _candidates(classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """a, b: sets with a key in common, as stars around the first set of a key."""
+    The columns of keys are taken in ``rounds`` rounds. No key is in two of them.
+    """
     first = classes.select(F.col("node").alias("row"))
     copies = keyed.where("class IS NOT NULL").select("row").join(first, "row", "left_anti")
     copies = written(copies, "copies")
@@ -178,13 +196,18 @@ def _candidates(classes: DataFrame, keyed: DataFrame) -> DataFrame:
         once = keyed.join(F.broadcast(copies), "row", "left_anti")
     else:
         once = keyed.join(first, "row", "left_semi")
-    keys = once.select("row", F.explode("keys").alias("key"))
-    # Combined before the shuffle, so a key that a third of all sets have is no task of its own.
-    shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(shared, "shared-keys")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    stars = join_by_key(keys, shared, "key", total).where("a != row")
-    return stars.select("a", F.col("row").alias("b"))
+    columns = [c for c in keyed.columns if c.startswith("keys")]
+    stars = []
+    for k in range(min(rounds, len(columns))):
+        own = F.concat(*columns[k::rounds])
+        keys = once.select("row", F.explode(own).alias("key"))
+        # Combined before the shuffle, so a key that a third of all sets have is no task of its own.
+        shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        with scratch(shared, "shared-keys") as shared:
+            total = shared.agg(F.sum("n")).first()[0] or 0
+            found = join_by_key(keys, shared, "key", total).where("a != row")
+            stars.append(written(found.select("a", F.col("row").alias("b")).distinct(), "stars"))
+    return functools.reduce(DataFrame.unionByName, stars)
 
 
 def _placed(members: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +253,7 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     tiles = F.when(whole, F.array(F.col("cluster").cast("string"))).otherwise(
         F.concat(meet(0), meet(1), meet(-1))
     )
-    return rows.select("doc_id", "text_hash", "node", tiles.alias("tiles"))
+    return rows.select("doc_id", "text_hash", "node", "n", tiles.alias("tiles"))
 
 
 _ROWS = 128
@@ -288,7 +311,7 @@ def _overlap(small: np.ndarray, large: np.ndarray) -> int:
 
 
 def _with_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
-    """tile, node, elements: the sets of the placed documents, made from their texts.
+    """node, tiles, elements: the sets of the placed documents, made from their texts.
 
     A filter of bounded size keeps most other documents from being moved, and the join
     keeps the rest out.
@@ -314,7 +337,23 @@ def _with_sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
     ).select("doc_id", "text_hash", own.alias("hash"), "text")
     sets = texts.mapInArrow(make, "own_id bigint, own_hash bigint, elements binary")
     on = sets["own_id"].eqNullSafe(placed["doc_id"]) & (sets["own_hash"] == placed["text_hash"])
-    return sets.join(placed, on).select(F.explode("tiles").alias("tile"), "node", "elements")
+    return sets.join(placed, on).select("node", "tiles", "elements")
+
+
+def _links(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links that join the placed documents, found tile by tile.
+
+    A round moves half as many elements as the sets have, however many tiles a set is in.
+    """
+    moved, own = placed.agg(F.sum(F.col("n") * F.size("tiles")), F.sum("n")).first()
+    rounds = max(1, math.ceil((moved or 0) / max(ROUND_SHINGLES, (own or 0) / 2)))
+    links = []
+    with scratch(_with_sets(docs, placed, words), "sets") as sets:
+        for k in range(rounds):
+            tiles = F.filter("tiles", lambda tile: F.pmod(F.xxhash64(tile), F.lit(rounds)) == k)
+            rows = sets.select(F.explode(tiles).alias("tile"), "node", "elements")
+            links.append(written(by_tile(rows, "tile", _compare(percent), "a bigint, b bigint"), "tile-links"))
+    return functools.reduce(DataFrame.unionByName, links)
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -324,20 +363,23 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     """
     if words < 1 or not 50 <= percent <= 100:
         raise ValueError("words must be positive and percent between 50 and 100")
-    keyed = written(_keyed(docs, words, percent, common_shingles(docs, words)), "shingle-keys")
-    classes = keyed.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("row").alias("node"),
-        F.min_by(F.struct("doc_id", "text_hash"), "row").alias("from"),
-        F.first("n_shingles").alias("n"),
-        F.count(F.lit(1)).alias("copies"),
-    )
-    classes = written(classes, "shingle-classes")
-    clusters = components(_candidates(classes, keyed))
+    with scratch(_keyed(docs, words, percent, common_shingles(docs, words)), "shingle-keys") as every:
+        keyed = written(every.select("doc_id", "text_hash", "row", "n_shingles", "class"), "shingle-rows")
+        classes = keyed.where("class IS NOT NULL").groupBy("class").agg(
+            F.min("row").alias("node"),
+            F.min_by(F.struct("doc_id", "text_hash"), "row").alias("from"),
+            F.first("n_shingles").alias("n"),
+            F.count(F.lit(1)).alias("copies"),
+        )
+        classes = written(classes, "shingle-classes")
+        size = classes.agg(F.sum("n")).first()[0] or 0
+        rounds = min(KEY_PARTS, max(1, math.ceil(size / ROUND_SHINGLES)))
+        stars = _candidates(classes, every, rounds)
+    clusters = components(stars)
     members = clusters.join(classes, "node").select(
         F.col("component").alias("cluster"), "node", "n", "from.doc_id", "from.text_hash"
     )
-    tiles = _with_sets(docs, written(_placed(members, percent), "placed"), words)
-    links = by_tile(tiles, "tile", _compare(percent), "a bigint, b bigint")
+    links = _links(docs, written(_placed(members, percent), "placed"), words, percent)
     labels = components(links)
 
     total = keyed.count()

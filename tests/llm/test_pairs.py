@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sheaf.llm import embedding_dedup, ngram_join
+from sheaf.llm import common, embedding_dedup, ngram_join
 from sheaf.llm.bloom import bloom_of
 from sheaf.llm.components import components
 from sheaf.llm.shingles import shingle_set, word_hashes
@@ -108,6 +109,43 @@ def test_ngram_tiles_of_a_large_cluster(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 4, 85)
 
 
+def test_ngram_join_moves_little_at_a_time(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ngram_join, "ROUND_SHINGLES", 500, raising=False)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    made = []
+
+    def folder(session, name):
+        made.append(name)
+        return f"{tmp_path}/{name}-{len(made)}"
+
+    monkeypatch.setattr(common, "new_folder", folder)
+    rows = near_copies(5, 6, 60)
+    found = ngram_join.ngram_components(documents(spark, rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 4, 85)
+    assert made.count("shared-keys") == made.count("stars") == 8 and made.count("tile-links") > 2
+    # What grows with the texts is gone before the documents are moved.
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "stars" in left and not left & {"shingle-keys", "shared-keys", "sets"}
+
+
+def test_written_leaves_no_shuffled_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return set(re.findall(r"shuffle_\d+", blocks.mkString(" ")))
+
+    before = shuffles()
+    table = common.written(spark.range(20_000).repartition(4, "id").groupBy("id").count().repartition(3), "table")
+    for _ in range(100):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert table.count() == 20_000 and spark.conf.get(setting, None) == was
+
+
 def test_keys_of_many_sets_are_not_one_window(spark):
     rows = [(i, f"c{i}", [7, 1000 + i // 2] if i % 3 else [1000 + i // 2]) for i in range(300)]
     keyed = documents(spark, rows, "row bigint, class string, keys array<bigint>")
