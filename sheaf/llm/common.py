@@ -79,15 +79,18 @@ def hot_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
     return counts.where(F.col(n) > F.lit(max(1.0, HOT_SHARE * total)))
 
 
-def join_by_key(facts: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+def join_by_key(facts: DataFrame, table: DataFrame, key: str, total: int, n: str = "n", merge: bool = False) -> DataFrame:
     """Join facts with one row per key, where one key may have a third of all facts.
 
     The bounded list of hot keys is broadcast, so their facts stay where they are; all
     other keys meet in a sort-merge join. ``table`` has the number of a key's facts in
     ``n`` and should be a written table, because it is read twice.
+    With ``merge`` Spark broadcasts no small table either, so that every size moves alike.
     """
     hot = hot_keys(table, total, n)
     rest = table.where(F.col(n) <= F.lit(max(1.0, HOT_SHARE * total)))
+    if merge:
+        rest = rest.hint("merge")
     hot_facts = facts.join(F.broadcast(hot), key)
     cold = facts.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return hot_facts.unionByName(cold)

@@ -63,8 +63,8 @@ BROADCAST_ROWS = 100_000
 """Up to so many candidates, some 20 MB of numbers and tiles, go to all tasks; more are joined."""
 KEY_PARTS = 8
 """Keys are kept in so many columns by their first bits, one for each round."""
-ROUND_SHINGLES = 8_000_000
-"""A round is no smaller than what so many shingles, 64 MB, come to."""
+ROUND_SHINGLES = 1_000_000
+"""A round is no smaller than what so many shingles, 8 MB, come to."""
 
 
 @functools.lru_cache(maxsize=1)
@@ -205,7 +205,7 @@ def _candidates(classes: DataFrame, keyed: DataFrame, rounds: int = 1) -> DataFr
         shared = keys.groupBy("key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
         with scratch(shared, "shared-keys") as shared:
             total = shared.agg(F.sum("n")).first()[0] or 0
-            found = join_by_key(keys, shared, "key", total).where("a != row")
+            found = join_by_key(keys, shared, "key", total, merge=True).where("a != row")
             stars.append(written(found.select("a", F.col("row").alias("b")).distinct(), "stars"))
     return functools.reduce(DataFrame.unionByName, stars)
 
